@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["nearcopies"]
+MODULES = ["nearcopies", "neighbours", "splitting"]
 
 
 def _each(what: str) -> dict:
