@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["nearcopies", "neighbours", "splitting"]
+MODULES = ["nearcopies", "neighbours", "splitting", "packing", "mixing"]
 
 
 def _each(what: str) -> dict:
