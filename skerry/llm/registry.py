@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["nearcopies", "neighbours", "splitting", "packing", "mixing", "stuffing"]
+MODULES = ["nearcopies", "neighbours", "splitting", "packing", "mixing", "stuffing", "credentials"]
 
 
 def _each(what: str) -> dict:
