@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["nearcopies", "neighbours", "splitting", "packing", "mixing", "stuffing", "credentials"]
+MODULES = ["nearcopies", "neighbours", "splitting", "packing", "mixing", "stuffing", "credentials", "handwritten"]
 
 
 def _each(what: str) -> dict:
