@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["nearcopies", "neighbours", "splitting", "packing", "mixing", "stuffing", "credentials", "handwritten"]
+MODULES = ["parsing", "neighbours", "nearcopies", "credentials", "splitting", "handwritten", "packing", "mixing", "stuffing"]
 
 
 def _each(what: str) -> dict:
