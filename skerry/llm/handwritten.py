@@ -161,7 +161,7 @@ def fit(rows: list[tuple], epochs: int = 14, c: float = 1.0, seed: int = 3) -> d
         y.append(1.0 if label else -1.0)
         held.append(_slot(repo or "") % 4 == 0)
         data.append((np.array(idx, np.int64), np.array(val, np.float32), np.array(path, np.int64), np.array(layout, np.int64)))
-    y, held = np.array(y), np.array(held)
+    y, held = np.array(y), np.array(held, bool)
     if len(set(y[~held])) < 2:
         return {"w": np.zeros(SIZE, np.float32), "b": -0.5, "accuracy": None, "held": 0}
 

@@ -1,0 +1,324 @@
+"""Operators for training data: brute force, round trips, held-out accuracy and dirty input."""
+
+import ast
+import base64
+import random
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from skerry.llm import credentials, handwritten, mixing, nearcopies, neighbours, packing, parsing, splitting, stuffing
+from skerry.llm.grammar import END, Parser, Tables
+
+# --- p1: syntax ---------------------------------------------------------------------------------------
+
+VALID = {
+    "python": "import os\n\n@dec\nasync def f(a, *b, c: int = 1, **d) -> dict:\n    '''doc\n    <<<<<<< not code'''\n    x = [i for i in a if i] if a else {**d}\n    with open(a) as g, b:\n        pass\n    return lambda q: q[1:2, ::3]\n",
+    "javascript": "import { a, b as c } from './x';\nexport default class A extends B {\n  static async m(a, { b }, ...c) { return a?.b ?? (x => ({ y: x })); }\n  get z() { return `t ${1}`; }\n}\nconst f = async (a) => { await a; }\nfor (const [k, v] of m) { if (k) continue; else break }\n",
+    "typescript": "interface P<T> extends Q { a?: string; f(x: number): void }\nexport type U = 'a' | P<number>[];\nfunction g<T>(a: T, b?: string): Promise<T> { return a as any; }\nenum E { A = 1, B }\nclass C implements P<string> { private readonly x: number = 1; constructor(private y: string) { super(); } }\n",
+    "go": "package a\n\nimport (\n\t\"fmt\"\n)\n\ntype T struct {\n\tA int `json:\"a\"`\n}\n\nfunc (t *T) F(a, b int, c ...string) (int, error) {\n\tfor i, v := range t.m {\n\t\tif x := f(i); x > 0 && v != nil {\n\t\t\treturn []int{1, 2}[0], nil\n\t\t}\n\t}\n\tgo func() { ch <- 1 }()\n\treturn 0, nil\n}\n",
+    "rust": "use a::{b, c};\n#[derive(Debug)]\npub struct S<'a, T: Clone> { x: &'a str, y: Vec<T> }\nimpl<'a, T: Clone> S<'a, T> {\n    pub fn f(&mut self, n: u64) -> Option<&'a str> {\n        let v = vec![1, 2];\n        match n { 0 => None, 1 | 2 if n > 0 => Some(self.x), _ => { return None; } }\n    }\n}\n",
+    "java": "package a.b;\nimport static c.D.*;\n@X(1)\npub class_\n",
+    "c": "#include <a.h>\nstruct s { int a; char *b; };\nstatic const int T[] = { 1, 2 };\nint main(int argc, char **argv) { for (int i = 0; i < 3; i++) { a->b = (int) c; } return 0; }\n",
+    "cpp": "#include <a>\nnamespace n { template <typename T> class A : public B { public: A(int x) : y(x) {} std::vector<std::map<int, T>> v; }; }\nauto f(const std::string& s) { auto g = [&](int x) { return x; }; for (const auto& a : b) { std::cout << a << std::endl; } }\n",
+    "csharp": "using A.B;\nnamespace N { public class C<T> : D where T : E { public int X { get; set; } = 1; async Task<int> F(int a, string b = \"\") { foreach (var x in y) { await z(x => x + 1); } return a ?? 0; } } }\n",
+    "ruby": "require 'a'\nclass A < B\n  attr_reader :x\n  def f(a, b = 1, *c, k: 2)\n    a.each do |i|\n      puts i if i > 0\n    end\n    h = { :a => 1, b: 2 }\n  rescue E => e\n    nil\n  end\nend\n",
+    "php": "<?php\nnamespace A\\B;\nuse C\\D;\nclass E extends F implements G {\n  private ?int $x = 1;\n  public function h(array $a, string ...$b): ?int { foreach ($a as $k => $v) { $this->x[] = $v['y'] ?? null; } return fn($z) => $z . 'a'; }\n}\n",
+    "swift": "import A\nstruct S: P {\n  let x: [String: Int]\n  func f(_ a: Int, b c: String = \"\") throws -> Int? {\n    guard let y = a, y > 0 else { return nil }\n    for i in 0..<3 { print(i) }\n    return x.map { $0 + 1 }\n  }\n}\n".replace("$0", "v"),
+    "kotlin": "package a.b\nimport c.*\ndata class P(val x: Int, var y: String?) : Q() {\n  fun f(a: List<Int>): Int? {\n    val z = a.map { it + 1 }\n    return when (z) { null -> 1\n      else -> 2 }\n  }\n}\nfun g() = listOf(1, 2)\n",
+    "scala": "package a\nimport b.{C, D}\ncase class P(x: Int)\nobject O extends T {\n  def f(a: List[Int]): Int = {\n    for (i <- a) { println(i) }\n    a match {\n      case Nil => 1\n      case _ => 2\n    }\n  }\n}\n",
+    "dart": "import 'package:a/b.dart';\nclass A extends B {\n  final int x;\n  Future<void> f(int a, {String b = 'c'}) async {\n    for (final i in y) { await g(i); }\n  }\n}\n",
+}
+VALID["java"] = "package a.b;\nimport static c.D.*;\n@X(1)\npublic class A<T extends B> extends C implements D {\n  private final Map<String, List<T>> m = new HashMap<>();\n  public static void main(String[] args) throws E { for (var x : y) { try { f(x -> x + 1); } catch (E | F e) { throw e; } finally { } } }\n  record P(int a, String b) {}\n}\n"
+FOREIGN = "fn f<'a>(x: &'a str) -> u64 {\n    let mut y = x;\n    return 1;\n}\n"
+
+
+@pytest.mark.parametrize("lang", sorted(VALID))
+def test_valid_source_is_valid(lang):
+    assert parsing.language(lang).first_error(VALID[lang]) is None
+    assert parsing.language(lang).first_error("﻿" + VALID[lang].replace("\n", "\r\n")) is None
+
+
+@pytest.mark.parametrize("lang", sorted(VALID))
+def test_broken_source_is_found(lang):
+    text = VALID[lang]
+    lines = text.split("\n")
+    mid = len(lines) // 2
+    conflict = "\n".join([*lines[:mid], "<<<<<<< HEAD", lines[mid], "=======", lines[mid], ">>>>>>> other", *lines[mid:]])
+    assert parsing.language(lang).first_error(conflict) is not None
+    assert parsing.language(lang).first_error(text + "\n(") is not None
+    if lang != "rust":
+        assert parsing.language(lang).first_error(FOREIGN) is not None
+
+
+def test_empty_and_comment_only_files_are_valid():
+    for lang, mark in (("python", "# a"), ("go", "// a"), ("ruby", "# a"), ("java", "/* a */"), ("cpp", "// a\n")):
+        for text in ("", "﻿", "\n\n", mark):
+            got = parsing.language(lang).first_error(text)
+            assert got is None or lang == "go"
+
+
+def test_python_agrees_with_the_interpreter(sf):
+    t = pq.read_table(f"{sf}/source_files.parquet").to_pandas().drop_duplicates("file_id")
+    for path, lang, text in zip(t.file_path, t.lang, t.text):
+        if text and parsing.language_of(path, lang) == "python":
+            try:
+                ast.parse(text.lstrip("﻿"))
+                ok = True
+            except SyntaxError:
+                ok = False
+            assert (parsing.language("python").first_error(text) is None) == ok, path
+
+
+def test_generalised_parser_on_an_ambiguous_grammar():
+    p = Parser(Tables("E: E + E | a"))
+    for text, ok in (("a + a + a", True), ("a +", False), ("", False), ("a a", False)):
+        p.reset()
+        toks = tuple(text.split())
+        took = (p.feed(toks) if toks else -1) < 0 and p.feed((END,)) < 0
+        assert took == ok, text
+
+
+def test_language_of():
+    assert parsing.language_of("a/b.PY", "java") == "python"
+    assert parsing.language_of("a/b", "C++") == "cpp"
+    assert parsing.language_of("a/b.toml", "unknown") is None
+    assert parsing.language_of(None, None) is None
+
+
+# --- p2: neighbours -----------------------------------------------------------------------------------
+
+
+def test_recall_against_brute_force(spark, sf):
+    got = {tuple(r) for r in neighbours.p2_found(spark, sf).collect()}
+    t = pq.read_table(f"{sf}/vectors.parquet").to_pandas()
+    t = t[t.vector.apply(lambda x: x is not None and len(x) == 384)].drop_duplicates("point_id")
+    x = np.stack(t.vector.values).astype(float)
+    ok = np.isfinite(x).all(1) & (np.abs(x).sum(1) > 0)
+    x, ids = x[ok] / np.linalg.norm(x[ok], axis=1, keepdims=True), t.point_id.values[ok]
+    at = {p: i for i, p in enumerate(ids)}
+    want = set()
+    for p in pq.read_table(f"{sf}/probe_points.parquet").to_pandas().point_id:
+        if p in at:
+            s = x @ x[at[p]]
+            s[at[p]] = -9
+            want |= {(min(p, ids[j]), max(p, ids[j])) for j in np.argsort(-s)[:10]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_vectors_that_take_no_part(spark):
+    v = [float(i % 7 + 1) for i in range(384)]
+    rows = [("a", v), ("b", v), ("b", v), ("c", None), ("d", [0.0] * 384), ("e", v[:10]), ("f", [float("nan")] + v[1:]), (None, v)]
+    df = spark.createDataFrame(rows, "point_id string, vector array<float>").withColumn("id", F.lit(1)).withColumn("code", F.lit("x"))
+    graph, src = neighbours.build_graph(df, "point_id", "vector")
+    assert graph.count() == 2
+    assert neighbours.build_graph(df.where("false"), "point_id", "vector")[0].count() == 0
+
+
+# --- p3: near copies ----------------------------------------------------------------------------------
+
+
+def _triples(text):
+    import re
+
+    w = re.findall(r"[A-Za-z0-9_]+", text.lower())
+    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 30 else None
+
+
+def test_pairs_equal_brute_force(spark, sf):
+    got = {tuple(r) for r in nearcopies.p3_found(spark, sf).collect()}
+    t = pq.read_table(f"{sf}/blocks.parquet").to_pandas().drop_duplicates("block_id")
+    sets = [(b, s) for b, k, c in zip(t.block_id, t.kind, t.content) if k in ("function", "method") and c and (s := _triples(c))]
+    want = set()
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[i + 1 :]:
+            if min(len(x), len(y)) >= 0.6 * max(len(x), len(y)) and len(x & y) >= 0.6 * len(x | y):
+                want.add((min(a, b), max(a, b)))
+    assert got == want
+
+
+def test_copies_and_dirty_rows(spark):
+    rng = random.Random(5)
+    base = " ".join(f"w{rng.randrange(900)}" for _ in range(60))
+    near = base.replace(base.split()[10], "other", 1)
+    rows = [(i, base) for i in range(100)] + [(200, near), (200, near), (201, None), (202, ""), (None, base), (203, "too few words")]
+    df = spark.createDataFrame(rows, "block_id long, content string").withColumn("id", F.lit(0)).withColumn("cls", F.lit(0)).withColumn("text", F.lit("clash"))
+    got = {tuple(r) for r in nearcopies.near_copy_pairs(df, "block_id", "content").collect()}
+    # 100 copies form a star around the smallest id; the different text is linked to the class
+    assert {(0, i) for i in range(1, 100)} <= got and (0, 200) in got and len(got) == 100
+    assert nearcopies.near_copy_pairs(df.where("false"), "block_id", "content").count() == 0
+
+
+def test_fano_masks_cover_two_differences():
+    masks = [set(m) for m in nearcopies.fano_masks()]
+    assert all(len(m) == 3 for m in masks)
+    assert all(any(not {i, j} & m for m in masks) for i in range(7) for j in range(7))
+
+
+# --- p4: credentials ----------------------------------------------------------------------------------
+
+KEY = "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8"
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        f'x = "{KEY}"', 'password = "Vessel_acquire#7537Q"', 'dsn = "postgres://u:Abc123def@db:5432/x"', 'h("Authorization", "Basic ' + base64.b64encode(b"user:Pass1234!").decode() + '")',
+        f'blob = "{base64.b64encode(KEY.encode()).decode()}"', f'blob = "{KEY.encode().hex()}"', 'blob = "{\\"secret\\": \\"Registry_drain*5651\\"}"', 'token = "' + KEY[:20] + '" + "' + KEY[20:] + '"',
+        f"# temporary password: {KEY}", 'login("svc", "Replica_sync8417")', "blob = '" + "".join(f"%{b:02x}" for b in KEY.encode()) + "'",
+    ],
+)
+def test_credential_is_found_and_masked(line):
+    text = f"def f():\n    {line}\n    return 1\n"
+    spans = credentials.scan(text, False)
+    assert [text.count("\n", 0, a) + 1 for a, _, first in spans if first] == [2]
+    out = credentials.mask(text, spans)
+    assert len(out) == len(text) and KEY not in out
+    ast.parse(out)
+
+
+@pytest.mark.parametrize(
+    "line",
+    ['token = "<set-me>"', 'password = "********"', 'password = "vault/db-password"', 'api_key = os.environ["API_KEY"]', 'checksum = "343bb321950eedbf2d394b151a153055"', 'token_kind = "END_OF_INPUT"',
+     'alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"', 'uuid = "dc6537e8-9cf1-434d-af4c-5f1a0ced163f"', 'dsn = "mysql://<user>:<password>@db:3306/x"', 'secret = "collect broken signal"', 'token = "00000000000000000000"'],
+)
+def test_no_credential(line):
+    assert credentials.scan(f"{line}\n", False) == []
+
+
+def test_key_containers():
+    rsa = bytes.fromhex("30820122020100") + b"\x02\x82\x01\x01" + b"\0" * 290
+    assert credentials.key_container(rsa[: 4 + 0x122]) and credentials.key_container(b"openssh-key-v1\0rest")
+    assert not credentials.key_container(b"\x30\x03\x01\x01\xff") and not credentials.key_container(b"")
+
+
+def test_credentials_on_dirty_rows(spark):
+    rows = [(1, f'a = "{KEY}"', None), (1, f'a = "{KEY}"', None), (2, None, "x.py"), (3, "", "x.py"), (None, KEY, "x"), (4, "x" * 300_000, "b.js")]
+    df = spark.createDataFrame(rows, "block_id long, content string, file_path string").withColumn("lines", F.lit(3))
+    got = credentials.find_credentials(df, "block_id", "content", "file_path").select("id", "lines").distinct().collect()
+    assert [(r.id, r.lines) for r in got] == [(1, [1])]
+    assert credentials.find_credentials(df.where("false"), "block_id", "content", "file_path").count() == 0
+
+
+# --- p5: splitting ------------------------------------------------------------------------------------
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab ;{}\n\r", max_size=400), st.integers(1, 60), st.integers(0, 70))
+def test_pieces_cover_the_text(text, limit, overlap):
+    at, rank = (np.array(x, np.int64) for x in splitting.marks(text))
+    p = splitting.plan(len(text), at, rank, limit, overlap)
+    share = min(overlap, limit - 1)
+    assert p[0][0] == 0 and p[-1][1] == len(text)
+    assert all(e - s <= limit for s, e in p)
+    assert all(b[0] == a[1] - share and b[1] > a[1] for a, b in zip(p, p[1:]))
+
+
+def test_ranges_with_halos_equal_the_whole(spark):
+    rng = random.Random(1)
+    texts = [(i, "".join(rng.choice("ab;\n\r \t{x") for _ in range(rng.randrange(1, 900))), i) for i in range(40)] + [(99, None, 1), (100, "", 1)]
+    df = spark.createDataFrame(texts, "block_id long, content string, start_line int").withColumn("id", F.lit(7)).withColumn("r", F.lit(7))
+    for r in splitting.boundary_tables(df, "block_id", "content", "start_line", range_chars=64).collect():
+        assert (r.at, r.rank) == splitting.marks(texts[r.id][1])
+    jobs = spark.createDataFrame([(i, 50, 7) for i in range(40)] + [(1, None, 3), (2, 0, None), (3, 40, None)], "id long, limit_chars int, overlap_chars int")
+    t = splitting.boundary_tables(df, "block_id", "content", "start_line", range_chars=64)
+    pieces = splitting.plan_pieces(t, jobs)
+    for r in splitting.emit_pieces(pieces, df, "block_id", "content", range_chars=64).collect():
+        assert r.text == texts[r.id][1][r.from_char : r.to_char]
+    assert splitting.plan_pieces(t.where("false"), jobs).count() == 0
+
+
+# --- p6: hand-written ---------------------------------------------------------------------------------
+
+
+def test_held_out_accuracy_and_dirty_rows(spark):
+    out, model = handwritten.classify(spark.read.parquet("/root/testdata/sf0.01/source_files.parquet"), "file_id", "file_path", "text", "repo_id")
+    assert model["accuracy"] > 0.85 and out.where("flagged").count() > 30
+    df = spark.createDataFrame([(1, None, None, None), (2, "a.py", "", "r"), (None, "b", "x", "r")], "file_id long, file_path string, text string, repo_id string").withColumn("id", F.lit(1))
+    assert handwritten.classify(df, "file_id", "file_path", "text", "repo_id")[0].count() == 0
+
+
+def test_giveaways():
+    g = handwritten.giveaway
+    assert g("a/b.py", "# Code generated by x. DO NOT EDIT.\nx = 1\n") & 1
+    assert g("vendor/a/b.py", "x = 1") & 2 and not g("vendor_portal/b.py", "x = 1")
+    assert g("a/b_pb2.py", "x") & 4 and g("a/b.min.js", "x") & 4
+    assert not g("a/b.py", "x = 1\n# the id is generated by the span, do not edit it here\n")
+
+
+# --- p7: packing --------------------------------------------------------------------------------------
+
+
+def test_knapsack_equals_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        n = int(rng.integers(1, 5))
+        length, price, most, cap = rng.integers(1, 9, n), rng.random(n), rng.integers(1, 4, n), int(rng.integers(5, 20))
+        got = packing.knapsack(length, price, most, cap)
+        best = max(float(np.dot(c, price)) for c in np.ndindex(*(most + 1)) if np.dot(c, length) <= cap)
+        assert np.dot(got, length) <= cap and (got <= most).all() and abs(np.dot(got, price) - best) < 1e-9
+
+
+def test_containers(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([3, 5, 17, 40, 99, 100, 101, 250])) for i in range(500)] + [(7, 3), (900, 0), (None, 5)]
+    rows[7] = (7, 3)
+    df = spark.createDataFrame(rows, "id long, tokens int").withColumn("piece", F.lit(9)).withColumn("cap", F.lit(1))
+    limits = spark.createDataFrame([(1, 100), (2, 64), (3, None), (None, 5)], "limit_id int, capacity_tokens int")
+    got = packing.pack(df, limits).toPandas()
+    size = dict(rows)
+    for k, cap in ((1, 100), (2, 64)):
+        own = got[got.limit_id == k]
+        assert own.groupby("container").tokens.sum().max() <= cap
+        assert own.groupby("id").tokens.sum().to_dict() == {i: n for i, n in size.items() if i is not None}
+        assert all(n > cap for n in (size[i] for i in own[own.piece > 0].id))
+        least = -(-own.tokens.sum() // cap)
+        assert own.container.nunique() <= 1.25 * least
+    assert packing.pack(df.where("false"), limits).count() == 0
+
+
+# --- p8: mixing ---------------------------------------------------------------------------------------
+
+
+def test_shares(spark):
+    rng = random.Random(3)
+    rows = [(i, s, rng.randrange(20, 400)) for i, s in enumerate(["big"] * 900 + [" Small"] * 40 + ["mid"] * 200)] + [(5000, None, 50), (5001, "big", 0), (None, "big", 9)]
+    df = spark.createDataFrame(rows, "id long, source string, tokens int").withColumn("cap", F.lit(1)).withColumn("mix_id", F.lit(1))
+    t = spark.createDataFrame([(1, "big", 0.5, 2), (1, "small", 0.2, 3), (1, "mid", 0.3, 1), (2, "nobody", 1.0, 2), (2, "mid", None, 1)], "mix_id int, source string, target_share double, max_repeats int")
+    drawn, goals = mixing.mix(df, t)
+    p = drawn.toPandas()
+    tokens = (p.tokens * p.copies).groupby(p.source).sum()
+    share = (tokens / tokens.sum()).to_dict()
+    assert all(abs(share[s] - w) < 0.01 for s, w in (("big", 0.5), ("small", 0.2), ("mid", 0.3)))
+    assert (p.groupby("source").copies.max() <= {"big": 2, "small": 3, "mid": 1}[s] for s in share)
+    assert set(p.mix_id) == {1} and p.id.is_unique
+    assert mixing.mix(df.where("false"), t)[0].count() == 0
+
+
+# --- p9: stuffing -------------------------------------------------------------------------------------
+
+PROSE = "The import graph contains a cycle between the basket and the channel. We decided to scan the probe because the secondary row grew too large. "
+
+
+def test_stuffed_pages(spark):
+    nouns = ["best", "free", "cheap", "buy", "top", "online", "review"]
+    rng = random.Random(4)
+    stuffed = ", ".join(" ".join(rng.sample(nouns, 2) + ["vector store"]) for _ in range(60))
+    links = "\n".join(f"- [thing {i}](https://host{i}.example/a/b)" for i in range(30))
+    explained = "\n".join(f"- [thing {i}](https://h{i}.example/a): {PROSE}" for i in range(10))
+    rows = [(1, stuffed), (2, links), (3, PROSE * 12), (4, explained), (5, "Load nested fuse"), (6, None), (7, ""), (8, "```\nx = 1\n```\n" * 5), (9, PROSE * 3 + links), (1, stuffed), (None, links), (10, "[" * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("host", F.lit("h")).withColumn("id", F.lit(0))
+    got = {r.id for r in stuffing.stuffed_pages(df, "doc_id", "text", F.lit("h")).where("flagged").collect()}
+    assert got == {1, 2, 9}
+    assert stuffing.stuffed_pages(df.where("false"), "doc_id", "text", F.lit("h")).count() == 0
+
+
+def test_plain_never_hides_a_page(sf):
+    for text in pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist():
+        if text and stuffing.plain(text):
+            total, listed, key, *_ = stuffing.evidence(text)
+            assert listed + key <= 0.5 * total
