@@ -33,8 +33,7 @@ def context(blocks: DataFrame, files: DataFrame, edges: DataFrame, requests: Dat
     """
     req = requests.withColumn("query", F.coalesce("query", F.lit(""))).withColumn("top_k", F.coalesce("top_k", F.lit(5)))
     body = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("file_path", F.lit("")), F.coalesce("content", F.lit("")))
-    own = req.select("query_id", "repo_id").join(blocks.select(F.col("block_id").alias("id"), "repo_id"), "repo_id").select("query_id", "id")
-    ranked = sparse.search(blocks, "block_id", body, req, top_k=F.col("top_k") * 6, allowed=own)
+    ranked = materialize(sparse.search(blocks, "block_id", body, req, top_k=F.col("top_k") * 6, scope="repo_id"), "ctx_ranked")
     empty = ranked.where("false").select("query_id", "id", "rank")
     fused = fusion.rrf(dense if dense is not None else empty, ranked).join(req.select("query_id", "top_k"), "query_id").where(F.col("rank") <= F.col("top_k") * 2)
     exact = exact_hits(blocks, req).select("query_id", "block_id", "pos", F.lit(EXACT_SCORE).alias("score"), F.lit(True).alias("exact"))

@@ -56,7 +56,10 @@ def hits(s: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("request_id").alias("query_id"), F.col("hit_rank").alias("pos"), "block_id", "file_path", "start_line", "end_line", "match_type", F.col("relevance_score").alias("score"))
 
 
-BODY = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("file_path", F.lit("")), F.coalesce("content", F.lit("")))
+def body():
+    """The text that a block is searched by."""
+    return F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("file_path", F.lit("")), F.coalesce("content", F.lit("")))
+
 
 # --- sources -----------------------------------------------------------------------------------------
 
@@ -118,7 +121,7 @@ def src12_snapshot(s, d):
     from skerry.session import shared_dir
 
     at = f"{shared_dir(s)}/skerry/index"
-    workspace.save_snapshot({"postings": sparse.postings(blocks(s, d), "block_id", BODY)}, at)
+    workspace.save_snapshot({"postings": sparse.postings(blocks(s, d), "block_id", body())}, at)
     back = workspace.load_snapshot(s, at, ["postings"])["postings"]
     return back.groupBy(F.col("id").alias("block_id")).agg(F.sum("tf").alias("n_tokens"), F.count("*").alias("n_terms"))
 
@@ -221,40 +224,38 @@ def sco1_tokens(s, d):
 
 @query
 def sco2_bm25(s, d):
-    return sparse.search(blocks(s, d), "block_id", BODY, requests(s, d).na.fill(5, ["top_k"])).select("query_id", F.col("id").alias("block_id"), "score", "rank")
+    return sparse.search(blocks(s, d), "block_id", body(), requests(s, d).na.fill(5, ["top_k"])).select("query_id", F.col("id").alias("block_id"), "score", "rank")
 
 
 @query
 def sco2_bm25_documents(s, d):
     """The same operator over prose: every request against all documents."""
     docs = table(s, d, "documents").select("doc_id", "title", "text")
-    body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
-    return sparse.search(docs, "doc_id", body, requests(s, d).na.fill(5, ["top_k"])).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+    prose = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
+    return sparse.search(docs, "doc_id", prose, requests(s, d).na.fill(5, ["top_k"])).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
 @query
 def flt5_bm25_own_repo(s, d):
-    b, r = blocks(s, d), requests(s, d).na.fill(5, ["top_k"])
-    own = r.select("query_id", "repo_id").join(b.select(F.col("block_id").alias("id"), "repo_id"), "repo_id").select("query_id", "id")
-    return sparse.search(b, "block_id", BODY, r, allowed=own).select("query_id", F.col("id").alias("block_id"), "score", "rank")
+    return sparse.search(blocks(s, d), "block_id", body(), requests(s, d).na.fill(5, ["top_k"]), scope="repo_id").select("query_id", F.col("id").alias("block_id"), "score", "rank")
 
 
 @query
 def agg1_term_freq(s, d):
-    return sparse.postings(blocks(s, d), "block_id", BODY).withColumnRenamed("id", "block_id")
+    return sparse.postings(blocks(s, d), "block_id", body()).withColumnRenamed("id", "block_id")
 
 
 @query
 def agg2_doc_freq(s, d):
     b = blocks(s, d)
-    p = sparse.postings(b, "block_id", BODY)
+    p = sparse.postings(b, "block_id", body())
     return sparse.term_stats(p, sparse.corpus_stats(b, p)).select("term", "df", F.round("idf", 8).alias("idf"))
 
 
 @query
 def agg3_corpus(s, d):
     b = blocks(s, d)
-    return sparse.corpus_stats(b, sparse.postings(b, "block_id", BODY)).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return sparse.corpus_stats(b, sparse.postings(b, "block_id", body())).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def _embeddings(s, d):
@@ -283,7 +284,7 @@ def flt7_threshold(s, d):
 
 @query
 def sco3_hashed_embedding(s, d):
-    v = dense.hashed_embedding(blocks(s, d), "block_id", BODY)
+    v = dense.hashed_embedding(blocks(s, d), "block_id", body())
     return v.select(F.col("id").alias("block_id"), F.size("vector").alias("dim"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("weight"))
 
 
@@ -298,7 +299,7 @@ def _request_dense(s, d, k: int):
 @query
 def sco6_rrf(s, d):
     r = requests(s, d).where("query_id % 100 = 0")
-    b = sparse.search(blocks(s, d), "block_id", BODY, r, top_k=F.lit(15))
+    b = sparse.search(blocks(s, d), "block_id", body(), r, top_k=F.lit(15))
     out = fusion.rrf(_request_dense(s, d, 15), b.select("query_id", "id", "rank"), top_k=10)
     return out.select("query_id", F.col("id").alias("block_id"), "rank", "score", "dense_rank", "bm25_rank")
 

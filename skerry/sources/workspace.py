@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skerry.functions.text import extension, language
+from skerry.functions.text import EXTENSIONS, extension, language
 
 #: Patterns that are always ignored, before any rule of a workspace.
 ALWAYS_IGNORED = (
@@ -27,7 +27,8 @@ def tolerant_text(content: Column) -> Column:
 def scan_workspace(spark: SparkSession, root: str, keep_all: bool = False) -> DataFrame:
     """``(file_path, text, hash, mtime, lang)`` of the registered source files under ``root``, paths
     relative to it. Listing and reading are distributed; the suffix filter runs before the read."""
-    pattern = "*" if keep_all else "*.{py,js,jsx,ts,tsx,java,cpp,cc,cxx,c,h,hpp,cs,go,rs,rb,php,swift,kt,kts,dart,scala}"
+    any_case = lambda x: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x)
+    pattern = "*" if keep_all else "*{" + ",".join(any_case(x) for x in EXTENSIONS) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     base = root if "://" in root else "file:" + root
     path = F.regexp_replace("path", "^" + re.escape(base.rstrip("/")).replace("file:", "file:/*") + "/", "")
@@ -101,14 +102,27 @@ def ignored(paths: DataFrame, rules: list[tuple]) -> DataFrame:
 
 
 def read_ignore_files(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitignore",)) -> list[tuple[str, str]]:
-    """``(base_dir, line)`` of the ignore files under ``root``, in path and line order."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(names) + "}").load(root)
-    rows = raw.select("path", tolerant_text(F.col("content")).alias("t")).orderBy("path").collect()  # one small file per folder that has one
-    cut = root.split("://")[-1].rstrip("/") + "/"
+    """``(base_dir, line)`` of the ignore files under ``root``, in path and line order.
+
+    Data sources skip names that begin with a dot, so these few small files are listed and read by
+    the file system itself.
+    """
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toString().rstrip("/") + "/"
+    found, it = [], fs.listFiles(top, True)
+    while it.hasNext():
+        p = it.next().getPath()
+        if p.getName() in names:
+            found.append(p)
     out = []
-    for path, t in rows:
-        rel = path.split(cut, 1)[-1]
-        out += [(rel.rpartition("/")[0], line) for line in t.splitlines()]
+    for p in sorted(found, key=lambda p: p.toString()):
+        with_stream = fs.open(p)
+        text = jvm.org.apache.commons.io.IOUtils.toString(with_stream, "UTF-8")
+        with_stream.close()
+        folder = p.toString()[len(base) :].rpartition("/")[0]
+        out += [(folder, line) for line in text.splitlines()]
     return out
 
 
@@ -144,7 +158,7 @@ def guide_docs(spark: SparkSession, root: str) -> DataFrame:
     head = F.regexp_extract("t", r"(?s)^---\s*\n(.*?)\n---", 1)
     field = lambda k: F.trim(F.regexp_replace(F.regexp_extract(head, rf"(?m)^{k}:\s*(.*)$", 1), r"^[\"']|[\"']$", ""))
     folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    return raw.select("path", F.coalesce(F.when(field("name") != "", field("name")), folder).alias("name"), field("description").alias("description"), F.trim(F.regexp_replace("t", r"(?s)^---\s*\n.*?\n---\s*", "")).alias("body"))
+    return raw.select("path", F.coalesce(F.when(field("name") != "", field("name")), folder).alias("name"), field("description").alias("description"), F.regexp_replace(F.regexp_replace("t", r"(?s)^---\s*\n.*?\n---\s*", ""), r"^\s+|\s+\z", "").alias("body"))
 
 
 def save_snapshot(frames: dict[str, DataFrame], path: str, partition: dict[str, list[str]] | None = None) -> None:
