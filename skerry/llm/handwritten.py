@@ -26,7 +26,7 @@ BITS = 16
 GRAM = 5
 SAMPLE = 6_000
 #: Share of the margin that a giveaway is worth.
-PRIOR = 1.5
+PRIOR = 2.5
 
 #: Folders of third-party or generated code.
 FOLDERS = frozenset(
