@@ -127,12 +127,18 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, depth: int = 2, fan: int =
 
 
 def blast_summary(radius: DataFrame, most: int = 20) -> DataFrame:
-    """Counts and (cut, sorted) lists per symbol."""
-    cut = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, most)
-    return radius.groupBy("symbol").agg(
-        F.count_distinct("source_symbol").alias("callers"), cut("source_symbol").alias("caller_list"), F.count_distinct("source_file").alias("files"), cut("source_file").alias("file_list"),
-        F.array_sort(F.collect_set(F.when(F.col("source_file").rlike(TEST_PATH), F.col("source_file")))).alias("tests"),
-    )
+    """Counts and sorted lists per symbol. Lists are cut to ``most`` before they are gathered, so a
+    symbol with very many callers never fills one task."""
+
+    def cut(column: str, name: str, rows: DataFrame) -> DataFrame:
+        one = rows.select("symbol", F.col(column).alias("x")).distinct()
+        r = F.row_number().over(W.partitionBy("symbol").orderBy("x"))
+        return one.withColumn("r", r).where(F.col("r") <= most).groupBy("symbol").agg(F.array_sort(F.collect_list("x")).alias(name))
+
+    tests = radius.where(F.col("source_file").rlike(TEST_PATH))
+    n = radius.groupBy("symbol").agg(F.count_distinct("source_symbol").alias("callers"), F.count_distinct("source_file").alias("files"), F.count_distinct(F.when(F.col("source_file").rlike(TEST_PATH), F.col("source_file"))).alias("n_tests"))
+    out = n.join(cut("source_symbol", "caller_list", radius), "symbol").join(cut("source_file", "file_list", radius), "symbol").join(cut("source_file", "tests", tests), "symbol", "left")
+    return out.withColumn("tests", F.coalesce("tests", F.array().cast("array<string>")))
 
 
 def call_paths(edges: DataFrame, pairs: DataFrame, depth: int = 4) -> DataFrame:

@@ -504,7 +504,7 @@ def gra1_blast(s, d):
 @query
 def agg9_blast_summary(s, d):
     b = graph.blast_summary(graph.blast_radius(edges(s, d), _seeds(s, d), 2))
-    return b.select("symbol", "callers", "files", F.array_join("caller_list", ",").alias("caller_list"), F.array_join("file_list", ",").alias("file_list"), F.size("tests").alias("n_tests"))
+    return b.select("symbol", "callers", "files", F.array_join("caller_list", ",").alias("caller_list"), F.array_join("file_list", ",").alias("file_list"), "n_tests")
 
 
 @query
@@ -605,6 +605,100 @@ def str7_needs_reindex(s, d):
     return sync.needs_reindex(manifest, heads)
 
 
+# --- the remaining joins, windows, sets and limits ----------------------------------------------------
+
+
+@query
+def src2_tenant_blocks(s, d):
+    """Scanned blocks and module blocks, stamped with their tenant."""
+    f = files(s, d, "repo_id", "file_path", "text")
+    b = extract.scan_blocks(f, ["file_id", "repo_id"])
+    m = extract.module_blocks(f, b, "file_id", ["file_id", "repo_id", "file_path"]).withColumn("name", F.lit(None).cast("string"))
+    r = table(s, d, "repos").select("repo_id", F.coalesce("org_id", F.lit("default_org")).alias("org_id"), F.coalesce("dept_id", F.lit("default_dept")).alias("dept_id"))
+    every = b.unionByName(m.select(b.columns)).join(F.broadcast(r), "repo_id", "left")  # one row per repository
+    return every.groupBy("org_id", "dept_id", "repo_id", "kind").agg(F.count("*").alias("n_blocks"))
+
+
+@query
+def joi3_hit_neighbours(s, d):
+    e = edges(s, d)
+    h = hits(s, d).select("block_id").distinct().join(blocks(s, d, "name", "file_path"), "block_id").where("name <> '' and name <> 'anonymous'").select("block_id", "file_path", F.col("name").alias("symbol"))
+    ins = graph.callers(e, h, 5).groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_list(F.concat("source_symbol", F.lit(" ("), T.basename(F.col("source_file")), F.lit(")")))), ",").alias("callers"), F.count("*").alias("callers_count"))
+    outs = graph.callees(e, h).groupBy("file_path", "symbol").agg(F.count_distinct("target_symbol").alias("callees_count"))
+    j = h.join(ins, "symbol", "left").join(outs, ["file_path", "symbol"], "left").na.fill(0, ["callers_count", "callees_count"]).na.fill("", ["callers"])
+    return j.select("block_id", "callers", "callers_count", "callees_count")
+
+
+@query
+def sco8_exact_first(s, d):
+    e = context.exact_hits(blocks(s, d, "name", "repo_id", "file_path", "start_line"), requests(s, d)).select("query_id", "block_id", "pos")
+    h = hits(s, d).groupBy("query_id", "block_id").agg(F.min("pos").alias("pos"))
+    return fusion.first_by_key([e, h], ["block_id"]).select("query_id", "block_id", "pos")
+
+
+@query
+def set2_changed_paths(s, d):
+    c = sync.last_events(_changes(s, d))
+    added = table(s, d, "source_files").groupBy(F.concat_ws("/", "repo_id", "file_path").alias("path")).agg(F.count_distinct("file_id").alias("n")).where("n = 1").select("path")
+    return c.where("op = 'modified'").select("path").union(added).distinct()
+
+
+@query
+def set6_federated_dense(s, d):
+    """Five hits of every label (a collection each), merged and cut to ten."""
+    from functools import reduce
+
+    v = _embeddings(s, d)
+    q = _embedding_queries(s, d)
+    parts = [dense.top_k(v.where(F.col("label") == i), q, 5, dim=64).select("query_id", "id", "score") for i in range(3)]
+    from pyspark.sql import Window as W
+
+    every = reduce(DataFrame.unionByName, parts)
+    return every.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rank <= 10")
+
+
+@query
+def win2_repo_top5(s, d):
+    from pyspark.sql import Window as W
+
+    h = hits(s, d).join(blocks(s, d, "repo_id"), "block_id").groupBy("repo_id", "block_id").agg(F.max("score").alias("score"))
+    return h.withColumn("rank", F.row_number().over(W.partitionBy("repo_id").orderBy(F.desc("score"), "block_id"))).where("rank <= 5")
+
+
+@query
+def win4_concern_first(s, d):
+    h = hits(s, d).join(blocks(s, d, "name"), "block_id").withColumn("concern", T.concern(F.col("file_path"), F.col("name")))
+    return h.groupBy("query_id", "concern").agg(F.min(F.struct("pos", "block_id")).alias("x")).select("query_id", "concern", "x.pos", "x.block_id")
+
+
+@query
+def agg8_ordered_distinct(s, d):
+    first = hits(s, d).groupBy("query_id", "file_path").agg(F.min("pos").alias("pos"))
+    g = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "file_path"))).alias("x"))
+    return g.select("query_id", F.array_join("x.file_path", ",").alias("file_list"))
+
+
+@query
+def top5_cap(s, d):
+    g = hits(s, d).groupBy("query_id").agg(F.count("*").alias("n"))
+    return g.select("query_id", F.least("n", F.lit(5)).alias("shown"), (F.col("n") > 5).alias("truncated"))
+
+
+@query
+def flt6_repo_scope(s, d):
+    """Callers within the request's repository; the default repository means no restriction."""
+    e = graph.calls(edges(s, d)).select("repo_id", F.col("target_symbol").alias("symbol"), "source_symbol", "source_file").distinct()
+    r = requests(s, d).select("query_id", "repo_id").join(hits(s, d).where("pos = 1").select("query_id", "block_id").distinct(), "query_id").join(blocks(s, d, "name"), "block_id")
+    w = r.where("name <> ''").select("query_id", F.coalesce("repo_id", F.lit("default_repo")).alias("scope"), F.col("name").alias("symbol")).distinct()
+    return w.join(e, "symbol").where("scope = 'default_repo' or scope = repo_id").groupBy("query_id", "symbol").agg(F.count("*").alias("n_callers"))
+
+
+@query
+def str6_empty_index(s, d):
+    """Repositories whose index is empty and has to be built before answering."""
+    return table(s, d, "repos").select("repo_id").join(blocks(s, d, "repo_id").where("name is not null").select("repo_id").distinct(), "repo_id", "left_anti")
+
+
 # --- the bundled query -------------------------------------------------------------------------------
 
 

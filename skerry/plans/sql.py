@@ -317,6 +317,43 @@ SQL: dict[str, str] = {
     "str7_needs_reindex": "WITH n AS (SELECT repo_id, count(DISTINCT block_id) AS c FROM blocks GROUP BY 1) SELECT r.repo_id FROM repos r LEFT JOIN n USING (repo_id) WHERE coalesce(n.c, 0) <= 20 OR r.repo_url IS NULL",
 }
 
+MODULES = f"(SELECT file_id, 'module' AS kind FROM {FILES} WHERE regexp_replace(text, '[\\s\\x0B]', '', 'g') <> '' AND file_id NOT IN (SELECT file_id FROM {SCAN}))"
+SQL |= {
+    "src2_tenant_blocks": f"""
+        SELECT r.org_id, r.dept_id, f.repo_id, b.kind, count(*) AS n_blocks FROM (SELECT file_id, kind FROM {SCAN} UNION ALL SELECT file_id, kind FROM {MODULES}) b JOIN {FILES} f USING (file_id)
+        LEFT JOIN (SELECT repo_id, coalesce(org_id, 'default_org') AS org_id, coalesce(dept_id, 'default_dept') AS dept_id FROM repos) r ON r.repo_id = f.repo_id GROUP BY ALL
+    """,
+    "joi3_hit_neighbours": f"""
+        WITH h AS (SELECT DISTINCT b.block_id, b.file_path, b.name AS symbol FROM {B} b WHERE b.block_id IN (SELECT block_id FROM chunks) AND name <> '' AND name <> 'anonymous'),
+        c AS (SELECT target_symbol AS symbol, source_symbol || ' (' || {BASE.format('source_file')} || ')' AS x FROM (SELECT DISTINCT target_symbol, source_symbol, source_file FROM {CALLS} WHERE source_symbol <> '') QUALIFY row_number() OVER (PARTITION BY target_symbol ORDER BY source_symbol, source_file) <= 5),
+        i AS (SELECT symbol, array_to_string(list_sort(list(x)), ',') AS callers, count(*) AS callers_count FROM c GROUP BY symbol),
+        o AS (SELECT source_file AS file_path, source_symbol AS symbol, count(DISTINCT target_symbol) AS callees_count FROM {CALLS} GROUP BY ALL)
+        SELECT block_id, coalesce(callers, '') AS callers, coalesce(callers_count, 0) AS callers_count, coalesce(callees_count, 0) AS callees_count FROM h LEFT JOIN i USING (symbol) LEFT JOIN o USING (file_path, symbol)
+    """,
+    "sco8_exact_first": f"""
+        WITH {exact_hits()}, e AS (SELECT query_id, block_id, row_number() OVER (PARTITION BY query_id ORDER BY word_no, file_path, start_line, block_id) AS pos FROM x),
+        u AS (SELECT *, 0 AS part FROM e UNION ALL SELECT query_id, block_id, min(pos), 1 FROM {H} GROUP BY ALL), k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, block_id ORDER BY part, pos) = 1)
+        SELECT query_id, block_id, row_number() OVER (PARTITION BY query_id ORDER BY part, pos) AS pos FROM k
+    """,
+    "set2_changed_paths": f"SELECT path FROM {LAST} WHERE op = 'modified' UNION SELECT repo_id || '/' || file_path FROM source_files GROUP BY 1 HAVING count(DISTINCT file_id) = 1",
+    "set6_federated_dense": """
+        WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+        s AS (SELECT query_id, vec_id AS id, label, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE label IN (0, 1, 2)),
+        t AS (SELECT query_id, id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) <= 5)
+        SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM t QUALIFY rank <= 10
+    """,
+    "win2_repo_top5": f"SELECT repo_id, block_id, score, row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, block_id) AS rank FROM (SELECT b.repo_id, h.block_id, max(h.score) AS score FROM {H} h JOIN {B} b USING (block_id) GROUP BY ALL) QUALIFY rank <= 5",
+    "win4_concern_first": f"SELECT query_id, concern, x[1] AS pos, x[2] AS block_id FROM (SELECT h.query_id, {CONCERN.replace('file_path', 'h.file_path').replace('coalesce(name', 'coalesce(b.name')} AS concern, min((h.pos, h.block_id)) AS x FROM {H} h JOIN {B} b USING (block_id) GROUP BY ALL)",
+    "agg8_ordered_distinct": f"SELECT query_id, string_agg(file_path, ',' ORDER BY pos, file_path) AS file_list FROM (SELECT query_id, file_path, min(pos) AS pos FROM {H} GROUP BY ALL) GROUP BY query_id",
+    "top5_cap": f"SELECT query_id, least(count(*), 5) AS shown, count(*) > 5 AS truncated FROM {H} GROUP BY query_id",
+    "flt6_repo_scope": f"""
+        WITH w AS (SELECT DISTINCT r.query_id, coalesce(r.repo_id, 'default_repo') AS scope, b.name AS symbol FROM {R} r JOIN {H} h USING (query_id) JOIN {B} b USING (block_id) WHERE h.pos = 1 AND b.name <> ''),
+        e AS (SELECT DISTINCT repo_id, target_symbol AS symbol, source_symbol, source_file FROM edges WHERE relation = 'calls')
+        SELECT query_id, symbol, count(*) AS n_callers FROM w JOIN e USING (symbol) WHERE scope = 'default_repo' OR scope = repo_id GROUP BY ALL
+    """,
+    "str6_empty_index": "SELECT repo_id FROM repos WHERE repo_id NOT IN (SELECT repo_id FROM blocks WHERE name IS NOT NULL)",
+}
+
 
 def _ignore_rules() -> list[tuple]:
     lines = [("", "*_pb2.py"), ("", "*.min.js"), ("", "/tools/"), ("src", "generated_reports/"), ("", "vendor/**"), ("", "!vendor/pandoline/**"), ("app", "[!a-m]*.go"), ("", "quer?_*")]
