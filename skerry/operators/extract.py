@@ -60,3 +60,54 @@ def call_edges(blocks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     e = src.select(*keep, "source_file", "source_symbol", F.explode(F.regexp_extract_all(F.col("content"), F.lit(r"(?<![a-zA-Z0-9_])([a-zA-Z0-9_]{3,})\s*\("), F.lit(1))).alias("target_symbol"))
     e = e.where((F.col("target_symbol") != F.col("source_symbol")) & ~F.col("target_symbol").isin(*NOT_CALLS))
     return e.select(*keep, "source_file", "source_symbol", F.lit("").alias("target_file"), "target_symbol", F.lit("calls").alias("relation"), F.lit(0.8).alias("confidence"))
+
+
+def _parsed(batches):
+    import ast
+
+    import pyarrow as pa
+
+    kinds = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.ClassDef: "class"}
+    for b in batches:
+        rows, kind, name, first, last, ok = [], [], [], [], [], []
+        for i, text in enumerate(b.column("text").to_pylist()):
+            found = []
+            try:
+                found = [n for n in ast.walk(ast.parse(text.lstrip("\ufeff"))) if type(n) in kinds]
+                good = True
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                good = False
+            for n in found:
+                rows.append(i)
+                kind.append(kinds[type(n)])
+                name.append(n.name)
+                first.append(min([n.lineno, *(d.lineno for d in n.decorator_list)]))
+                last.append(n.end_lineno)
+                ok.append(True)
+            if not good:
+                rows.append(i)
+                kind.append(None)
+                name.append(None)
+                first.append(None)
+                last.append(None)
+                ok.append(False)
+        pick = pa.array(rows, pa.int64())
+        keep = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays(
+            [*(b.column(c).take(pick) for c in keep), pa.array(kind, pa.string()), pa.array(name, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(ok)], [*keep, "kind", "name", "start_line", "end_line", "parsed"]
+        )
+
+
+def syntax_blocks(files: DataFrame, key: str, path: str = "file_path", text: str = "text") -> DataFrame:
+    """``(key, kind, name, start_line, end_line)`` with exact ends, nested blocks included.
+
+    Python files are parsed; other files, and Python files that do not parse, go through the line
+    scanner. Null and empty texts give no blocks.
+    """
+    src = files.where(F.length(text) > 0).select(key, F.col(path).alias("file_path"), F.col(text).alias("text"))
+    python = src.where(F.lower("file_path").endswith(".py"))
+    kind = src.schema[key].dataType.simpleString()
+    out = spread(python.select(key, "text")).mapInArrow(_parsed, f"{key} {kind}, kind string, name string, start_line int, end_line int, parsed boolean")
+    rest = src.where(~F.lower("file_path").endswith(".py")).unionByName(src.join(out.where("not parsed").select(key).distinct(), key, "left_semi"))
+    cols = [key, "kind", "name", "start_line", "end_line"]
+    return out.where("parsed").select(cols).unionByName(scan_blocks(rest, [key]).select(cols))

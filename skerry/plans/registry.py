@@ -135,6 +135,11 @@ def prj2_scan_blocks(s, d):
     return b.select("file_id", "kind", "name", "start_line", "end_line", F.md5("content").alias("content_hash"))
 
 
+@query
+def prj1_syntax_blocks(s, d):
+    return extract.syntax_blocks(files(s, d, "file_path", "text"), "file_id")
+
+
 @query
 def prj3_import_edges(s, d):
     return extract.import_edges(files(s, d, "file_path", "text"), keep=("file_id",)).select("file_id", "source_symbol", "target_symbol", "relation", "confidence")

@@ -153,6 +153,12 @@ def test_scanner_window_and_modules(spark):
     assert [(x.file_id, x.end_line, len(x.content)) for x in m] == [(2, 900, 4000)]
 
 
+def test_syntax_blocks(spark):
+    df = spark.createDataFrame([(1, "a.py", "class A:\n    def f(self):\n        pass\n\n@d\nasync def g():\n    pass\n"), (2, "b.py", "def broken(:\n"), (3, "c.go", "func h() {\n}\n"), (4, "d.py", "")], "file_id int, file_path string, text string")
+    got = sorted((r.file_id, r.kind, r.name, r.start_line, r.end_line) for r in extract.syntax_blocks(df, "file_id").collect())
+    assert got == [(1, "class", "A", 1, 3), (1, "function", "f", 2, 3), (1, "function", "g", 5, 7), (2, "function", "broken", 1, 1), (3, "function", "h", 1, 2)]
+
+
 def test_edges_from_text(spark):
     df = spark.createDataFrame([("a/b.py", "import os.path\nfrom x import y\nconst z = require('./q/r');\nuse a::b;\n#include <c/d.h>\n")], "file_path string, text string")
     got = sorted(r.target_symbol for r in extract.import_edges(df).collect())
