@@ -1,8 +1,9 @@
 """The k most similar vectors of every vector: an NN-descent graph and greedy search over it.
 
-1. *Index.* A two-level tree of centroids is fitted on a bounded sample (``SAMPLE`` vectors); every
-   vector is then assigned to its two closest leaves. Leaves hold about ``LEAF`` vectors; a leaf that
-   the sample shows to be hot is salted into several, so no task gets an unbounded group.
+1. *Index.* A two-level tree of centroids is fitted on a sample that grows with the vectors (at
+   least ``SAMPLE``); every vector is then assigned to its two closest leaves. A leaf that the sample
+   shows to hold more than ``HOT_LEAF`` vectors is split by further centroids on its own vectors; one
+   beyond ``TASK_LEAF`` is cut into salts, and each salt meets each other salt in a task.
 2. *Initial lists.* Inside a leaf all pairs are compared on 8-bit codes (one matrix product).
 3. *NN-descent.* A join on the pivot brings together the points that list the same neighbour. Pairs
    that never met in a leaf are estimated by 256-bit sign sketches, and those that can enter a list
@@ -29,11 +30,17 @@ from skerry.session import materialize, slices, spread, table
 
 DIM = 384
 K = 10
-LEAF = 400
-HOT_LEAF = 1500
+LEAF = 1200
+HOT_LEAF = 4000
+#: Vectors of a part of a split leaf.
+PART = 1000
+#: Half of the most vectors of a leaf that one task holds.
+TASK_LEAF = 20_000
 #: A second leaf is taken if it is at least this share as similar as the first.
 SECOND = 0.85
 SAMPLE = 12_000
+#: Vectors for each one of the sample, where that gives more than SAMPLE.
+SAMPLED = 400
 ROUNDS = 1
 EXTRA = 10
 FAN_IN = 24
@@ -83,9 +90,11 @@ def fit(x: np.ndarray, n: int, seed: int = 7) -> dict:
             fine.append(c)
             owner.append(np.full(len(c), j))
     model = {"top": top, "fine": np.concatenate(fine), "owner": np.concatenate(owner)}
-    model["salts"] = np.ones(len(model["fine"]), np.int64)
-    share = np.bincount(assign(model, x)[:, 0], minlength=len(model["fine"])) / len(x)
-    model["salts"] = np.maximum(1, np.ceil(share * n / HOT_LEAF)).astype(np.int64)
+    leaf = assign(model, x)
+    held = np.concatenate([leaf[:, 0], leaf[leaf[:, 1] != leaf[:, 0], 1]])
+    size = np.bincount(held, minlength=len(model["fine"])) / len(x) * n
+    model["split"] = size > HOT_LEAF
+    model["salts"] = np.where(size > 2 * TASK_LEAF, np.ceil(size / TASK_LEAF), 1).astype(np.int64)
     return model
 
 
@@ -139,13 +148,18 @@ def _place(batches: Iterator[pa.RecordBatch], model: dict, dim: int) -> Iterator
             continue
         ids = np.asarray(batch.column(0))[rows]
         leaf = assign(model, x)
-        salt = (ids.view(np.uint64)[:, None] >> np.uint64(7)) % model["salts"][leaf].astype(np.uint64)
-        leaf = leaf + base * salt.astype(np.int64)
         rec = np.empty(len(ids), _record(dim))
         rec["id"], rec["l0"], rec["l1"], rec["code"] = ids, leaf[:, 0], leaf[:, 1], codes(x)
         two = leaf[:, 1] != leaf[:, 0]
         where = np.concatenate([leaf[:, 0], leaf[two, 1]])
         src = np.concatenate([np.arange(len(ids)), np.flatnonzero(two)])
+        # a vector of a salted leaf goes to every pair of salts that holds its own
+        salts = model["salts"][where]
+        rep = np.repeat(np.arange(len(where)), salts)
+        other = np.arange(len(rep)) - np.repeat(np.cumsum(salts) - salts, salts)
+        src, salts = src[rep], salts[rep]
+        own = ((ids[src].view(np.uint64) >> np.uint64(7)) % salts.astype(np.uint64)).astype(np.int64)
+        where = where[rep] + base * (np.minimum(own, other) * salts + np.maximum(own, other))
         order = np.argsort(where, kind="stable")
         keys, first = np.unique(where[order], return_index=True)
         cut = np.append(first, len(order))
@@ -168,24 +182,46 @@ def _by_slice(rec: np.ndarray, key: np.ndarray, n: int) -> pa.Table:
     return pa.table({"slice": pa.array(keep.astype(np.int32)), "blob": pa.array([rec[order[cut[j] : cut[j + 1]]].tobytes() for j in keep], pa.binary())})
 
 
-def _in_leaf(tbl: pa.Table, dim: int, n_slices: int) -> pa.Table:
-    """Exact lists inside one leaf, as node records by slice of the id."""
+def _parts(x: np.ndarray, rows: np.ndarray, depth: int = 3) -> list[np.ndarray]:
+    """``rows`` of ``x`` in overlapping parts by centroids on these vectors, each row in its closest two."""
+    if len(rows) <= HOT_LEAF or depth == 0:
+        return [rows]
+    k = -(-len(rows) // PART)
+    rng = np.random.default_rng(7)
+    c = _kmeans(x[rng.choice(rows, min(len(rows), 30 * k), replace=False)], k, rng, 5)
+    near = np.concatenate([np.argpartition(-(x[rows[a : a + 4096]] @ c.T), 1, axis=1)[:, :2] for a in range(0, len(rows), 4096)])
+    own = [rows[(near == j).any(1)] for j in range(k)]
+    own = [r for r in own if len(r)]
+    return [rows] if max(map(len, own)) == len(rows) else [q for r in own for q in _parts(x, r, depth - 1)]
+
+
+def _in_leaf(tbl: pa.Table, dim: int, n_slices: int, split: np.ndarray) -> pa.Table:
+    """Exact lists inside one leaf, or the parts of a ``split`` one, as node records by slice of the id."""
     rec = np.concatenate([np.frombuffer(b, _record(dim)) for b in tbl.column("blob").to_pylist()])
     _, once = np.unique(rec["id"], return_index=True)
     rec = rec[once]
     x = decode(rec["code"])
     m = len(rec)
-    k = min(K, m - 1)
     out = np.zeros(m, NODE)
     out["id"], out["l0"], out["l1"] = rec["id"], rec["l0"], rec["l1"]
     out["bits"] = np.packbits(x @ _planes(dim) > 0, axis=1)
     out["sim"] = -9
-    for a in range(0, m if k else 0, 2048):
-        s = x[a : a + 2048] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -9
-        best = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < m - 1 else np.argsort(-s, 1)[:, :k]
-        out["nbr"][a : a + 2048, :k] = rec["id"][best]
-        out["sim"][a : a + 2048, :k] = np.take_along_axis(s, best, 1)
+    every = np.arange(m)
+    us, vs, ss = [], [], []
+    for part in _parts(x, every) if split[tbl.column("leaf")[0].as_py() % len(split)] else [every]:
+        own = x[part]
+        k = min(K, len(part) - 1)
+        for a in range(0, len(part) if k else 0, 2048):
+            s = own[a : a + 2048] @ own.T
+            s[np.arange(len(s)), np.arange(a, a + len(s))] = -9
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(part) - 1 else np.argsort(-s, 1)[:, :k]
+            us.append(np.repeat(part[a : a + 2048], k))
+            vs.append(part[best].ravel())
+            ss.append(np.take_along_axis(s, best, 1).ravel())
+    if us:
+        u, v, s = _best(np.concatenate(us), np.concatenate(vs), np.concatenate(ss), K)
+        at = np.arange(len(u)) - np.searchsorted(u, u)
+        out["nbr"][u, at], out["sim"][u, at] = rec["id"][v], s
     return _by_slice(out, out["id"], n_slices)
 
 
@@ -243,7 +279,7 @@ def _to_pivots(batches: Iterator[pa.RecordBatch], n_slices: int) -> Iterator[pa.
 _COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def _local_join(tbl: pa.Table, n_slices: int, slack: float) -> pa.Table:
+def _local_join(tbl: pa.Table, n_slices: int, slack: float, split: np.ndarray) -> pa.Table:
     """Pairs that share a pivot, never met in a leaf, and may enter a list."""
     rec = np.concatenate([np.frombuffer(b, MEMBER) for b in tbl.column("blob").to_pylist()])
     # the sampling of NN-descent: of a pivot listed by very many points, FAN_IN at random take part
@@ -252,6 +288,8 @@ def _local_join(tbl: pa.Table, n_slices: int, slack: float) -> pa.Table:
     _, first, count = np.unique(rec["pivot"], return_index=True, return_counts=True)
     rec = rec[np.arange(len(rec)) - np.repeat(first, count) < FAN_IN]
     pivot, l0, l1, kth = (np.ascontiguousarray(rec[c]) for c in ("pivot", "l0", "l1", "kth"))
+    # two vectors of a split leaf need not have met in it
+    l0, l1 = np.where(split[l0], -1, l0), np.where(split[l1], -1, l1)
     us, vs, ss = [], [], []
     live = np.arange(len(rec))
     for d in range(1, FAN_IN):
@@ -260,7 +298,8 @@ def _local_join(tbl: pa.Table, n_slices: int, slack: float) -> pa.Table:
         if not len(live):
             break
         e = live + d
-        new = (l0[live] != l0[e]) & (l0[live] != l1[e]) & (l1[live] != l0[e]) & (l1[live] != l1[e])
+        met = (l0[live] >= 0) & ((l0[live] == l0[e]) | (l0[live] == l1[e])) | (l1[live] >= 0) & ((l1[live] == l0[e]) | (l1[live] == l1[e]))
+        new = ~met
         a, e = live[new], e[new]
         far = _COUNT[rec["bits"][a] ^ rec["bits"][e]].sum(1, dtype=np.int32)
         est = np.cos(np.pi * far / BITS).astype(np.float32)
@@ -300,24 +339,25 @@ def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, rounds
     spark = df.sparkSession
     src = spread(df.select(F.xxhash64(id_col).alias("id"), F.col(id_col).alias("key"), F.col(vec_col).cast("array<float>").alias("vector")).where(f"key is not null and size(vector) = {dim}"))
     n = src.count()
-    share = min(1.0, SAMPLE / max(n, 1))
-    some = src.where(F.pmod(F.col("id") / 64, F.lit(1_000_000)).cast("long") < int(share * 1_000_000) + (share == 1.0)).select("vector").limit(2 * SAMPLE).toArrow()
+    sample = max(SAMPLE, n // SAMPLED)
+    share = min(1.0, sample / max(n, 1))
+    some = src.where(F.pmod(F.col("id") / 64, F.lit(1_000_000)).cast("long") < int(share * 1_000_000) + (share == 1.0)).select("vector").limit(2 * sample).toArrow()
     _, x = _unit(some.column(0).combine_chunks() if some.num_rows else pa.array([], pa.list_(pa.float32())), dim)
     cut = slices(spark, n, 10_000)
     if not len(x):
         return spark.createDataFrame([], GRAPH_DDL), src
     model = fit(x, n)
     placed = src.select("id", "vector").mapInArrow(lambda it: _place(it, model, dim), "leaf long, blob binary")
-    lists = placed.groupBy("leaf").applyInArrow(lambda t: _in_leaf(t, dim, cut), "slice int, blob binary")
+    lists = placed.groupBy("leaf").applyInArrow(lambda t: _in_leaf(t, dim, cut, model["split"]), "slice int, blob binary")
     graph = materialize(lists.groupBy("slice").applyInArrow(lambda t: _merge(t, K), GRAPH_DDL), "knn_graph")
     for _ in range(rounds):
         meet = graph.mapInArrow(lambda it: _to_pivots(it, cut), "slice int, blob binary")
-        pairs = meet.groupBy("slice").applyInArrow(lambda t: _local_join(t, cut, 0.05), "slice int, blob binary")
+        pairs = meet.groupBy("slice").applyInArrow(lambda t: _local_join(t, cut, 0.05, model["split"]), "slice int, blob binary")
         new = pairs.groupBy("slice").applyInArrow(_grown, "id long, new_nbr array<long>, new_sim array<float>")
-        none = F.array().cast("array<long>"), F.array().cast("array<float>")
-        graph = graph.join(new, "id", "left").select(
-            "id", "l0", "l1", "bits", "kth", "exact",
-            F.concat("nbr", F.coalesce("new_nbr", none[0])).alias("nbr"), F.concat("sim", F.coalesce("new_sim", none[1])).alias("sim"),
+        # two vectors of a split leaf may have met in it: what a list holds already is not new
+        fresh = F.expr("filter(arrays_zip(new_nbr, new_sim), e -> not array_contains(nbr, e.new_nbr))")
+        graph = graph.join(new, "id", "left").withColumn("fresh", F.coalesce(fresh, F.array().cast("array<struct<new_nbr:bigint,new_sim:float>>"))).select(
+            "id", "l0", "l1", "bits", "kth", "exact", F.concat("nbr", "fresh.new_nbr").alias("nbr"), F.concat("sim", "fresh.new_sim").alias("sim"),
         )
         graph = materialize(graph, "knn_graph")
     return graph, src

@@ -119,6 +119,25 @@ def test_vectors_that_take_no_part(spark):
     assert neighbours.build_graph(df.where("false"), "point_id", "vector")[0].count() == 0
 
 
+def test_every_pair_of_a_hot_leaf_meets():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 384)).astype(np.float32)
+    model = neighbours.fit(x / np.linalg.norm(x, axis=1, keepdims=True), 100_000)
+    ids = rng.integers(1, 2**62, 300)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(x))], ["id", "vector"])
+    model["owner"], model["fine"], model["top"] = np.zeros(1, int), model["fine"][:1], model["top"][:1]
+    model["salts"] = np.array([3])
+    met = np.zeros((300, 300), bool)
+    at = {int(i): k for k, i in enumerate(ids)}
+    for b in neighbours._place([batch], model, 384):
+        for blob in b.column("blob").to_pylist():
+            own = [at[int(i)] for i in np.frombuffer(blob, neighbours._record(384))["id"]]
+            met[np.ix_(own, own)] = True
+    assert met.all()
+
+
 # --- p3: near copies ----------------------------------------------------------------------------------
 
 
