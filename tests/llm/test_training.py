@@ -160,6 +160,15 @@ def test_pairs_equal_brute_force(spark, sf):
     assert got == want
 
 
+def test_no_pair_of_boilerplate_is_lost(spark):
+    rng = random.Random(6)
+    same = " ".join(f"b{i}" for i in range(60))
+    rows = [(i, same + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(17))) for i in range(420)]
+    df = spark.createDataFrame(rows, "block_id long, content string")
+    # 58 of 92 triples in common: every pair counts, and its shared triples are all frequent
+    assert nearcopies.near_copy_pairs(df, "block_id", "content").count() == 420 * 419 // 2
+
+
 def test_copies_and_dirty_rows(spark):
     rng = random.Random(5)
     base = " ".join(f"w{rng.randrange(900)}" for _ in range(60))
