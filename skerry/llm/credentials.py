@@ -73,7 +73,10 @@ _INNER = re.compile(r"[\"']?([\w.-]+)[\"']?\s*[:=]\s*[\"']?([^\"'\s,;&}]{6,})")
 _HEX = re.compile(r"^(?:[0-9a-fA-F]{2}){8,}$")
 _B64 = re.compile(r"^[A-Za-z0-9+/_-]{12,}={0,2}$")
 _JOIN = re.compile(r"\"[ \t]*(?:\+|\.\.?|<>|\\)?[ \t]*\r?\n?[ \t]*(?:\+|\.)?[ \t]*\"|'[ \t]*(?:\+|\.\.?)?[ \t]*\r?\n?[ \t]*(?:\+|\.)?[ \t]*'")
-_QUICK = re.compile(r"\d\S{3}|[\"'=:]\S{0,60}[!#*?@$%]|-----BEGIN|://|Bearer|Basic ")
+
+
+#: Characters beyond which a triple-quoted or backtick literal holds a text rather than a value.
+LONG = 400
 
 
 def entropy(s: str) -> float:
@@ -224,6 +227,20 @@ def deep(v: str, named: bool, depth: int = DEPTH) -> bool:
     return False
 
 
+def encoded(v: str, named: bool) -> bool:
+    """Whether ``v`` as a whole is hex, base64 or percent escapes around a credential."""
+    for kind, x in layers(v):
+        if kind == "escape":
+            continue
+        if isinstance(x, bytes):
+            if key_container(x):
+                return True
+            x = _printable(x) or ""
+        if deep(x, named) or (named and randomish(x.strip(), True)):
+            return True
+    return False
+
+
 def _name_before(text: str, at: int) -> tuple[str, str]:
     """(name beside a literal whose quote stands at ``at``, the line up to it)."""
     line = text[max(0, at - 120) : at].rsplit("\n", 1)[-1]
@@ -251,7 +268,7 @@ def scan(text: str, settings: bool) -> list[tuple[int, int, bool]]:
 
     ``settings``: the text is a settings file, whose unquoted values count as literals.
     """
-    if not text or not _QUICK.search(text):
+    if not text:
         return []
     spans = [(a, b, True) for a, b in formats(text)]
 
@@ -268,11 +285,21 @@ def scan(text: str, settings: bool) -> list[tuple[int, int, bool]]:
             spans.append((a, b, True))
 
     held: list[tuple[int, int, int, str]] = []
+    inside: list[tuple[int, int]] = []
     for m in _LITERAL.finditer(text):
         g = 2 if m[1] else 3 if m[3] is not None else 4
-        if m[1] and len(m[g]) > 400:
+        if m[1] and len(m[g]) > LONG:
+            # a long literal is judged as a whole if it is encoded, and else by what stands in it
+            a, e = m.span(g)
+            name, line = _name_before(text, m.start())
+            if not _names_plain(name) and free(a, e) and encoded(m[g], _names_secret(name) or bool(_CALLED.search(line))):
+                spans.append((a, e, True))
+            else:
+                inside.append((a, e))
             continue
         held.append((m.start(), *m.span(g), m[g]))
+    for a, e in inside:
+        spans += [(a + x, a + y, first) for x, y, first in scan(text[a:e], True) if free(a + x, a + y)]
     # literals in several pieces ("ab" + "cd") are judged as one, and masked piece by piece
     run: list[tuple[int, int, int, str]] = []
     for i, piece in enumerate(held):

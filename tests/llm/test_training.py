@@ -218,6 +218,21 @@ def test_no_credential(line):
     assert credentials.scan(f"{line}\n", False) == []
 
 
+def test_long_literals_are_read():
+    der = bytes.fromhex("30820322020100") + b"\x02\x82\x03\x01" + bytes(range(256)) * 3 + b"\0" * 27
+    key = base64.encodebytes(der[: 4 + 0x322]).decode()
+    blob = base64.b64encode(("x" * 400 + " " + KEY).encode()).decode()
+    for text, gone in (
+        (f'blob = """{key}"""\n', key[:40]), (f"const blob = `{blob}`\n", blob[:40]), ('t = """' + "some words here\n" * 40 + 'password="Vessel_acquire#7537Q"\n"""\n', "Vessel_acquire#7537Q"),
+        ("t = `" + "some words here\n" * 40 + f'blob = "{base64.b64encode(KEY.encode()).decode()}"\n`\n', base64.b64encode(KEY.encode()).decode()),
+    ):
+        spans = credentials.scan(text, False)
+        assert len(spans) == 1 and gone not in credentials.mask(text, spans)
+    assert credentials.scan('t = """' + "some words here, token = value\n" * 40 + '"""\n', False) == []
+    # no digit and no special character beside the value
+    assert credentials.scan('password = "QwErTy-uIoPaSd+fGh"\n', False)
+
+
 def test_key_containers():
     rsa = bytes.fromhex("30820122020100") + b"\x02\x82\x01\x01" + b"\0" * 290
     assert credentials.key_container(rsa[: 4 + 0x122]) and credentials.key_container(b"openssh-key-v1\0rest")
