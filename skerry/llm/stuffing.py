@@ -5,7 +5,7 @@ Every page is cut into entries and sentences. Two kinds of evidence are joined:
 * *List density* - characters of links, badges, tags, product entries and menus (runs of short
   entries between separators) that no sentence explains.
 * *Replicated phrases* - sentences that consist of the page's few dominant terms. Their shingles (up
-  to five words) are exploded and the distinct hosts of each shingle counted; entries that could be
+  to five words) are exploded and the distinct hosts of each shingle counted, over all documents; entries that could be
   headings or labels count as menu entries only if most of them stand on several other hosts.
 
 A page is flagged if more than half of its characters are such evidence. Code fences, logs, stack
@@ -146,6 +146,27 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def phrases(text: str) -> set[str]:
+    """Every shingle and every entry that ``evidence`` could take from a page, whatever stands around it."""
+    found = set()
+    for line in _FENCE.sub("\n", text).split("\n"):
+        if not line.strip() or _LOG.match(line):
+            continue
+        for s in _BREAK.split(_ANCHOR.sub(" ", _LINK.sub(" ", line))):
+            words = [w.lower() for w in _WORD.findall(s)]
+            if words:
+                found.update(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+    return found
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        said: dict[str, set[str]] = {}
+        for t, host in zip(b.column("text").to_pylist(), b.column("host").to_pylist()):
+            said.setdefault(host, set()).update(phrases(t))
+        yield pa.RecordBatch.from_arrays([pa.array(list(said), pa.string()), pa.array([list(x) for x in said.values()], pa.list_(pa.string()))], ["host", "h"])
+
+
 def stuffed_pages(df: DataFrame, id_col: str, text_col: str, host) -> DataFrame:
     """``(id, total, listed, keyed, doubt, replicated, flagged)`` of the pages with any strong evidence.
 
@@ -158,7 +179,11 @@ def stuffed_pages(df: DataFrame, id_col: str, text_col: str, host) -> DataFrame:
     pages = materialize(pages.dropDuplicates(["id"]), "pages")
     said = pages.select("id", "host", F.explode(F.concat(F.transform("shingles", lambda x: F.struct(F.xxhash64(x).alias("h"), F.lit(True).alias("k"))), F.transform("entries", lambda x: F.struct(F.xxhash64(x).alias("h"), F.lit(False).alias("k"))))).alias("x")).select("id", "host", "x.h", "x.k")
     said = said.groupBy("id", "host", "h", "k").agg(F.count("*").alias("n"))
-    hosts = said.select("h", "host").distinct().groupBy("h").agg(F.count("*").alias("hosts"))
+    # hosts are counted over all documents, for the keys of the pages in question only
+    keys = said.select("h").distinct()
+    told = spread(src).mapInArrow(_told, "host string, h array<string>").select("host", F.explode("h").alias("x")).select("host", F.xxhash64("x").alias("h")).distinct()
+    told = told.join(keys, "h", "left_semi").unionByName(said.select("host", "h")).distinct()
+    hosts = told.groupBy("h").agg(F.count("*").alias("hosts"))
     rep = said.join(hosts, "h").groupBy("id").agg(
         (F.sum(F.expr(f"if(k and hosts >= {MIN_HOSTS}, n, 0)")) / F.greatest(F.sum(F.expr("if(k, n, 0)")), F.lit(1))).alias("replicated"),
         (F.sum(F.expr(f"if(not k and hosts >= {MIN_HOSTS}, n, 0)")) / F.greatest(F.sum(F.expr("if(k, 0, n)")), F.lit(1))).alias("menu"),

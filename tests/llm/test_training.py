@@ -360,6 +360,14 @@ def test_stuffed_pages(spark):
     assert stuffing.stuffed_pages(df.where("false"), "doc_id", "text", F.lit("h")).count() == 0
 
 
+def test_menu_entries_are_counted_over_all_documents(spark):
+    menu = [f"Section{i} Corner{i}" for i in range(40)]
+    rows = [(1, "a", "\n".join(menu))] + [(10 + k, f"h{k}", PROSE * 60 + "\n" + "\n".join(menu) + "\n" + PROSE * 60) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, text string")
+    assert all(e[1] + e[2] + e[3] <= 0.3 * e[0] for e in (stuffing.evidence(t) for _, _, t in rows[1:]))
+    assert [r.id for r in stuffing.stuffed_pages(df, "doc_id", "text", F.col("host")).where("flagged").collect()] == [1]
+
+
 def test_plain_never_hides_a_page(sf):
     for text in pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist():
         if text and stuffing.plain(text):
