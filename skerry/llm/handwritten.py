@@ -46,11 +46,14 @@ _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*)")
 
 
 def header_lines(text: str) -> int:
-    """Number of leading comment lines."""
-    n = 0
-    for line in text[:1500].split("\n")[:14]:
+    """Number of leading comment lines, licence blocks included, up to the first line of code."""
+    n, block = 0, False
+    for line in text.split("\n"):
         s = line.strip("﻿ \t\r")
-        if s and not re.match(r"<\?php$|//|#(?!include|define|if|pragma)|/\*|\*|--|;|\"\"\"|'''", s):
+        if block or s.startswith("/*"):
+            # a block comment's inner lines need no mark of their own
+            block = "*/" not in s
+        elif s and not re.match(r"<\?php$|//|#(?!include|define|if|pragma)|/\*|\*|--|;|\"\"\"|'''", s):
             break
         n += 1
     return n
@@ -59,7 +62,7 @@ def header_lines(text: str) -> int:
 def giveaway(path: str, text: str) -> int:
     """1 leading comment, 2 folder, 4 suffix, 8 delivered in long lines, 16 mainly data."""
     found = 0
-    lead = text.split("\n", 14)[: header_lines(text)]
+    lead = text.split("\n")[: header_lines(text)]
     if any(HEADER.search(_LEAD.sub("", s.strip("﻿"))) for s in lead):
         found |= 1
     parts = path.lower().split("/")

@@ -293,6 +293,13 @@ def test_giveaways():
     assert not g("a/b.py", "x = 1\n# the id is generated by the span, do not edit it here\n")
 
 
+def test_a_marker_below_a_long_licence_is_a_giveaway():
+    licence = "// Permission is granted to any person to use this text, with no limit at all.\n" * 30
+    assert handwritten.giveaway("a/b.go", licence + "// Code generated by x. DO NOT EDIT.\npackage a\n") & 1
+    assert handwritten.giveaway("a/b.c", "/*\n" + "   any words\n" * 30 + "*/\n/* Code generated by x. */\nint a;\n") & 1
+    assert not handwritten.giveaway("a/b.go", licence + "package a\n// Code generated by x. DO NOT EDIT.\n")
+
+
 # --- p7: packing --------------------------------------------------------------------------------------
 
 
