@@ -354,29 +354,49 @@ def test_shares(spark):
 PROSE = "The import graph contains a cycle between the basket and the channel. We decided to scan the probe because the secondary row grew too large. "
 
 
-def test_stuffed_pages(spark):
+def _stuffed(seed, topic="vector store"):
+    rng = random.Random(seed)
     nouns = ["best", "free", "cheap", "buy", "top", "online", "review"]
-    rng = random.Random(4)
-    stuffed = ", ".join(" ".join(rng.sample(nouns, 2) + ["vector store"]) for _ in range(60))
+    return ", ".join(" ".join([*rng.sample(nouns, 2), topic]) for _ in range(60))
+
+
+def test_stuffed_pages(spark):
     links = "\n".join(f"- [thing {i}](https://host{i}.example/a/b)" for i in range(30))
     explained = "\n".join(f"- [thing {i}](https://h{i}.example/a): {PROSE}" for i in range(10))
-    rows = [(1, stuffed), (2, links), (3, PROSE * 12), (4, explained), (5, "Load nested fuse"), (6, None), (7, ""), (8, "```\nx = 1\n```\n" * 5), (9, PROSE * 3 + links), (1, stuffed), (None, links), (10, "[" * 50_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("host", F.lit("h")).withColumn("id", F.lit(0))
-    got = {r.id for r in stuffing.stuffed_pages(df, "doc_id", "text", F.lit("h")).where("flagged").collect()}
-    assert got == {1, 2, 9}
+    rows = [(1, "h", _stuffed(1)), (2, "h", links), (3, "h", PROSE * 12), (4, "h", explained), (5, "h", "Load nested fuse"), (6, "h", None), (7, None, ""), (8, "h", "```\nx = 1\n```\n" * 5), (9, None, PROSE * 3 + links), (1, "h", _stuffed(1)), (None, "h", links)]
+    rows += [(10, "h", "[" * 50_000), (11, "h", "[" * 50_000 + "]"), (12, "h", "<a " * 40_000), (13, "i", _stuffed(2)), (14, "j", _stuffed(3)), (15, "k", PROSE * 12), (16, "l", PROSE * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, text string").withColumn("id", F.lit(0)).withColumn("linked", F.lit(0))
+    got = {r.id for r in stuffing.stuffed_pages(df, "doc_id", "text", F.col("host")).where("flagged").collect()}
+    assert got == {1, 2, 9, 13, 14}
     assert stuffing.stuffed_pages(df.where("false"), "doc_id", "text", F.lit("h")).count() == 0
 
 
-def test_menu_entries_are_counted_over_all_documents(spark):
-    menu = [f"Section{i} Corner{i}" for i in range(40)]
-    rows = [(1, "a", "\n".join(menu))] + [(10 + k, f"h{k}", PROSE * 60 + "\n" + "\n".join(menu) + "\n" + PROSE * 60) for k in range(4)]
-    df = spark.createDataFrame(rows, "doc_id long, host string, text string")
-    assert all(e[1] + e[2] + e[3] <= 0.3 * e[0] for e in (stuffing.evidence(t) for _, _, t in rows[1:]))
-    assert [r.id for r in stuffing.stuffed_pages(df, "doc_id", "text", F.col("host")).where("flagged").collect()] == [1]
-
-
-def test_plain_never_hides_a_page(sf):
-    for text in pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist():
-        if text and stuffing.plain(text):
-            total, listed, key, *_ = stuffing.evidence(text)
-            assert listed + key <= 0.5 * total
+def test_host_counts_decide(spark, sf):
+    # the same three pages on one host, on three hosts, and on three hosts where more are asked for
+    for hosts, least, flagged in ((["h", "h", "h"], 3, 0), (["h", "i", "j"], 3, 3), (["h", "i", "j"], 4, 0)):
+        df = spark.createDataFrame([(k, h, _stuffed(k)) for k, h in enumerate(hosts)], "doc_id long, host string, text string")
+        assert stuffing.stuffed_pages(df, "doc_id", "text", F.col("host"), min_hosts=least).where("flagged").count() == flagged
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    n = [stuffing.stuffed_pages(docs, "doc_id", "text", F.col("repo_id"), min_hosts=m).where("flagged").count() for m in (1, 3, 10**6)]
+    assert n[2] < 0.7 * n[1] and n[1] <= n[0]
+
+
+def test_hosts_are_counted_over_all_documents(spark):
+    # one page is flagged only since its entries stand on three pages that are none of the kind
+    menu = [f"Section{a} Corner{a}" for a in "abcdefghijklmnopqrstuvwxyz"]
+    page = (1, "a", "\n".join(menu))
+    others = [(10 + k, f"h{k}", PROSE * 60 + "\n" + "\n".join(menu) + "\n" + PROSE * 60) for k in range(4)]
+    flagged = lambda rows: [r.id for r in stuffing.stuffed_pages(spark.createDataFrame(rows, "doc_id long, host string, text string"), "doc_id", "text", F.col("host")).where("flagged").collect()]
+    assert flagged([page, *others]) == [1] and flagged([page]) == []
+
+
+def test_phrases_are_counted_right():
+    texts = ["Code review, and the CODE review of 2025", "", "review 17 über Straße", "x" * 40]
+    doc, h = stuffing.pairs_of(texts)
+    words = [["code", "review", "code", "review", "0"], [], ["review", "0", "über", "straße"], ["x" * 40]]
+    want = [(i, p) for i, w in enumerate(words) for p in zip(w, w[1:])]
+    assert doc.tolist() == [i for i, _ in want]
+    name: dict = {}
+    assert all(name.setdefault(int(x), p) == p for x, (_, p) in zip(h, want)) and len(name) == len({p for _, p in want})
+    entry, h = stuffing.entries_of(["a b", "", "a b c d e f", "A  B", "b c d e f", "!"])
+    assert entry.tolist() == [0, 2, 2, 3, 4] and h[0] == h[3] and h[2] == h[4]
