@@ -301,14 +301,35 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(packed[at])], ["at", "bits"])
 
 
+def _portions(texts: list[str], most: int = 1_000_000, seam: int = 1_000) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(rows, texts) of about ``most`` characters each, so that arrays stay small; a longer text comes in
+    windows that share ``seam`` characters."""
+    rows, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(len(t), 1), most):
+            w = t[max(at - seam, 0) : at + most]
+            rows.append(i)
+            held.append(w)
+            size += len(w)
+            if size >= most:
+                yield np.array(rows), held
+                rows, held, size = [], [], 0
+    if rows:
+        yield np.array(rows), held
+
+
 def _told(batches: Iterator[pa.RecordBatch], n_slices: int, bits: bytes) -> Iterator[pa.RecordBatch]:
     """(phrase, host) of all documents' pairs of content words that pass the filter."""
     held = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").view(bool)
     for b in batches:
-        doc, h = pairs_of(b.column("text").to_pylist())
-        one, two = _filter_bits(h)
-        ok = held[one] & held[two]
-        host, h, _ = _counted(b.column("host").to_numpy().view(np.uint64)[doc[ok]], h[ok])
+        hosts = b.column("host").to_numpy().view(np.uint64)
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        for rows, texts in _portions(b.column("text").to_pylist()):
+            doc, h = pairs_of(texts)
+            one, two = _filter_bits(h)
+            ok = held[one] & held[two]
+            parts.append(_counted(hosts[rows][doc[ok]], h[ok])[:2])
+        host, h, _ = _counted(*map(np.concatenate, zip(*parts)))
         rec = np.empty(len(h), _HOSTED)
         rec["h"], rec["host"] = h, host
         yield _sliced(rec, n_slices)
