@@ -319,7 +319,7 @@ def test_containers(spark):
     rows[7] = (7, 3)
     df = spark.createDataFrame(rows, "id long, tokens int").withColumn("piece", F.lit(9)).withColumn("cap", F.lit(1))
     limits = spark.createDataFrame([(1, 100), (2, 64), (3, None), (None, 5)], "limit_id int, capacity_tokens int")
-    got = packing.pack(df, limits).toPandas()
+    got = packing.pack(df, limits)[0].toPandas()
     size = dict(rows)
     for k, cap in ((1, 100), (2, 64)):
         own = got[got.limit_id == k]
@@ -328,7 +328,57 @@ def test_containers(spark):
         assert all(n > cap for n in (size[i] for i in own[own.piece > 0].id))
         least = -(-own.tokens.sum() // cap)
         assert own.container.nunique() <= 1.25 * least
-    assert packing.pack(df.where("false"), limits).count() == 0
+    assert packing.pack(df.where("false"), limits)[0].count() == 0
+
+
+def _loads(plan, n_lengths):
+    load, used = np.zeros(plan.containers, np.int64), np.zeros(n_lengths + 1, np.int64)
+    for length, r0, r1, first, m in plan.rows:
+        load[first : first + (r1 - r0) // m] += length * m
+        used[length] += r1 - r0
+    return load, used
+
+
+@pytest.mark.parametrize("capacity", [256, 512, 2048, 8192])
+def test_containers_come_from_the_solved_lp(capacity):
+    rng = np.random.default_rng(4)
+    size = np.maximum(1, rng.lognormal(5.6, 0.9, 20_000)).astype(np.int64)
+    size = np.where(size > capacity, size % capacity, size)
+    length, n = np.unique(size[size > 0], return_counts=True)
+    plan = packing.pack_plan(length, n, capacity)
+    load, used = _loads(plan, capacity)
+    assert (used[length] == n).all() and load.max() <= capacity and load.min() > 0
+    # the LP is solved to two hundredths, its containers are at least four in five, and few are wasted
+    assert plan.value <= 1.02 * plan.bound
+    assert plan.from_configurations >= 0.8 * plan.containers
+    assert plan.containers <= 1.02 * (length * n).sum() / capacity + 1
+
+
+def test_lp_covers_every_length_and_bounds_hold():
+    rng = np.random.default_rng(5)
+    for _ in range(15):
+        capacity = int(rng.integers(8, 60))
+        length = np.sort(rng.choice(np.arange(1, capacity + 1), int(rng.integers(1, 9)), replace=False))
+        n = rng.integers(1, 200, len(length))
+        s = packing.configuration_lp(length, n, capacity)
+        cover = np.zeros(len(length))
+        for (i, m), x in zip(s.configs, s.x):
+            assert (length[i] * m).sum() <= capacity
+            cover[i] += m * x
+        assert (cover >= 0.99 * n).all() and s.bound <= s.value * (1 + 1e-6)
+        # no packing has fewer containers than the bound
+        assert s.bound <= packing.pack_plan(length, n, capacity).containers + 1e-6
+
+
+def test_odd_histograms():
+    for length, n, capacity in (([5], [1], 10), ([5], [10**9], 11), ([1, 10], [7, 3], 10), ([6, 7, 8], [50, 50, 50], 10), ([], [], 10), ([1], [3], 1), (range(1, 3001), [1] * 3000, 4096)):
+        length, n = np.array(list(length), np.int64), np.array(n, np.int64)
+        plan = packing.pack_plan(length, n, capacity)
+        used = np.zeros(capacity + 1, np.int64)
+        for w, r0, r1, _, _ in plan.rows:
+            used[w] += r1 - r0
+        assert (used[length] == n).all()
+        assert plan.containers >= -(-int((length * n).sum()) // capacity) or not len(n)
 
 
 # --- p8: mixing ---------------------------------------------------------------------------------------
