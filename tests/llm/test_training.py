@@ -278,13 +278,39 @@ def test_ranges_with_halos_equal_the_whole(spark):
 # --- p6: hand-written ---------------------------------------------------------------------------------
 
 
-def test_held_out_accuracy_and_dirty_rows(spark):
-    out, model = handwritten.classify(spark.read.parquet("/root/testdata/sf0.01/source_files.parquet"), "file_id", "file_path", "text", "repo_id")
-    assert model["accuracy"] > 0.85 and out.where("flagged").count() > 30
-    df = spark.createDataFrame([(1, None, None, None), (2, "a.py", "", "r"), (None, "b", "x", "r")], "file_id long, file_path string, text string, repo_id string").withColumn("id", F.lit(1))
+@pytest.fixture(scope="module")
+def hand(spark):
+    return handwritten.classify(spark.read.parquet("/root/testdata/sf0.1/source_files.parquet"), "file_id", "file_path", "text", "repo_id")
+
+
+def test_held_out_accuracy_and_dirty_rows(spark, hand):
+    out, model = hand
+    assert model["accuracy"] > 0.97 and model["f1"] > 0.9 and model["f1_contents"] > 0.7 and out.where("flagged").count() > 300
+    df = spark.createDataFrame([(1, None, None, None), (2, "a.py", "", "r"), (None, "b", "x", "r")], "file_id long, file_path string, text string, repo_id string").withColumn("id", F.lit(1)).withColumn("margin", F.lit(1))
     assert handwritten.classify(df, "file_id", "file_path", "text", "repo_id")[0].count() == 0
 
 
+def test_classifier_decides_without_giveaways(hand, sf):
+    import pyarrow as pa
+
+    body = "def merge_lever(row):\n    value = row.get('lever')\n    if value is None:\n        return None\n    # keep the last reading\n    return fold_reading(value, row['reading'])\n"
+    t = pq.read_table("/root/testdata/sf0.01/source_files.parquet").to_pandas()
+    mini = next(x for p, x in zip(t.file_path, t.text) if x and handwritten.giveaway(p, x) == 8 and not handwritten.header_lines(x))
+    labelled = [
+        ("src/app/tool.js", "\n".join(mini[i : i + 90] for i in range(0, len(mini), 90)), True),
+        ("src/app/merge.py", "# source: segment/pallet.graphql\n# protoweld v8.3\n" + body, True),
+        ("src/app/merge.py", "# Permission is hereby granted to use and copy this software with this notice.\n" + body, True),
+        ("src/app/merge.py", "# regenerate with: make meter\n" + body, True),
+        ("src/app/merge.py", body, False),
+        ("src/app/merge.py", "# Copyright (c) 2023 Osprey Ledger Group.\n# Internal use only.\n" + body, False),
+        ("src/vendor_portal/merge.py", body, False),
+    ]
+    assert not any(handwritten.giveaway(p, x) for p, x, _ in labelled)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(labelled))), pa.array([p for p, _, _ in labelled]), pa.array([x for _, x, _ in labelled])], ["id", "path", "text"])
+    got = [m > 0 for m in next(handwritten._scored([batch], hand[1])).column("margin").to_pylist()]
+    assert sum(g == w for g, (_, _, w) in zip(got, labelled)) >= 6
+
+
 def test_giveaways():
     g = handwritten.giveaway
     assert g("a/b.py", "# Code generated by x. DO NOT EDIT.\nx = 1\n") & 1
