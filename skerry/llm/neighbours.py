@@ -1,24 +1,28 @@
-"""The k most similar vectors of every vector: an NN-descent graph and greedy search over it.
-
-1. *Index.* A two-level tree of centroids is fitted on a sample that grows with the vectors (at
-   least ``SAMPLE``); every vector is then assigned to its two closest leaves. A leaf that the sample
-   shows to hold more than ``HOT_LEAF`` vectors is split by further centroids on its own vectors; one
-   beyond ``TASK_LEAF`` is cut into salts, and each salt meets each other salt in a task.
-2. *Initial lists.* Inside a leaf all pairs are compared on 8-bit codes (one matrix product).
-3. *NN-descent.* A join on the pivot brings together the points that list the same neighbour. Pairs
-   that never met in a leaf are estimated by 256-bit sign sketches, and those that can enter a list
-   are kept. Repeated ``ROUNDS`` times; each round joins the grown lists again.
-4. *Search.* A query starts at its own node and walks to the neighbours of its neighbours; the best
-   paths are scored on the codes and the top k are returned.
-
-Vectors move as packed 8-bit codes in binary blocks, never as one row per pair of vectors. Every
-vector is indexed; the sample is only for the centroids. Recall against brute force is measured in
+"""The k most similar vectors of every vector: NN-descent in blocks, and greedy search over its graph.
+
+1. *Classes.* Vectors move as packed 8-bit codes; vectors of one code are one node of the graph (a hash of
+   the code), so copies, even a third of all rows, cost one entry a task.
+2. *Index.* A two-level tree of centroids is fitted on a sample that grows with the vectors (at least
+   ``SAMPLE``). Every node has a home, its closest leaf, and a second leaf if that is about as close. A leaf
+   of more than ``HOT_LEAF`` nodes is split by further centroids on its own nodes; one beyond ``TASK_LEAF``
+   is cut into salts, and each salt meets each other salt in a task.
+3. *First lists.* Inside a leaf all pairs are compared (one matrix product).
+4. *NN-descent.* Every list entry carries the leaves of the neighbour, that is where the neighbour's own
+   neighbours stand. In a round, a node goes with its code to the leaves that hold at least ``EVIDENCE`` of its
+   neighbours and that it has not been to, and meets the neighbours of its neighbours there, again by a
+   matrix product; its list is merged with what it found. Rounds go on until fewer than ``CHANGED`` of the
+   entries change.
+5. *Search.* A query starts at its own node, or at nodes of the leaf its vector falls in, and expands the
+   best nodes it knows that are not expanded yet, until none of its k best is left to expand.
+
+Every vector is indexed; the sample is only for the centroids. Recall against brute force is measured in
 the tests and in the README (at least 0.9 is required).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +34,27 @@ from skerry.session import materialize, slices, spread, table
 
 DIM = 384
 K = 10
-LEAF = 1200
+LEAF = 800
 HOT_LEAF = 4000
-#: Vectors of a part of a split leaf.
+#: Nodes of a part of a split leaf.
 PART = 1000
-#: Half of the most vectors of a leaf that one task holds.
+#: Half of the most nodes of a leaf that one task holds.
 TASK_LEAF = 20_000
 #: A second leaf is taken if it is at least this share as similar as the first.
 SECOND = 0.85
 SAMPLE = 12_000
 #: Vectors for each one of the sample, where that gives more than SAMPLE.
 SAMPLED = 400
-ROUNDS = 1
-EXTRA = 10
-FAN_IN = 24
-BEAM = 40
-BITS = 256
-
+#: Neighbours that must stand in a leaf for a node to go there, and leaves that it goes to in a round.
+EVIDENCE, VISITS = 1, 2
+#: Rounds end once fewer than this share of the entries change, or after so many.
+CHANGED, ROUNDS = 0.02, 7
+#: Nodes of a leaf at which a query from outside the graph begins.
+ENTRIES = 12
+#: Small sides of joins up to this many rows are broadcast (codes: CODE_ROWS); beyond, joins are shuffles.
+BROADCAST_ROWS, CODE_ROWS = 400_000, 40_000
+#: Points of one code beyond this many are spread over salts when lists are given to points.
+HOT_CLASS = 10_000
 
 def _unit(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows that take part, their unit vectors) of a list column."""
@@ -75,10 +83,10 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c
 
 
-def fit(x: np.ndarray, n: int, seed: int = 7) -> dict:
+def fit(x: np.ndarray, n: int, leaf: int = LEAF, seed: int = 7) -> dict:
     """Centroid tree for ``n`` vectors from the sample ``x`` of unit vectors."""
     rng = np.random.default_rng(seed)
-    leaves = max(1, min(n // LEAF, len(x) // 4))
+    leaves = max(1, min(n // leaf, len(x) // 4))
     upper = max(1, int(np.sqrt(leaves)))
     top = _kmeans(x, upper, rng)
     near = (x @ top.T).argmax(1)
@@ -90,10 +98,9 @@ def fit(x: np.ndarray, n: int, seed: int = 7) -> dict:
             fine.append(c)
             owner.append(np.full(len(c), j))
     model = {"top": top, "fine": np.concatenate(fine), "owner": np.concatenate(owner)}
-    leaf = assign(model, x)
-    held = np.concatenate([leaf[:, 0], leaf[leaf[:, 1] != leaf[:, 0], 1]])
+    homes = assign(model, x)
+    held = np.concatenate([homes[:, 0], homes[homes[:, 1] != homes[:, 0], 1]])
     size = np.bincount(held, minlength=len(model["fine"])) / len(x) * n
-    model["split"] = size > HOT_LEAF
     model["salts"] = np.where(size > 2 * TASK_LEAF, np.ceil(size / TASK_LEAF), 1).astype(np.int64)
     return model
 
@@ -136,100 +143,128 @@ def decode(c: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def node_ids(code: np.ndarray) -> np.ndarray:
+    """A 64-bit id of every code."""
+    wide = np.zeros((len(code), -(-code.shape[1] // 8) * 8), np.int8)
+    wide[:, : code.shape[1]] = code
+    words = wide.view(np.uint64)
+    odd = np.random.default_rng(5).integers(1, 2**63, words.shape[1], dtype=np.uint64) | np.uint64(1)
+    h = (words * odd + (words >> np.uint64(29)) * odd[::-1]).sum(1, dtype=np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return (h ^ (h >> np.uint64(27))).view(np.int64)
+
+
 def _record(dim: int) -> np.dtype:
     return np.dtype([("id", "<i8"), ("l0", "<i4"), ("l1", "<i4"), ("code", "i1", (dim,))])
 
 
-def _place(batches: Iterator[pa.RecordBatch], model: dict, dim: int) -> Iterator[pa.RecordBatch]:
+#: A node with its list: the leaves it has been to (its own two first), and of each neighbour its two leaves.
+BEEN = 2 + VISITS * ROUNDS
+NODE = np.dtype([("id", "<i8"), ("been", "<i4", (BEEN,)), ("nbr", "<i8", (K,)), ("sim", "<f4", (K,)), ("at0", "<i4", (K,)), ("at1", "<i4", (K,))])
+
+
+def _coded(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that take part, unit vectors, codes, node ids) of a batch whose last column is the vector."""
+    rows, x = _unit(batch.column(batch.num_columns - 1), dim)
+    c = codes(x) if len(rows) else np.zeros((0, dim), np.int8)
+    return rows, x, c, node_ids(c)
+
+
+def _blocks(key: np.ndarray, rec: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    order = np.argsort(key, kind="stable")
+    keys, first = np.unique(key[order], return_index=True)
+    cut = np.append(first, len(order))
+    for k, a, b in zip(keys, cut[:-1], cut[1:]):
+        yield int(k), rec[order[a:b]].tobytes()
+
+
+def _place(batches: Iterator[pa.RecordBatch], model: dict, dim: int, homes_only: bool = False) -> Iterator[pa.RecordBatch]:
+    """Nodes by leaf. Key of a leaf's pair of salts (a, b): leaf + leaves * (a * salts + b)."""
     base = len(model["fine"])
     for batch in batches:
-        rows, x = _unit(batch.column(1), dim)
+        rows, x, c, ids = _coded(batch, dim)
         if not len(rows):
             continue
-        ids = np.asarray(batch.column(0))[rows]
+        _, once = np.unique(ids, return_index=True)
+        x, c, ids = x[once], c[once], ids[once]
         leaf = assign(model, x)
         rec = np.empty(len(ids), _record(dim))
-        rec["id"], rec["l0"], rec["l1"], rec["code"] = ids, leaf[:, 0], leaf[:, 1], codes(x)
-        two = leaf[:, 1] != leaf[:, 0]
+        rec["id"], rec["l0"], rec["l1"], rec["code"] = ids, leaf[:, 0], leaf[:, 1], c
+        two = np.flatnonzero((leaf[:, 1] != leaf[:, 0]) & (not homes_only))
         where = np.concatenate([leaf[:, 0], leaf[two, 1]])
-        src = np.concatenate([np.arange(len(ids)), np.flatnonzero(two)])
-        # a vector of a salted leaf goes to every pair of salts that holds its own
+        src = np.concatenate([np.arange(len(ids)), two])
         salts = model["salts"][where]
-        rep = np.repeat(np.arange(len(where)), salts)
-        other = np.arange(len(rep)) - np.repeat(np.cumsum(salts) - salts, salts)
-        src, salts = src[rep], salts[rep]
-        own = ((ids[src].view(np.uint64) >> np.uint64(7)) % salts.astype(np.uint64)).astype(np.int64)
-        where = where[rep] + base * (np.minimum(own, other) * salts + np.maximum(own, other))
-        order = np.argsort(where, kind="stable")
-        keys, first = np.unique(where[order], return_index=True)
-        cut = np.append(first, len(order))
-        blobs = [rec[src[order[a:b]]].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(blobs, pa.binary())], ["leaf", "blob"])
+        if homes_only:
+            own = _salt(ids[src], salts)
+            where = where + base * (own * salts + own)
+        else:
+            # a node of a salted leaf goes to every pair of salts that holds its own
+            rep = np.repeat(np.arange(len(where)), salts)
+            other = np.arange(len(rep)) - np.repeat(np.cumsum(salts) - salts, salts)
+            src, salts = src[rep], salts[rep]
+            own = _salt(ids[src], salts)
+            where = where[rep] + base * (np.minimum(own, other) * salts + np.maximum(own, other))
+        made = list(_blocks(where, rec[src]))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int64()), pa.array([b for _, b in made], pa.binary())], ["leaf", "blob"])
 
 
-NODE = np.dtype([("id", "<i8"), ("l0", "<i4"), ("l1", "<i4"), ("bits", "u1", (BITS // 8,)), ("nbr", "<i8", (K,)), ("sim", "<f4", (K,))])
+def _salt(ids: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    return ((ids.view(np.uint64) >> np.uint64(7)) % salts.astype(np.uint64)).astype(np.int64)
 
 
-def _planes(dim: int) -> np.ndarray:
-    return np.random.default_rng(11).standard_normal((dim, BITS)).astype(np.float32)
+def _by_slice(rec: np.ndarray, n: int) -> pa.Table:
+    part = ((rec["id"].view(np.uint64) >> np.uint64(3)) % np.uint64(n)).astype(np.int32)
+    made = list(_blocks(part, rec))
+    return pa.table({"slice": pa.array([k for k, _ in made], pa.int32()), "blob": pa.array([b for _, b in made], pa.binary())})
 
 
-def _by_slice(rec: np.ndarray, key: np.ndarray, n: int) -> pa.Table:
-    part = ((key.view(np.uint64) >> np.uint64(3)) % np.uint64(n)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(n + 1))
-    keep = np.flatnonzero(np.diff(cut))
-    return pa.table({"slice": pa.array(keep.astype(np.int32)), "blob": pa.array([rec[order[cut[j] : cut[j + 1]]].tobytes() for j in keep], pa.binary())})
+def _unpacked(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
+    rec = np.concatenate([np.frombuffer(b, dtype) for b in blobs] or [np.zeros(0, dtype)])
+    return rec[np.unique(rec["id"], return_index=True)[1]]
 
 
-def _parts(x: np.ndarray, rows: np.ndarray, depth: int = 3) -> list[np.ndarray]:
-    """``rows`` of ``x`` in overlapping parts by centroids on these vectors, each row in its closest two."""
+def _parts(x: np.ndarray, rows: np.ndarray, v: np.ndarray, visitors: np.ndarray, depth: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``rows`` of ``x`` in overlapping parts by centroids on these vectors, each row in its closest two, with
+    the ``visitors`` (rows of ``v``) of each part."""
     if len(rows) <= HOT_LEAF or depth == 0:
-        return [rows]
+        yield rows, visitors
+        return
     k = -(-len(rows) // PART)
     rng = np.random.default_rng(7)
     c = _kmeans(x[rng.choice(rows, min(len(rows), 30 * k), replace=False)], k, rng, 5)
-    near = np.concatenate([np.argpartition(-(x[rows[a : a + 4096]] @ c.T), 1, axis=1)[:, :2] for a in range(0, len(rows), 4096)])
-    own = [rows[(near == j).any(1)] for j in range(k)]
-    own = [r for r in own if len(r)]
-    return [rows] if max(map(len, own)) == len(rows) else [q for r in own for q in _parts(x, r, depth - 1)]
-
-
-def _in_leaf(tbl: pa.Table, dim: int, n_slices: int, split: np.ndarray) -> pa.Table:
-    """Exact lists inside one leaf, or the parts of a ``split`` one, as node records by slice of the id."""
-    rec = np.concatenate([np.frombuffer(b, _record(dim)) for b in tbl.column("blob").to_pylist()])
-    _, once = np.unique(rec["id"], return_index=True)
-    rec = rec[once]
-    x = decode(rec["code"])
-    m = len(rec)
-    out = np.zeros(m, NODE)
-    out["id"], out["l0"], out["l1"] = rec["id"], rec["l0"], rec["l1"]
-    out["bits"] = np.packbits(x @ _planes(dim) > 0, axis=1)
-    out["sim"] = -9
-    every = np.arange(m)
-    us, vs, ss = [], [], []
-    for part in _parts(x, every) if split[tbl.column("leaf")[0].as_py() % len(split)] else [every]:
-        own = x[part]
-        k = min(K, len(part) - 1)
-        for a in range(0, len(part) if k else 0, 2048):
-            s = own[a : a + 2048] @ own.T
-            s[np.arange(len(s)), np.arange(a, a + len(s))] = -9
-            best = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(part) - 1 else np.argsort(-s, 1)[:, :k]
-            us.append(np.repeat(part[a : a + 2048], k))
-            vs.append(part[best].ravel())
+    near = lambda y, at: np.concatenate([np.argpartition(-(y[at[a : a + 4096]] @ c.T), 1, axis=1)[:, :2] for a in range(0, len(at), 4096)] or [np.zeros((0, 2), np.int64)])
+    m, n = near(x, rows), near(v, visitors)
+    own = [rows[(m == j).any(1)] for j in range(k)]
+    if max(map(len, own)) == len(rows):
+        yield rows, visitors
+        return
+    for j, r in enumerate(own):
+        if len(r):
+            yield from _parts(x, r, v, visitors[(n == j).any(1)], depth - 1)
+
+
+def _closest(x: np.ndarray, xid: np.ndarray, v: np.ndarray, vid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(visitor, member, similarity): the K best members for each visitor, itself apart."""
+    us, ms, ss = [], [], []
+    for part, visitors in _parts(x, np.arange(len(x)), v, np.arange(len(v))):
+        own, k = x[part], min(K + 1, len(part))
+        step = max(1, 8_000_000 // max(1, len(part)))
+        for a in range(0, len(visitors), step):
+            rows = visitors[a : a + step]
+            s = v[rows] @ own.T
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(part) else np.broadcast_to(np.arange(k), s.shape)
+            us.append(np.repeat(rows, k))
+            ms.append(part[best].ravel())
             ss.append(np.take_along_axis(s, best, 1).ravel())
-    if us:
-        u, v, s = _best(np.concatenate(us), np.concatenate(vs), np.concatenate(ss), K)
-        at = np.arange(len(u)) - np.searchsorted(u, u)
-        out["nbr"][u, at], out["sim"][u, at] = rec["id"][v], s
-    return _by_slice(out, out["id"], n_slices)
-
-
-GRAPH = np.dtype([("id", "<i8"), ("l0", "<i4"), ("l1", "<i4"), ("bits", "u1", (BITS // 8,)), ("kth", "<f4")])
+    if not us:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    u, m, s = np.concatenate(us), np.concatenate(ms), np.concatenate(ss)
+    other = vid[u] != xid[m]
+    return _best(u[other], m[other], s[other], K)
 
 
 def _best(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best distinct v of every u."""
+    """The k best distinct v of every u; equal similarities by v."""
     order = np.lexsort((-s, v, u))
     u, v, s = u[order], v[order], s[order]
     keep = np.ones(len(u), bool)
@@ -237,130 +272,198 @@ def _best(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
     u, v, s = u[keep], v[keep], s[keep]
     order = np.lexsort((v, -s, u))
     u, v, s = u[order], v[order], s[order]
-    _, first, count = np.unique(u, return_index=True, return_counts=True)
-    keep = np.arange(len(u)) - np.repeat(first, count) < k
+    keep = np.arange(len(u)) - np.searchsorted(u, u) < k
     return u[keep], v[keep], s[keep]
 
 
-def _merge(tbl: pa.Table, k: int) -> pa.Table:
-    """One row per node from its leaf lists, with the k best neighbours."""
-    rec = np.concatenate([np.frombuffer(b, NODE) for b in tbl.column("blob").to_pylist()])
-    u, v, s = np.repeat(rec["id"], K), rec["nbr"].ravel(), rec["sim"].ravel()
+def _lists(rec: np.ndarray, got: tuple[np.ndarray, np.ndarray, np.ndarray], members: np.ndarray, also: int) -> np.ndarray:
+    """NODE records of the nodes ``rec`` with the neighbours found among ``members``; ``also``: a leaf been to."""
+    out = np.zeros(len(rec), NODE)
+    out["been"] = -1
+    out["id"], out["been"][:, 0], out["been"][:, 1], out["been"][:, 2] = rec["id"], rec["l0"], rec["l1"], also
+    out["sim"] = -9
+    u, m, s = got
+    at = np.arange(len(u)) - np.searchsorted(u, u)
+    out["nbr"][u, at], out["sim"][u, at], out["at0"][u, at], out["at1"][u, at] = members["id"][m], s, members["l0"][m], members["l1"][m]
+    return out
+
+
+def _in_leaf(tbl: pa.Table, dim: int, n_slices: int) -> pa.Table:
+    """Exact lists inside one leaf, as node records by slice of the id."""
+    rec = _unpacked(tbl.column("blob").to_pylist(), _record(dim))
+    x = decode(rec["code"])
+    return _by_slice(_lists(rec, _closest(x, rec["id"], x, rec["id"]), rec, -1), n_slices)
+
+
+def _visited(tbl: pa.Table, dim: int, n_slices: int, leaves: int) -> pa.Table:
+    """What the visitors of a leaf find among its members."""
+    guest = tbl.column("guest").to_pylist()
+    blobs = tbl.column("blob").to_pylist()
+    come = _unpacked([b for b, g in zip(blobs, guest) if g], _record(dim))
+    rec = _unpacked([b for b, g in zip(blobs, guest) if not g], _record(dim))
+    if not len(come) or not len(rec):
+        return pa.table({"slice": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+    got = _closest(decode(rec["code"]), rec["id"], decode(come["code"]), come["id"])
+    return _by_slice(_lists(come, got, rec, tbl.column("leaf")[0].as_py() % leaves), n_slices)
+
+
+NODE_DDL = "slice int, id long, l0 int, l1 int, go array<int>, entries int, changed int, node binary"
+
+
+def _merge(tbl: pa.Table) -> pa.Table:
+    """One row per node: its lists merged, where it goes next, and how many entries are new.
+
+    A node's record so far (one per slice row, marked ``old``) and what it found come as blobs.
+    """
+    old_flag = tbl.column("old").to_pylist()
+    blobs = tbl.column("blob").to_pylist()
+    old = np.concatenate([np.frombuffer(b, NODE) for b, o in zip(blobs, old_flag) if o] or [np.zeros(0, NODE)])
+    new = np.concatenate([np.frombuffer(b, NODE) for b, o in zip(blobs, old_flag) if not o] or [np.zeros(0, NODE)])
+    rec = np.concatenate([old, new])
+    ids, where = np.unique(rec["id"], return_inverse=True)
+    u, v, s = np.repeat(where, K), rec["nbr"].ravel(), rec["sim"].ravel()
+    a0, a1 = rec["at0"].ravel(), rec["at1"].ravel()
+    fresh = np.repeat(np.arange(len(rec)) >= len(old), K)
     ok = s > -5
-    u, v, s = _best(u[ok], v[ok], s[ok], k)
-    ids, once = np.unique(rec["id"], return_index=True)
-    rec = rec[once]
-    first, last = np.searchsorted(u, ids), np.searchsorted(u, ids, "right")
-    off = pa.array(np.append(first, len(u)).astype(np.int32))
-    kth = np.where(last - first == k, s[np.maximum(last - 1, 0)] if len(s) else -1, -1).astype(np.float32)
+    u, v, s, a0, a1, fresh = (c[ok] for c in (u, v, s, a0, a1, fresh))
+    order = np.lexsort((fresh, v, u))
+    u, v, s, a0, a1, fresh = (c[order] for c in (u, v, s, a0, a1, fresh))
+    keep = np.ones(len(u), bool)
+    keep[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    u, v, s, a0, a1, fresh = (c[keep] for c in (u, v, s, a0, a1, fresh))
+    order = np.lexsort((v, -s, u))
+    u, v, s, a0, a1, fresh = (c[order] for c in (u, v, s, a0, a1, fresh))
+    keep = np.arange(len(u)) - np.searchsorted(u, u) < K
+    u, v, s, a0, a1, fresh = (c[keep] for c in (u, v, s, a0, a1, fresh))
+    out = np.zeros(len(ids), NODE)
+    out["id"], out["sim"], out["been"] = ids, -9, -1
+    at = np.arange(len(u)) - np.searchsorted(u, u)
+    out["nbr"][u, at], out["sim"][u, at], out["at0"][u, at], out["at1"][u, at] = v, s, a0, a1
+    # leaves been to: those of all records, the node's own two first
+    seen = np.stack([np.repeat(where, BEEN), rec["been"].ravel().astype(np.int64)], 1)
+    seen = np.unique(seen[seen[:, 1] >= 0], axis=0)
+    first = np.unique(where, return_index=True)[1]
+    out["been"][:, :2] = rec["been"][first, :2]
+    more = seen[(seen[:, 1] != out["been"][seen[:, 0], 0]) & (seen[:, 1] != out["been"][seen[:, 0], 1])]
+    slot = 2 + np.arange(len(more)) - np.searchsorted(more[:, 0], more[:, 0])
+    fits = slot < BEEN
+    out["been"][more[fits, 0], slot[fits]] = more[fits, 1]
+    # where neighbours stand, most of them first
+    pair = np.concatenate([np.stack([u, a0], 1), np.stack([u, a1], 1)[a0 != a1]])
+    place, count = np.unique(pair, axis=0, return_counts=True)
+    unseen = ~(out["been"][place[:, 0]] == place[:, 1:2]).any(1) & (count >= EVIDENCE)
+    place, count = place[unseen], count[unseen]
+    order = np.lexsort((place[:, 1], -count, place[:, 0]))
+    place = place[order]
+    place = place[np.arange(len(place)) - np.searchsorted(place[:, 0], place[:, 0]) < VISITS]
+    off = np.searchsorted(place[:, 0], np.arange(len(ids) + 1)).astype(np.int32)
+    n = len(ids)
     return pa.table({
-        "id": ids, "l0": rec["l0"], "l1": rec["l1"], "bits": pa.array([b.tobytes() for b in rec["bits"]], pa.binary()), "kth": kth, "exact": (last - first).astype(np.int32),
-        "nbr": pa.ListArray.from_arrays(off, pa.array(v)), "sim": pa.ListArray.from_arrays(off, pa.array(s.astype(np.float32))),
+        "slice": pa.array(np.full(n, tbl.column("slice")[0].as_py()), pa.int32()), "id": ids, "l0": out["been"][:, 0], "l1": out["been"][:, 1],
+        "go": pa.ListArray.from_arrays(pa.array(off), pa.array(place[:, 1].astype(np.int32))),
+        "entries": np.bincount(u, minlength=n).astype(np.int32), "changed": np.bincount(u[fresh], minlength=n).astype(np.int32), "node": pa.array([r.tobytes() for r in out], pa.binary()),
     })
 
 
-GRAPH_DDL = "id long, l0 int, l1 int, bits binary, kth float, exact int, nbr array<long>, sim array<float>"
-MEMBER = np.dtype([("pivot", "<i8"), ("id", "<i8"), ("l0", "<i4"), ("l1", "<i4"), ("kth", "<f4"), ("bits", "u1", (BITS // 8,))])
+def _guests(batches: Iterator[pa.RecordBatch], model: dict, dim: int) -> Iterator[pa.RecordBatch]:
+    """Nodes with their codes, by the leaf they go to."""
+    base = len(model["fine"])
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rec = np.empty(b.num_rows, _record(dim))
+        rec["id"], rec["l0"], rec["l1"] = b.column("id").to_numpy(), b.column("l0").to_numpy(), b.column("l1").to_numpy()
+        rec["code"] = np.frombuffer(b"".join(b.column("code").to_pylist()), np.int8).reshape(-1, dim)
+        cell = b.column("cell").to_numpy().astype(np.int64)
+        salts = model["salts"][cell]
+        rep = np.repeat(np.arange(len(cell)), salts)
+        other = np.arange(len(rep)) - np.repeat(np.cumsum(salts) - salts, salts)
+        made = list(_blocks(cell[rep] + base * (other * salts[rep] + other), rec[rep]))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["leaf", "blob"])
 
 
-def _to_pivots(batches: Iterator[pa.RecordBatch], n_slices: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        size = np.asarray(b.column("nbr").value_lengths())
-        rec = np.empty(int(size.sum()), MEMBER)
-        rep = np.repeat(np.arange(len(size)), size)
-        rec["pivot"] = b.column("nbr").flatten().to_numpy()
-        for name in ("id", "l0", "l1", "kth"):
-            rec[name] = b.column(name).to_numpy()[rep]
-        bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-        rec["bits"] = bits[rep]
-        yield from _by_slice(rec, np.ascontiguousarray(rec["pivot"]), n_slices).to_batches()
-
-
-_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-
-def _local_join(tbl: pa.Table, n_slices: int, slack: float, split: np.ndarray) -> pa.Table:
-    """Pairs that share a pivot, never met in a leaf, and may enter a list."""
-    rec = np.concatenate([np.frombuffer(b, MEMBER) for b in tbl.column("blob").to_pylist()])
-    # the sampling of NN-descent: of a pivot listed by very many points, FAN_IN at random take part
-    mixed = (rec["id"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-    rec = rec[np.lexsort((mixed, rec["pivot"]))]
-    _, first, count = np.unique(rec["pivot"], return_index=True, return_counts=True)
-    rec = rec[np.arange(len(rec)) - np.repeat(first, count) < FAN_IN]
-    pivot, l0, l1, kth = (np.ascontiguousarray(rec[c]) for c in ("pivot", "l0", "l1", "kth"))
-    # two vectors of a split leaf need not have met in it
-    l0, l1 = np.where(split[l0], -1, l0), np.where(split[l1], -1, l1)
-    us, vs, ss = [], [], []
-    live = np.arange(len(rec))
-    for d in range(1, FAN_IN):
-        live = live[live + d < len(rec)]
-        live = live[pivot[live] == pivot[live + d]]
-        if not len(live):
-            break
-        e = live + d
-        met = (l0[live] >= 0) & ((l0[live] == l0[e]) | (l0[live] == l1[e])) | (l1[live] >= 0) & ((l1[live] == l0[e]) | (l1[live] == l1[e]))
-        new = ~met
-        a, e = live[new], e[new]
-        far = _COUNT[rec["bits"][a] ^ rec["bits"][e]].sum(1, dtype=np.int32)
-        est = np.cos(np.pi * far / BITS).astype(np.float32)
-        ok = est > np.minimum(kth[a], kth[e]) - slack
-        a, e, est = a[ok], e[ok], est[ok]
-        us += [rec["id"][a], rec["id"][e]]
-        vs += [rec["id"][e], rec["id"][a]]
-        ss += [est, est]
-    if not us:
-        return pa.table({"slice": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-    u, v, s = _best(np.concatenate(us), np.concatenate(vs), np.concatenate(ss), EXTRA)
-    out = np.empty(len(u), PAIR)
-    out["u"], out["v"], out["s"] = u, v, s
-    return _by_slice(out, u, n_slices)
+        _, _, c, ids = _coded(b, dim)
+        _, once = np.unique(ids, return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[once]), pa.array([r.tobytes() for r in c[once]], pa.binary())], ["id", "code"])
 
 
-PAIR = np.dtype([("u", "<i8"), ("v", "<i8"), ("s", "<f4")])
+def _points(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows, _, _, ids = _coded(b, dim)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(ids)], ["key", "id"])
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rec = np.frombuffer(b"".join(b.column("node").to_pylist()), NODE)
+        ok = rec["sim"].ravel() > -5
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rec["id"], K)[ok]), pa.array(rec["nbr"].ravel()[ok]), pa.array(rec["sim"].ravel()[ok])], ["u", "v", "s"])
+
+
+@dataclass
+class Graph:
+    """``nodes``: one row per distinct code that takes part, with its packed list; ``src(key, vector)``;
+    ``model``: the centroid tree; ``rounds``: share of entries changed in each round of NN-descent."""
+
+    nodes: DataFrame
+    src: DataFrame
+    model: dict | None
+    dim: int
+    rounds: list[float]
 
+    def edges(self) -> DataFrame:
+        """``(u, v, s)``: every list entry."""
+        return self.nodes.select("node").mapInArrow(_edges, "u long, v long, s float")
 
-def _grown(tbl: pa.Table) -> pa.Table:
-    """The best new candidates of each point, over all pivots."""
-    p = np.concatenate([np.frombuffer(b, PAIR) for b in tbl.column("blob").to_pylist()])
-    u, v, s = _best(p["u"], p["v"], p["s"], EXTRA)
-    ids, first = np.unique(u, return_index=True)
-    off = pa.array(np.append(first, len(u)).astype(np.int32))
-    return pa.table({"id": ids, "new_nbr": pa.ListArray.from_arrays(off, pa.array(v)), "new_sim": pa.ListArray.from_arrays(off, pa.array(s))})
+    def points(self) -> DataFrame:
+        """``(key, id)``: the node of every point, one per key."""
+        dim, kind = self.dim, self.src.schema["key"].dataType.simpleString()
+        return self.src.mapInArrow(lambda it: _points(it, dim), f"key {kind}, id long").groupBy("key").agg(F.min("id").alias("id"))
 
+    def codes(self) -> DataFrame:
+        dim = self.dim
+        return self.src.select("vector").mapInArrow(lambda it: _encode(it, dim), "id long, code binary")
 
-def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(graph, source): the neighbour graph, and ``source(id, key, vector)`` with the hashed id.
 
-    The graph has one row per vector that takes part: ``id``, its leaves, sketch, k-th similarity, and
-    the arrays ``nbr``/``sim``. Null, wrongly sized, zero and non-finite vectors take no part; a null
-    key is dropped; repeated rows count once; an empty table gives an empty graph; further columns
-    are ignored. Equal similarities are broken by the hashed id.
+def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf: int = LEAF, rounds: int = ROUNDS) -> Graph:
+    """The neighbour graph of the vectors of ``df``.
+
+    Null, wrongly sized, zero and non-finite vectors take no part; a null key is dropped; repeated rows
+    count once; an empty table gives an empty graph; further columns are ignored. Equal similarities are
+    broken by the node's hash. ``rounds`` (at most ROUNDS) bounds the rounds of NN-descent; 0 leaves the first lists.
     """
     spark = df.sparkSession
-    src = spread(df.select(F.xxhash64(id_col).alias("id"), F.col(id_col).alias("key"), F.col(vec_col).cast("array<float>").alias("vector")).where(f"key is not null and size(vector) = {dim}"))
+    src = spread(df.select(F.col(id_col).alias("key"), F.col(vec_col).cast("array<float>").alias("vector")).where(f"key is not null and size(vector) = {dim}"))
     n = src.count()
     sample = max(SAMPLE, n // SAMPLED)
     share = min(1.0, sample / max(n, 1))
-    some = src.where(F.pmod(F.col("id") / 64, F.lit(1_000_000)).cast("long") < int(share * 1_000_000) + (share == 1.0)).select("vector").limit(2 * sample).toArrow()
+    some = src.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)).select("vector").limit(2 * sample).toArrow()
     _, x = _unit(some.column(0).combine_chunks() if some.num_rows else pa.array([], pa.list_(pa.float32())), dim)
-    cut = slices(spark, n, 10_000)
     if not len(x):
-        return spark.createDataFrame([], GRAPH_DDL), src
-    model = fit(x, n)
-    placed = src.select("id", "vector").mapInArrow(lambda it: _place(it, model, dim), "leaf long, blob binary")
-    lists = placed.groupBy("leaf").applyInArrow(lambda t: _in_leaf(t, dim, cut, model["split"]), "slice int, blob binary")
-    graph = materialize(lists.groupBy("slice").applyInArrow(lambda t: _merge(t, K), GRAPH_DDL), "knn_graph")
-    for _ in range(rounds):
-        meet = graph.mapInArrow(lambda it: _to_pivots(it, cut), "slice int, blob binary")
-        pairs = meet.groupBy("slice").applyInArrow(lambda t: _local_join(t, cut, 0.05, model["split"]), "slice int, blob binary")
-        new = pairs.groupBy("slice").applyInArrow(_grown, "id long, new_nbr array<long>, new_sim array<float>")
-        # two vectors of a split leaf may have met in it: what a list holds already is not new
-        fresh = F.expr("filter(arrays_zip(new_nbr, new_sim), e -> not array_contains(nbr, e.new_nbr))")
-        graph = graph.join(new, "id", "left").withColumn("fresh", F.coalesce(fresh, F.array().cast("array<struct<new_nbr:bigint,new_sim:float>>"))).select(
-            "id", "l0", "l1", "bits", "kth", "exact", F.concat("nbr", "fresh.new_nbr").alias("nbr"), F.concat("sim", "fresh.new_sim").alias("sim"),
-        )
-        graph = materialize(graph, "knn_graph")
-    return graph, src
+        return Graph(spark.createDataFrame([], NODE_DDL), src, None, dim, [])
+    cut = slices(spark, n, 10_000)
+    model = fit(x, n, leaf)
+    leaves = len(model["fine"])
+    vectors = src.select("vector")
+    lists = vectors.mapInArrow(lambda it: _place(it, model, dim), "leaf long, blob binary").groupBy("leaf").applyInArrow(lambda t: _in_leaf(t, dim, cut), "slice int, blob binary")
+    nodes = materialize(lists.withColumn("old", F.lit(False)).groupBy("slice").applyInArrow(_merge, NODE_DDL), "knn_graph")
+    log: list[float] = []
+    for _ in range(min(rounds, ROUNDS)):
+        going = nodes.select("id", "l0", "l1", F.explode("go").alias("cell"))
+        few = going.count() <= BROADCAST_ROWS
+        come = vectors.mapInArrow(lambda it: _encode(it, dim), "id long, code binary").join(F.broadcast(going) if few else going, "id").select("id", "l0", "l1", "cell", "code")
+        come = come.mapInArrow(lambda it: _guests(it, model, dim), "leaf long, blob binary").withColumn("guest", F.lit(True))
+        home = vectors.mapInArrow(lambda it: _place(it, model, dim, True), "leaf long, blob binary").withColumn("guest", F.lit(False))
+        found = come.unionByName(home).groupBy("leaf").applyInArrow(lambda t: _visited(t, dim, cut, leaves), "slice int, blob binary")
+        both = found.withColumn("old", F.lit(False)).unionByName(nodes.select("slice", F.col("node").alias("blob"), F.lit(True).alias("old")))
+        nodes = materialize(both.groupBy("slice").applyInArrow(_merge, NODE_DDL), "knn_graph")
+        moved = nodes.agg(F.sum("changed"), F.sum("entries")).first()
+        log.append(float((moved[0] or 0) / max(moved[1] or 1, 1)))
+        if log[-1] < CHANGED:
+            break
+    return Graph(nodes, src, model, dim, log)
 
 
 def _score(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
@@ -370,64 +473,93 @@ def _score(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(np.einsum("ij,ij->i", x, y))], ["u", "v", "s"])
 
 
-def _encode(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+def _routed(batches: Iterator[pa.RecordBatch], model: dict, dim: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows, x = _unit(b.column(1), dim)
-        c = codes(x) if len(rows) else np.zeros((0, dim), np.int8)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([r.tobytes() for r in c], pa.binary())], ["id", "code"])
+        rows, x, c, ids = _coded(b, dim)
+        leaf = assign(model, x)[:, 0] if len(rows) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(ids), pa.array(leaf), pa.array([r.tobytes() for r in c], pa.binary())], ["u", "id", "leaf", "code"])
 
 
-def search(graph: DataFrame, src: DataFrame, probes: DataFrame, dim: int = DIM, k: int = K, beam: int = BEAM) -> DataFrame:
-    """``(u, v, s)``: the k best neighbours of every probe (column ``id``), by greedy walk.
+def search(graph: Graph, queries: DataFrame, k: int = K) -> DataFrame:
+    """``(u, v, s)``: the k best nodes for each of ``queries(u, vector)``, by greedy search.
 
-    The walk starts at the probe's node, follows its list, then the lists of those neighbours; the
-    ``beam`` best paths by the product of similarities are scored on the codes.
+    A query whose code is a node of the graph starts with that node's list and never finds that node itself;
+    another starts at ENTRIES nodes of the leaf it falls in. In each step every query expands those of
+    its k best nodes that it has not expanded; the search ends when no query has any. Vectors that
+    can't take part in the graph find nothing; of a repeated u the first vector counts.
     """
-    start = graph.join(probes.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("u"), F.explode(F.arrays_zip("nbr", "sim")).alias("e"))
-    one = materialize(start.select("u", F.col("e.nbr").alias("v"), F.col("e.sim").alias("s")), "knn_hop")
-    hop = one.join(graph.select(F.col("id").alias("v"), "nbr", "sim"), "v").select("u", "s", F.explode(F.arrays_zip("nbr", "sim")).alias("e"))
-    two = hop.select("u", F.col("e.nbr").alias("v"), (F.col("s") * F.col("e.sim")).alias("s")).where("u <> v")
-    seen = one.unionByName(two).groupBy("u", "v").agg(F.max("s").alias("s"))
-    listed = seen.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("o"), "v"))), 1, beam).alias("e"))
-    pairs = listed.select("u", F.explode("e.v").alias("v"))
-    code = src.select("id", "vector").mapInArrow(lambda it: _encode(it, dim), "id long, code binary")
-    need = pairs.join(code.select(F.col("id").alias("v"), F.col("code").alias("cv")), "v")
-    mine = code.join(probes.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("u"), F.col("code").alias("cu"))
-    scored = need.join(mine, "u").mapInArrow(lambda it: _score(it, dim), "u long, v long, s float").distinct()
-    best = scored.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("o"), "v"))), 1, k).alias("e"))
-    return best.select("u", F.explode("e").alias("e")).select("u", F.col("e.v").alias("v"), (-F.col("e.o")).alias("s"))
+    spark, dim, model = graph.src.sparkSession, graph.dim, graph.model
+    kind = queries.schema["u"].dataType.simpleString()
+    ddl = f"u {kind}, v long, s float"
+    if model is None:
+        return spark.createDataFrame([], ddl)
+    q = spread(queries.select("u", F.col("vector").cast("array<float>").alias("vector")).where(f"u is not null and size(vector) = {dim}").dropDuplicates(["u"]))
+    q = materialize(q.mapInArrow(lambda it: _routed(it, model, dim), f"u {kind}, id long, leaf long, code binary"), "knn_queries")
+    few_queries = q.count() <= CODE_ROWS
+    mine = q.select("u", F.col("id").alias("own"), F.col("code").alias("cu"))
+    edges = graph.edges()
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """``pairs(u, v)`` with similarities; small sides are broadcast, so that codes need no shuffle."""
+        pairs = materialize(pairs, "knn_pairs")
+        few = pairs.count() <= BROADCAST_ROWS
+        code = graph.codes().select(F.col("id").alias("v"), F.col("code").alias("cv"))
+        both = code.join(F.broadcast(pairs) if few else pairs, "v").join(F.broadcast(mine) if few_queries else mine, "u")
+        return both.select("u", "v", "cu", "cv").mapInArrow(lambda it: _score(it, dim), ddl).dropDuplicates(["u", "v"])
+
+    inside = q.join(graph.nodes.select("id"), "id", "left_semi").select("u", "id")
+    start = inside.join(edges.withColumnRenamed("u", "id"), "id").select("u", "v", "s")
+    gate = graph.nodes.select("id", F.col("l0").cast("long").alias("leaf")).withColumn("r", F.row_number().over(W.partitionBy("leaf").orderBy("id"))).where(F.col("r") <= ENTRIES)
+    outside = q.join(graph.nodes.select("id"), "id", "left_anti").join(gate.select("leaf", F.col("id").alias("v")), "leaf").select("u", "v")
+    start = start if outside.isEmpty() else start.unionByName(scored(outside))
+    top = lambda d: d.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "v"))).where(F.col("r") <= k).drop("r")
+    best = materialize(top(start.withColumn("done", F.lit(False))), "knn_best")
+    seen = best.select("u", "v").unionByName(inside.select("u", F.col("id").alias("v")))
+    while True:
+        front = best.where("not done").select("u", F.col("v").alias("at"))
+        hop = front.join(edges.select(F.col("u").alias("at"), "v"), "at").select("u", "v").distinct()
+        new = scored(hop.join(seen, ["u", "v"], "left_anti"))
+        every = best.withColumn("done", F.lit(True)).unionByName(new.withColumn("done", F.lit(False)))
+        seen = seen.unionByName(new.select("u", "v"))
+        best = materialize(top(every), "knn_best")
+        if best.where("not done").isEmpty():
+            return best.drop("done")
+
+
+def with_copies(found: DataFrame, points: DataFrame, k: int = K, wanted: DataFrame | None = None) -> DataFrame:
+    """``(key, other, s)``: the k best points of every key of ``wanted(key)`` (all points if None), from the best
+    nodes ``found(u, v, s)``. Points of the same code come first; of a node with very many points the
+    first ones by key are taken. Equal similarities go by key."""
+    points = materialize(points, "knn_points")
+    first = points.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("key"))).where(F.col("r") <= k + 1).select("id", F.col("key").alias("other"))
+    own = points if wanted is None else points.join(wanted.select("key").distinct(), "key", "left_semi")
+    lists = found.select(F.col("u").alias("id"), F.col("v").alias("node"), "s").unionByName(own.select("id").distinct().select("id", F.col("id").alias("node"), F.lit(1.0).cast("float").alias("s")))
+    lists = lists.join(first.withColumnRenamed("id", "node"), "node").select("id", "other", "s")
+    # a node that very many points share is split over salts
+    hot = own.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CLASS).select("id", F.expr("16L").alias("salts"))
+    salted = own.join(F.broadcast(hot), "id", "left").select("id", "key", F.pmod(F.xxhash64("key"), F.expr("coalesce(salts, 1L)")).alias("salt"))
+    lists = lists.join(F.broadcast(hot), "id", "left").select("id", "other", "s", F.explode(F.expr("sequence(0L, coalesce(salts, 1L) - 1L)")).alias("salt"))
+    pairs = salted.join(lists, ["id", "salt"]).where("key <> other").select("key", "other", "s")
+    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc("s"), "other"))).where(F.col("rank") <= k)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph, src = build_graph(table(spark, sf_dir, "vectors"), "point_id", "vector")
-    probes = table(spark, sf_dir, "probe_points").select(F.xxhash64("point_id").alias("id"))
-    found = materialize(search(graph, src, probes), "knn_found")
-    names = src.select("id", "key").distinct()
-    out = found.join(names.select(F.col("id").alias("u"), F.col("key").alias("a")), "u").join(names.select(F.col("id").alias("v"), F.col("key").alias("b")), "v")
-    return out.select(F.least("a", "b").alias("point_a"), F.greatest("a", "b").alias("point_b")).distinct()
-
-
-def rescored(graph: DataFrame, src: DataFrame, dim: int = DIM, k: int = K) -> DataFrame:
-    """``(u, v, s, rank)``: the k best of every node's list, with estimated similarities replaced by
-    those of the codes."""
-    e = graph.select(F.col("id").alias("u"), "exact", F.posexplode(F.arrays_zip("nbr", "sim")).alias("pos", "e"))
-    sure = e.where("pos < exact").select("u", F.col("e.nbr").alias("v"), F.col("e.sim").alias("s"))
-    pairs = e.where("pos >= exact").select("u", F.col("e.nbr").alias("v"))
-    code = materialize(src.select("id", "vector").mapInArrow(lambda it: _encode(it, dim), "id long, code binary").dropDuplicates(["id"]), "knn_codes")
-    both = pairs.join(code.select(F.col("id").alias("v"), F.col("code").alias("cv")), "v").join(code.select(F.col("id").alias("u"), F.col("code").alias("cu")), "u")
-    every = sure.unionByName(both.mapInArrow(lambda it: _score(it, dim), "u long, v long, s float"))
-    rank = F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "v"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k)
+    graph = build_graph(table(spark, sf_dir, "vectors"), "point_id", "vector")
+    wanted = table(spark, sf_dir, "probe_points").select(F.col("point_id").alias("key")).distinct()
+    points = materialize(graph.points(), "knn_points")
+    # a probe's node is the query: probes of the same code share it
+    asked = graph.src.join(wanted, "key", "left_semi").join(points, "key").select(F.col("id").alias("u"), "vector")
+    out = with_copies(search(graph, asked), points, wanted=wanted)
+    return out.select(F.least("key", "other").alias("point_a"), F.greatest("key", "other").alias("point_b")).distinct()
 
 
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list of every vector in the graph, with the neighbour's payload."""
     v = table(spark, sf_dir, "vectors")
-    graph, src = build_graph(v, "point_id", "vector")
-    names = src.select("id", "key").distinct()
-    load = v.where("point_id is not null").groupBy(F.xxhash64("point_id").alias("v")).agg(F.min(F.struct("point_id", "payload")).alias("x"))
-    out = rescored(graph, src).join(names.withColumnRenamed("id", "u"), "u").join(load, "v")
-    return out.select(F.col("key").alias("point_id"), "rank", F.col("x.point_id").alias("neighbour_id"), F.round("s", 4).alias("similarity"), F.col("x.payload").alias("payload"))
+    graph = build_graph(v, "point_id", "vector")
+    load = v.where("point_id is not null").groupBy(F.col("point_id").alias("other")).agg(F.min("payload").alias("payload"))
+    out = with_copies(graph.edges(), graph.points()).join(load, "other")
+    return out.select(F.col("key").alias("point_id"), "rank", F.col("other").alias("neighbour_id"), F.round("s", 4).alias("similarity"), "payload")
 
 
 QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours}

@@ -114,9 +114,54 @@ def test_vectors_that_take_no_part(spark):
     v = [float(i % 7 + 1) for i in range(384)]
     rows = [("a", v), ("b", v), ("b", v), ("c", None), ("d", [0.0] * 384), ("e", v[:10]), ("f", [float("nan")] + v[1:]), (None, v)]
     df = spark.createDataFrame(rows, "point_id string, vector array<float>").withColumn("id", F.lit(1)).withColumn("code", F.lit("x"))
-    graph, src = neighbours.build_graph(df, "point_id", "vector")
-    assert graph.count() == 2
-    assert neighbours.build_graph(df.where("false"), "point_id", "vector")[0].count() == 0
+    graph = neighbours.build_graph(df, "point_id", "vector")
+    # a and b are one node, and each other's neighbour
+    assert graph.nodes.count() == 1
+    got = {(r.key, r.other) for r in neighbours.with_copies(graph.edges(), graph.points()).collect()}
+    assert got == {("a", "b"), ("b", "a")}
+    none = neighbours.build_graph(df.where("false"), "point_id", "vector")
+    assert none.nodes.count() == 0 and neighbours.search(none, df.select(F.col("point_id").alias("u"), "vector")).count() == 0
+
+
+def _true_neighbours(path, of):
+    t = pq.read_table(path).to_pandas()
+    t = t[t.vector.apply(lambda x: x is not None and len(x) == 384)].drop_duplicates("point_id")
+    x = np.stack(t.vector.values).astype(np.float32)
+    ok = np.isfinite(x).all(1) & (np.abs(x).sum(1) > 0)
+    x, ids = x[ok] / np.linalg.norm(x[ok], axis=1, keepdims=True), t.point_id.values[ok]
+    at = np.random.default_rng(2).choice(len(x), of, replace=False)
+    s = x[at] @ x.T
+    s[np.arange(of), at] = -9
+    return x, ids, {ids[i]: {ids[j] for j in np.argpartition(-r, 10)[:10]} for i, r in zip(at, s)}
+
+
+def test_rounds_raise_recall_where_leaves_are_small(spark):
+    path = "/root/testdata/sf0.1/vectors.parquet"
+    _, _, want = _true_neighbours(path, 500)
+    recall = []
+    for rounds in (0, neighbours.ROUNDS):
+        g = neighbours.build_graph(spark.read.parquet(path), "point_id", "vector", leaf=neighbours.LEAF // 15, rounds=rounds)
+        got = neighbours.with_copies(g.edges(), g.points()).where(F.col("key").isin(list(want))).select("key", "other").collect()
+        recall.append(sum(r.other in want[r.key] for r in got) / (10 * len(want)))
+    assert g.rounds[-1] < neighbours.CHANGED and recall[1] > recall[0] + 0.01 and recall[1] >= 0.88
+    # greedy search over the graph, for its own points and for vectors that are not in it
+    near = spark.read.parquet(path).where(F.col("point_id").isin(list(want))).select(F.col("point_id").alias("u"), "vector")
+    names = {r.id: r.key for r in g.points().collect()}
+    for q in (near, near.withColumn("vector", F.transform("vector", lambda v, i: v + F.lit(0.002) * F.sin(i + F.lit(1))))):
+        got = [(r.u, names[r.v]) for r in neighbours.search(g, q).collect()]
+        # a vector beside a point finds that point too
+        assert sum(v in want[u] or u == v for u, v in got) >= 0.85 * 10 * len(want)
+
+
+def test_a_third_of_all_vectors_may_be_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 384))
+    rows = [(f"c{i:04d}", x[0].tolist()) for i in range(400)] + [(f"p{i:04d}", x[i].tolist()) for i in range(1, 60)]
+    g = neighbours.build_graph(spark.createDataFrame(rows, "point_id string, vector array<float>"), "point_id", "vector")
+    assert g.nodes.count() == 60
+    got = neighbours.with_copies(g.edges(), g.points()).toPandas()
+    assert (got.groupby("key").size() == 10).all() and len(got.key.unique()) == 459
+    assert set(got[got.key == "c0399"].other) == {f"c{i:04d}" for i in range(10)}
 
 
 def test_every_pair_of_a_hot_leaf_meets():
@@ -125,8 +170,8 @@ def test_every_pair_of_a_hot_leaf_meets():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((300, 384)).astype(np.float32)
     model = neighbours.fit(x / np.linalg.norm(x, axis=1, keepdims=True), 100_000)
-    ids = rng.integers(1, 2**62, 300)
-    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(x))], ["id", "vector"])
+    batch = pa.RecordBatch.from_arrays([pa.array(list(x))], ["vector"])
+    ids = neighbours._coded(batch, 384)[3]
     model["owner"], model["fine"], model["top"] = np.zeros(1, int), model["fine"][:1], model["top"][:1]
     model["salts"] = np.array([3])
     met = np.zeros((300, 300), bool)
