@@ -306,20 +306,62 @@ def test_pieces_cover_the_text(text, limit, overlap):
     assert all(b[0] == a[1] - share and b[1] > a[1] for a, b in zip(p, p[1:]))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab ;{}\n\r", max_size=400), st.lists(st.tuples(st.integers(1, 60), st.integers(0, 70)), min_size=1, max_size=3, unique=True), st.integers(3, 90))
+def test_streamed_plan_equals_the_plan_over_the_whole(text, jobs, size):
+    at, rank = (np.array(x, np.int64) for x in splitting.marks(text))
+    planner = splitting._Text(5, jobs)
+    for r, part, before, after in splitting._windows(text, size):
+        a, k = splitting.marks(before + part + after)
+        own = [(x - len(before), y) for x, y in zip(a, k) if 0 < x - len(before) <= len(part)]
+        planner.add(r, len(part), np.array([x for x, _ in own], np.int64), np.array([y for _, y in own], np.int8))
+    got = planner.close()
+    line = at[rank == splitting.LINE]
+    for limit, overlap in set(jobs):
+        want = splitting.plan(len(text), at, rank, limit, overlap) if len(text) > limit else []
+        mine = [x for x in got if x[:2] == (limit, overlap)][: len(want)]
+        assert [x[3:5] for x in mine] == want
+        for x in mine:
+            assert "".join(text[s["r"] * size :][s["lo"] : s["hi"]] for s in x[7]) == text[x[3] : x[4]]
+            assert x[5] == 5 + int(np.searchsorted(line, x[3], "right"))
+
+
 def test_ranges_with_halos_equal_the_whole(spark):
     rng = random.Random(1)
-    texts = [(i, "".join(rng.choice("ab;\n\r \t{x") for _ in range(rng.randrange(1, 900))), i) for i in range(40)] + [(99, None, 1), (100, "", 1)]
-    df = spark.createDataFrame(texts, "block_id long, content string, start_line int").withColumn("id", F.lit(7)).withColumn("r", F.lit(7))
-    for r in splitting.boundary_tables(df, "block_id", "content", "start_line", range_chars=64).collect():
-        assert (r.at, r.rank) == splitting.marks(texts[r.id][1])
-    jobs = spark.createDataFrame([(i, 50, 7) for i in range(40)] + [(1, None, 3), (2, 0, None), (3, 40, None)], "id long, limit_chars int, overlap_chars int")
-    t = splitting.boundary_tables(df, "block_id", "content", "start_line", range_chars=64)
+    texts = [(i, "".join(rng.choice("ab;\n\r \t{x\u00e9") for _ in range(rng.randrange(1, 900))), i) for i in range(40)] + [(99, None, 1), (100, "", 1)]
+    df = spark.createDataFrame([*texts, texts[3]], "block_id long, content string, start_line int").withColumn("id", F.lit(7)).withColumn("r", F.lit(7)).withColumn("part", F.lit("x"))
+    ranges = splitting.ranges_of(df, "block_id", "content", "start_line", range_chars=64)
+    t = splitting.boundary_tables(ranges)
+    found: dict = {}
+    for r in t.collect():
+        found.setdefault(r.id, set()).update((r.r * 64 + a, k) for a, k in zip(r.at, r.rank))
+    assert all(found.get(i, set()) == set(zip(*splitting.marks(x))) for i, x, _ in texts[:40])
+    jobs = spark.createDataFrame([(i, 50, 7) for i in range(40)] + [(1, None, 3), (2, 0, None), (3, 40, None)] + [(4, k, 1) for k in range(30, 230)], "id long, limit_chars int, overlap_chars int")
     pieces = splitting.plan_pieces(t, jobs)
-    for r in splitting.emit_pieces(pieces, df, "block_id", "content", range_chars=64).collect():
+    got = splitting.emit_pieces(pieces, ranges).collect()
+    for r in got:
         assert r.text == texts[r.id][1][r.from_char : r.to_char]
+    for i, limit, overlap in [(i, 50, 7) for i in range(40)] + [(3, 40, 0)] + [(4, k, 1) for k in range(30, 230)]:
+        text = texts[i][1]
+        want = splitting.plan(len(text), *(np.array(x, np.int64) for x in splitting.marks(text)), limit, overlap) if len(text) > limit else []
+        assert sorted((r.from_char, r.to_char) for r in got if (r.id, r.limit_chars, r.overlap_chars) == (i, limit, overlap)) == want
     assert splitting.plan_pieces(t.where("false"), jobs).count() == 0
 
 
+def test_files_are_read_by_byte_ranges(spark, tmp_path):
+    rng = random.Random(9)
+    text = "".join(rng.choice(["a", "é", "漢", "\n", ";", " ", "\r\n", "𝄞"]) for _ in range(3_000))
+    path = tmp_path / "giant.txt"
+    path.write_bytes(text.encode())
+    files = spark.createDataFrame([(f"file://{path}", path.stat().st_size), (None, 5), (f"file://{path}", 0)], "path string, size long")
+    ranges = splitting.ranges_of_files(spark, files, 100)
+    assert "".join(r.part for r in sorted(ranges.collect(), key=lambda r: r.r)) == text
+    jobs = spark.createDataFrame([(f"file://{path}", 150, 10)], "id string, limit_chars int, overlap_chars int")
+    got = sorted((r.from_char, r.to_char, r.text) for r in splitting.emit_pieces(splitting.plan_pieces(splitting.boundary_tables(ranges), jobs), ranges).collect())
+    want = splitting.plan(len(text), *(np.array(x, np.int64) for x in splitting.marks(text)), 150, 10)
+    assert got == [(a, b, text[a:b]) for a, b in want]
+
+
 # --- p6: hand-written ---------------------------------------------------------------------------------
 
 
