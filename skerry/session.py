@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,7 +34,23 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skerry/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skerry_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and no later step reads, and let the shuffle files of dropped
+    plans go. Frames of another origin are left alone."""
+    for df in tables:
+        path = getattr(df, "_skerry_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def slices(spark: SparkSession, rows: int, rows_per_slice: int) -> int:
@@ -49,14 +66,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _wide(plan) -> bool:
+    """Whether an optimised plan holds a shuffle, an aggregate or the like: then it is spread already."""
+    name = plan.getClass().getSimpleName()
+    if any(x in name for x in ("Aggregate", "Join", "Repartition", "Window", "Sort", "Distinct", "Deduplicate", "Limit")):
+        return True
+    kids = plan.children()
+    return any(_wide(kids.apply(i)) for i in range(kids.size()))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Even out a scan whose file layout gives fewer splits than the cluster has slots.
 
     A single small file with one row group is read by one task; heavy expressions behind such a
-    scan need a round-robin exchange first. Inputs with enough splits are left alone.
+    scan need a round-robin exchange first. Inputs with enough splits are left alone, and so are plans with a
+    shuffle of their own, as asking those for their partitions would run it.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    if _wide(df._jdf.queryExecution().optimizedPlan()) or df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
 
