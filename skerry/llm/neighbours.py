@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skerry.session import materialize, slices, spread, table
+from skerry.session import materialize, release, slices, spread, table
 
 DIM = 384
 K = 10
@@ -46,13 +46,15 @@ SAMPLE = 12_000
 #: Vectors for each one of the sample, where that gives more than SAMPLE.
 SAMPLED = 400
 #: Neighbours that must stand in a leaf for a node to go there, and leaves that it goes to in a round.
-EVIDENCE, VISITS = 1, 2
+EVIDENCE, VISITS = 2, 2
 #: Rounds end once fewer than this share of the entries change, or after so many.
-CHANGED, ROUNDS = 0.02, 7
+CHANGED, ROUNDS = 0.03, 7
 #: Nodes of a leaf at which a query from outside the graph begins.
 ENTRIES = 12
-#: Small sides of joins up to this many rows are broadcast (codes: CODE_ROWS); beyond, joins are shuffles.
-BROADCAST_ROWS, CODE_ROWS = 400_000, 40_000
+#: Node ids (or pairs of them) and query codes up to these numbers go to every task; beyond, joins are shuffles.
+SMALL_IDS, SMALL_CODES = 400_000, 20_000
+#: Vectors of one packed row.
+PACK = 2_000
 #: Points of one code beyond this many are spread over salts when lists are given to points.
 HOT_CLASS = 10_000
 
@@ -170,6 +172,31 @@ def _coded(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, np.
     return rows, x, c, node_ids(c)
 
 
+def _packed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """(keys, ids, codes): PACK vectors a row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PACK):
+            b = batch.slice(at, PACK)
+            rows, _, c, ids = _coded(b, dim)
+            if len(rows):
+                keys = b.column(0).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([ids.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], ["keys", "ids", "codes"])
+
+
+def _unpack(b: pa.RecordBatch, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, codes) of each packed row, every node once."""
+    for i, c in zip(b.column("ids").to_pylist(), b.column("codes").to_pylist()):
+        ids, once = np.unique(np.frombuffer(i, np.int64), return_index=True)
+        yield ids, np.frombuffer(c, np.int8).reshape(-1, dim)[once]
+
+
+def _some(batches: Iterator[pa.RecordBatch], share: float, dim: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for ids, c in _unpack(b, dim):
+            pick = (ids.view(np.uint64) >> np.uint64(11)) % np.uint64(1_000_000) < np.uint64(round(share * 1_000_000))
+            yield pa.RecordBatch.from_arrays([pa.array([c[pick].tobytes()], pa.binary())], ["codes"])
+
+
 def _blocks(key: np.ndarray, rec: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(key, kind="stable")
     keys, first = np.unique(key[order], return_index=True)
@@ -181,13 +208,8 @@ def _blocks(key: np.ndarray, rec: np.ndarray) -> Iterator[tuple[int, bytes]]:
 def _place(batches: Iterator[pa.RecordBatch], model: dict, dim: int, homes_only: bool = False) -> Iterator[pa.RecordBatch]:
     """Nodes by leaf. Key of a leaf's pair of salts (a, b): leaf + leaves * (a * salts + b)."""
     base = len(model["fine"])
-    for batch in batches:
-        rows, x, c, ids = _coded(batch, dim)
-        if not len(rows):
-            continue
-        _, once = np.unique(ids, return_index=True)
-        x, c, ids = x[once], c[once], ids[once]
-        leaf = assign(model, x)
+    for ids, c in (x for batch in batches for x in _unpack(batch, dim)):
+        leaf = assign(model, decode(c))
         rec = np.empty(len(ids), _record(dim))
         rec["id"], rec["l0"], rec["l1"], rec["code"] = ids, leaf[:, 0], leaf[:, 1], c
         two = np.flatnonzero((leaf[:, 1] != leaf[:, 0]) & (not homes_only))
@@ -324,17 +346,17 @@ def _merge(tbl: pa.Table) -> pa.Table:
     u, v, s = np.repeat(where, K), rec["nbr"].ravel(), rec["sim"].ravel()
     a0, a1 = rec["at0"].ravel(), rec["at1"].ravel()
     fresh = np.repeat(np.arange(len(rec)) >= len(old), K)
-    ok = s > -5
-    u, v, s, a0, a1, fresh = (c[ok] for c in (u, v, s, a0, a1, fresh))
-    order = np.lexsort((fresh, v, u))
-    u, v, s, a0, a1, fresh = (c[order] for c in (u, v, s, a0, a1, fresh))
+    ok = np.flatnonzero(s > -5)
+    # by node, similarity (to six decimals, so that what was found twice stands together), neighbour
+    rank = (u[ok].astype(np.uint64) << np.uint64(32)) + (2_000_000 - np.round(s[ok] * 1e6).astype(np.int64)).astype(np.uint64)
+    ok = ok[np.lexsort((fresh[ok], v[ok], rank))]
+    u, v = u[ok], v[ok]
     keep = np.ones(len(u), bool)
     keep[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-    u, v, s, a0, a1, fresh = (c[keep] for c in (u, v, s, a0, a1, fresh))
-    order = np.lexsort((v, -s, u))
-    u, v, s, a0, a1, fresh = (c[order] for c in (u, v, s, a0, a1, fresh))
+    ok, u = ok[keep], u[keep]
     keep = np.arange(len(u)) - np.searchsorted(u, u) < K
-    u, v, s, a0, a1, fresh = (c[keep] for c in (u, v, s, a0, a1, fresh))
+    ok, u = ok[keep], u[keep]
+    v, s, a0, a1, fresh = (c[ok] for c in (rec["nbr"].ravel(), s, a0, a1, fresh))
     out = np.zeros(len(ids), NODE)
     out["id"], out["sim"], out["been"] = ids, -9, -1
     at = np.arange(len(u)) - np.searchsorted(u, u)
@@ -365,16 +387,28 @@ def _merge(tbl: pa.Table) -> pa.Table:
     })
 
 
-def _guests(batches: Iterator[pa.RecordBatch], model: dict, dim: int) -> Iterator[pa.RecordBatch]:
-    """Nodes with their codes, by the leaf they go to."""
+def _guests(batches: Iterator[pa.RecordBatch], model: dict, dim: int, going: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """Nodes with their codes, by the leaf they go to: all of ``going`` (ids, sorted, and leaves), or rows that come
+    with a ``cell``."""
     base = len(model["fine"])
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rec = np.empty(b.num_rows, _record(dim))
-        rec["id"], rec["l0"], rec["l1"] = b.column("id").to_numpy(), b.column("l0").to_numpy(), b.column("l1").to_numpy()
-        rec["code"] = np.frombuffer(b"".join(b.column("code").to_pylist()), np.int8).reshape(-1, dim)
-        cell = b.column("cell").to_numpy().astype(np.int64)
+
+    def rows() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for b in batches:
+            if going is None:
+                if b.num_rows:
+                    yield b.column("id").to_numpy(), b.column("cell").to_numpy().astype(np.int64), np.frombuffer(b"".join(b.column("code").to_pylist()), np.int8).reshape(-1, dim)
+                continue
+            for ids, c in _unpack(b, dim):
+                lo, hi = np.searchsorted(going[0], ids), np.searchsorted(going[0], ids, "right")
+                rep = np.repeat(np.arange(len(ids)), hi - lo)
+                at = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(rep))
+                if len(rep):
+                    yield ids[rep], going[1][at].astype(np.int64), c[rep]
+
+    for ids, cell, code in rows():
+        rec = np.empty(len(ids), _record(dim))
+        leaf = assign(model, decode(code))
+        rec["id"], rec["l0"], rec["l1"], rec["code"] = ids, leaf[:, 0], leaf[:, 1], code
         salts = model["salts"][cell]
         rep = np.repeat(np.arange(len(cell)), salts)
         other = np.arange(len(rep)) - np.repeat(np.cumsum(salts) - salts, salts)
@@ -382,17 +416,16 @@ def _guests(batches: Iterator[pa.RecordBatch], model: dict, dim: int) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["leaf", "blob"])
 
 
-def _encode(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+def _codes(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        _, _, c, ids = _coded(b, dim)
-        _, once = np.unique(ids, return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[once]), pa.array([r.tobytes() for r in c[once]], pa.binary())], ["id", "code"])
+        for ids, c in _unpack(b, dim):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r.tobytes() for r in c], pa.binary())], ["id", "code"])
 
 
-def _points(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows, _, _, ids = _coded(b, dim)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(ids)], ["key", "id"])
+        ids = np.concatenate([np.frombuffer(i, np.int64) for i in b.column("ids").to_pylist()] or [np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([b.column("keys").flatten(), pa.array(ids)], ["key", "id"])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,11 +437,11 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Graph:
-    """``nodes``: one row per distinct code that takes part, with its packed list; ``src(key, vector)``;
-    ``model``: the centroid tree; ``rounds``: share of entries changed in each round of NN-descent."""
+    """``nodes``: one row per distinct code that takes part, with its packed list; ``packed(keys, ids, codes)``: all
+    vectors; ``model``: the centroid tree; ``rounds``: share of entries changed in each round of NN-descent."""
 
     nodes: DataFrame
-    src: DataFrame
+    packed: DataFrame
     model: dict | None
     dim: int
     rounds: list[float]
@@ -419,15 +452,15 @@ class Graph:
 
     def points(self) -> DataFrame:
         """``(key, id)``: the node of every point, one per key."""
-        dim, kind = self.dim, self.src.schema["key"].dataType.simpleString()
-        return self.src.mapInArrow(lambda it: _points(it, dim), f"key {kind}, id long").groupBy("key").agg(F.min("id").alias("id"))
+        kind = self.packed.schema["keys"].dataType.elementType.simpleString()
+        return self.packed.select("keys", "ids").mapInArrow(_points, f"key {kind}, id long").groupBy("key").agg(F.min("id").alias("id"))
 
     def codes(self) -> DataFrame:
         dim = self.dim
-        return self.src.select("vector").mapInArrow(lambda it: _encode(it, dim), "id long, code binary")
+        return self.packed.select("ids", "codes").mapInArrow(lambda it: _codes(it, dim), "id long, code binary")
 
 
-def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf: int = LEAF, rounds: int = ROUNDS) -> Graph:
+def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf: int = LEAF, rounds: int = ROUNDS, small: int = SMALL_IDS) -> Graph:
     """The neighbour graph of the vectors of ``df``.
 
     Null, wrongly sized, zero and non-finite vectors take no part; a null key is dropped; repeated rows
@@ -435,35 +468,45 @@ def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf:
     broken by the node's hash. ``rounds`` (at most ROUNDS) bounds the rounds of NN-descent; 0 leaves the first lists.
     """
     spark = df.sparkSession
-    src = spread(df.select(F.col(id_col).alias("key"), F.col(vec_col).cast("array<float>").alias("vector")).where(f"key is not null and size(vector) = {dim}"))
-    n = src.count()
-    sample = max(SAMPLE, n // SAMPLED)
-    share = min(1.0, sample / max(n, 1))
-    some = src.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)).select("vector").limit(2 * sample).toArrow()
-    _, x = _unit(some.column(0).combine_chunks() if some.num_rows else pa.array([], pa.list_(pa.float32())), dim)
-    if not len(x):
-        return Graph(spark.createDataFrame([], NODE_DDL), src, None, dim, [])
+    src = spread(df.select(F.col(id_col).alias("key"), F.col(vec_col).cast("array<float>").alias("vector")).where("key is not null"))
+    kind = src.schema["key"].dataType.simpleString()
+    packed = materialize(src.mapInArrow(lambda it: _packed(it, dim), f"keys array<{kind}>, ids binary, codes binary"), "knn_codes")
+    n = int(packed.agg(F.sum(F.size("keys"))).first()[0] or 0)
+    if not n:
+        return Graph(spark.createDataFrame([], NODE_DDL), packed, None, dim, [])
+    share = min(1.0, max(SAMPLE, n // SAMPLED) / n)
+    coded = packed.select("ids", "codes")
+    some = coded.mapInArrow(lambda it: _some(it, share, dim), "codes binary").toArrow().column(0).to_pylist()
+    x = np.concatenate([np.frombuffer(c, np.int8).reshape(-1, dim) for c in some])
+    if len(x) < 2:
+        x = np.concatenate([c for b in packed.select("ids", "codes").limit(1).toArrow().to_batches() for _, c in _unpack(b, dim)])
     cut = slices(spark, n, 10_000)
-    model = fit(x, n, leaf)
+    model = fit(decode(x), n, leaf)
     leaves = len(model["fine"])
-    vectors = src.select("vector")
-    lists = vectors.mapInArrow(lambda it: _place(it, model, dim), "leaf long, blob binary").groupBy("leaf").applyInArrow(lambda t: _in_leaf(t, dim, cut), "slice int, blob binary")
+    lists = coded.mapInArrow(lambda it: _place(it, model, dim), "leaf long, blob binary").groupBy("leaf").applyInArrow(lambda t: _in_leaf(t, dim, cut), "slice int, blob binary")
     nodes = materialize(lists.withColumn("old", F.lit(False)).groupBy("slice").applyInArrow(_merge, NODE_DDL), "knn_graph")
     log: list[float] = []
     for _ in range(min(rounds, ROUNDS)):
-        going = nodes.select("id", "l0", "l1", F.explode("go").alias("cell"))
-        few = going.count() <= BROADCAST_ROWS
-        come = vectors.mapInArrow(lambda it: _encode(it, dim), "id long, code binary").join(F.broadcast(going) if few else going, "id").select("id", "l0", "l1", "cell", "code")
-        come = come.mapInArrow(lambda it: _guests(it, model, dim), "leaf long, blob binary").withColumn("guest", F.lit(True))
-        home = vectors.mapInArrow(lambda it: _place(it, model, dim, True), "leaf long, blob binary").withColumn("guest", F.lit(False))
-        found = come.unionByName(home).groupBy("leaf").applyInArrow(lambda t: _visited(t, dim, cut, leaves), "slice int, blob binary")
+        going = nodes.select("id", F.explode("go").alias("cell"))
+        if nodes.agg(F.sum(F.size("go"))).first()[0] <= small:
+            sent = going.toArrow()
+            order = np.argsort(sent.column("id").to_numpy(), kind="stable")
+            told = sent.column("id").to_numpy()[order], sent.column("cell").to_numpy()[order]
+            come = coded.mapInArrow(lambda it, told=told: _guests(it, model, dim, told), "leaf long, blob binary")
+        else:
+            once = coded.mapInArrow(lambda it: _codes(it, dim), "id long, code binary").join(going, "id").dropDuplicates(["id", "cell"])
+            come = once.mapInArrow(lambda it: _guests(it, model, dim, None), "leaf long, blob binary")
+        home = coded.mapInArrow(lambda it: _place(it, model, dim, True), "leaf long, blob binary")
+        found = come.withColumn("guest", F.lit(True)).unionByName(home.withColumn("guest", F.lit(False))).groupBy("leaf").applyInArrow(lambda t: _visited(t, dim, cut, leaves), "slice int, blob binary")
         both = found.withColumn("old", F.lit(False)).unionByName(nodes.select("slice", F.col("node").alias("blob"), F.lit(True).alias("old")))
-        nodes = materialize(both.groupBy("slice").applyInArrow(_merge, NODE_DDL), "knn_graph")
+        before, nodes = nodes, materialize(both.groupBy("slice").applyInArrow(_merge, NODE_DDL), "knn_graph")
+        del going, come, home, found, both
+        release(before)
         moved = nodes.agg(F.sum("changed"), F.sum("entries")).first()
         log.append(float((moved[0] or 0) / max(moved[1] or 1, 1)))
         if log[-1] < CHANGED:
             break
-    return Graph(nodes, src, model, dim, log)
+    return Graph(nodes, packed, model, dim, log)
 
 
 def _score(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
@@ -473,39 +516,64 @@ def _score(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(np.einsum("ij,ij->i", x, y))], ["u", "v", "s"])
 
 
+def _meet(batches: Iterator[pa.RecordBatch], v: np.ndarray, row: np.ndarray, code: np.ndarray, keys: pa.Array, dim: int) -> Iterator[pa.RecordBatch]:
+    """(u, v, s) of the pairs (query row, node v), sorted by v, whose nodes stand in a task's packed rows."""
+    for b in batches:
+        for ids, c in _unpack(b, dim):
+            lo, hi = np.searchsorted(v, ids), np.searchsorted(v, ids, "right")
+            own = np.repeat(np.arange(len(ids)), hi - lo)
+            at = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(own))
+            for k in range(0, len(own), 50_000):
+                i, j = own[k : k + 50_000], row[at[k : k + 50_000]]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(j)), pa.array(ids[i]), pa.array(np.einsum("ij,ij->i", decode(code[j]), decode(c[i])))], ["u", "v", "s"])
+
+
 def _routed(batches: Iterator[pa.RecordBatch], model: dict, dim: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows, x, c, ids = _coded(b, dim)
+        if pa.types.is_binary(b.schema.field(1).type):
+            rows, c = np.arange(b.num_rows), np.frombuffer(b"".join(b.column(1).to_pylist()), np.int8).reshape(-1, dim)
+            x, ids = decode(c), node_ids(c)
+        else:
+            rows, x, c, ids = _coded(b, dim)
         leaf = assign(model, x)[:, 0] if len(rows) else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(ids), pa.array(leaf), pa.array([r.tobytes() for r in c], pa.binary())], ["u", "id", "leaf", "code"])
 
 
-def search(graph: Graph, queries: DataFrame, k: int = K) -> DataFrame:
-    """``(u, v, s)``: the k best nodes for each of ``queries(u, vector)``, by greedy search.
+def search(graph: Graph, queries: DataFrame, k: int = K, small: int = SMALL_IDS) -> DataFrame:
+    """``(u, v, s)``: the k best nodes for each of ``queries(u, vector)``, or ``(u, code)``, by greedy search.
 
     A query whose code is a node of the graph starts with that node's list and never finds that node itself;
     another starts at ENTRIES nodes of the leaf it falls in. In each step every query expands those of
     its k best nodes that it has not expanded; the search ends when no query has any. Vectors that
     can't take part in the graph find nothing; of a repeated u the first vector counts.
     """
-    spark, dim, model = graph.src.sparkSession, graph.dim, graph.model
+    spark, dim, model = graph.packed.sparkSession, graph.dim, graph.model
     kind = queries.schema["u"].dataType.simpleString()
     ddl = f"u {kind}, v long, s float"
     if model is None:
         return spark.createDataFrame([], ddl)
-    q = spread(queries.select("u", F.col("vector").cast("array<float>").alias("vector")).where(f"u is not null and size(vector) = {dim}").dropDuplicates(["u"]))
+    form = F.col("code") if "code" in queries.columns else F.col("vector").cast("array<float>")
+    q = queries.where("u is not null").select("u", form.alias("x")).dropDuplicates(["u"])
     q = materialize(q.mapInArrow(lambda it: _routed(it, model, dim), f"u {kind}, id long, leaf long, code binary"), "knn_queries")
-    few_queries = q.count() <= CODE_ROWS
-    mine = q.select("u", F.col("id").alias("own"), F.col("code").alias("cu"))
+    few_queries = q.count() <= min(small, SMALL_CODES)
+    if few_queries:
+        held = q.select("u", "code").toArrow()
+        own_keys = held.column("u").combine_chunks()
+        own_row = {u: i for i, u in enumerate(own_keys.to_pylist())}
+        own_code = np.frombuffer(b"".join(held.column("code").to_pylist()), np.int8).reshape(-1, dim)
     edges = graph.edges()
 
     def scored(pairs: DataFrame) -> DataFrame:
-        """``pairs(u, v)`` with similarities; small sides are broadcast, so that codes need no shuffle."""
+        """``pairs(u, v)`` with similarities. Few pairs go to the codes, in the tasks that hold those."""
         pairs = materialize(pairs, "knn_pairs")
-        few = pairs.count() <= BROADCAST_ROWS
+        if few_queries and pairs.count() <= small:
+            p = pairs.toArrow()
+            order = np.argsort(p.column("v").to_numpy(), kind="stable")
+            at = p.column("v").to_numpy()[order], np.array([own_row[u] for u in p.column("u").to_pylist()], np.int64)[order]
+            return graph.packed.select("ids", "codes").mapInArrow(lambda it: _meet(it, *at, own_code, own_keys, dim), ddl).dropDuplicates(["u", "v"])
         code = graph.codes().select(F.col("id").alias("v"), F.col("code").alias("cv"))
-        both = code.join(F.broadcast(pairs) if few else pairs, "v").join(F.broadcast(mine) if few_queries else mine, "u")
-        return both.select("u", "v", "cu", "cv").mapInArrow(lambda it: _score(it, dim), ddl).dropDuplicates(["u", "v"])
+        mine = q.select("u", F.col("code").alias("cu"))
+        return code.join(pairs, "v").join(mine, "u").select("u", "v", "cu", "cv").mapInArrow(lambda it: _score(it, dim), ddl).dropDuplicates(["u", "v"])
 
     inside = q.join(graph.nodes.select("id"), "id", "left_semi").select("u", "id")
     start = inside.join(edges.withColumnRenamed("u", "id"), "id").select("u", "v", "s")
@@ -548,7 +616,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "probe_points").select(F.col("point_id").alias("key")).distinct()
     points = materialize(graph.points(), "knn_points")
     # a probe's node is the query: probes of the same code share it
-    asked = graph.src.join(wanted, "key", "left_semi").join(points, "key").select(F.col("id").alias("u"), "vector")
+    asked = points.join(wanted, "key", "left_semi").select("id").distinct().join(graph.codes(), "id").select(F.col("id").alias("u"), "code")
     out = with_copies(search(graph, asked), points, wanted=wanted)
     return out.select(F.least("key", "other").alias("point_a"), F.greatest("key", "other").alias("point_b")).distinct()
 
