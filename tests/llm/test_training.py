@@ -55,6 +55,158 @@ def test_broken_source_is_found(lang):
         assert parsing.language(lang).first_error(FOREIGN) is not None
 
 
+#: Corners of the languages: strings with strings inside, raw strings, branches of the preprocessor, newer syntax.
+CORNERS = {
+    'cpp': [
+        'auto s = R"x(a "quoted" (b) )y" )x";\n',
+        'auto s = R"(don\'t)";\n',
+        'int f() {\n#if A\n  if (x) {\n#else\n  if (y) {\n#endif\n    g();\n  }\n  return 0;\n}\n',
+        'auto s = u8R"(a"b)";\n',
+    ],
+    'rust': [
+        'fn f() { let a = r#"say "hi" don\'t"#; }\n',
+        'macro_rules! m { ($x:expr) => { $x + 1 }; ($($y:tt)*) => {} }\nfn g() {}\n',
+        'const A: &str = r"a\\b";\n',
+    ],
+    'ruby': [
+        'x = <<~EOS\n  don\'t "stop\n  EOS\nputs x\n',
+        'def f = 1\n',
+        'case v\nin {name: String => n} then puts n\nin [a, *b] if a > 1\n  puts b\nin Integer | Float => z\n  z\nelse\n  nil\nend\n',
+        'puts "a #{f("b")} c"\n',
+    ],
+    'php': [
+        '<?php\n$x = <<<EOT\ndon\'t "stop\nEOT;\necho $x;\n',
+        '<?php\nif ($a): echo 1; elseif ($b): echo 2; else: echo 3; endif;\nforeach ($a as $k => $v): echo $v; endforeach;\nwhile ($x): f(); endwhile;\n',
+        '<?php\necho "a {$b["c"]} d";\n',
+    ],
+    'javascript': [
+        'const a = `x ${`y ${z}`} w`;\n',
+        'class A { async *g() { yield 1; } }\nasync function* h() { for await (const x of y) { yield x; } }\nconst o = { async *k() { yield 2; } };\n',
+        'const t = `a ${b ? `c` : "d"} e`;\n',
+    ],
+    'typescript': [
+        'type M<T> = { readonly [K in keyof T]?: T[K] };\ntype N<T> = { [K in keyof T as string]: T[K] };\n',
+        'const a = { b: 1 } satisfies C;\n',
+        'const f = <T>(x: T): T => x;\nconst g = <T,>(x: T) => x;\n',
+        'const h = (a: number): string => `${a}`;\n',
+        'type U<T> = T extends Promise<infer V> ? V : T;\n',
+    ],
+    'swift': [
+        'let a = "x \\(f("b")) y"\n',
+        '@available(iOS 13, *)\nfunc f() {}\n',
+        '#if DEBUG\nlet a = 1\n#else\nlet a = 2\n#endif\n',
+        'func f() {\n  if #available(iOS 13.1, *) { g() }\n}\n',
+    ],
+    'scala': [
+        'val a = s"x ${f("b")} y"\n',
+        'def f = 1\n',
+        'enum Color {\n  case Red, Green\n  case Blue\n}\n',
+        'given x: Ordering[Int] = y\n',
+    ],
+    'csharp': [
+        'class A { string s = $"a {g("b")} c"; }\n',
+        'class A {\n#if X\n  void F() {\n#else\n  void G() {\n#endif\n  }\n}\n',
+    ],
+    'dart': [
+        "var a = '${f('b')} c';\n",
+        'var a = "x ${m["k"]} y";\n',
+    ],
+    'kotlin': [
+        'fun <T> f(x: T): T where T : Comparable<T>, T : Any {\n  return x\n}\n',
+        'val a = "x ${m["k"]} y"\n',
+    ],
+    'c': [
+        'struct { unsigned a : 3; unsigned b : 5; } x;\n',
+        'struct s { int a : 3; int b; };\n',
+        'int f(void) {\n#ifdef A\n  if (x) {\n#else\n  if (y) {\n#endif\n    g();\n  }\n  return 0;\n}\n',
+    ],
+    'python': [
+        'f = lambda x, /, y: x\n',
+        'def f(x, /, *, y=1): pass\n',
+        'def f(*, a): return a\n',
+        'x: "A" = 5\n',
+        'if f(): y = 1\n',
+        '(a, b) = c = d\n',
+        'f(x)[0] = 1\nf(x).y = 2\n',
+        'a, *b = c\n',
+        'x = f(a=1)\n',
+        'for i in f(): j = 1\n',
+        'with f(a=1) as b: c = 2\n',
+        'x = f"a {m["k"]} b"\n',
+        'a = b = lambda q=1: q\n',
+        'x += 1\n',
+        'print(*a, **b)\n',
+        'y = x * 2 / 3\n',
+        'def g(a, b=2, *args, c=3, **kw) -> int:\n    return a\n',
+    ],
+}
+BROKEN_CORNERS = {
+    'python': [
+        'f() = 1\n',
+        '1 = x\n',
+        '"a" = x\n',
+        'x = f() = 1\n',
+        'None = 1\n',
+        'def f(:\n  pass\n',
+        '(a, f()) += 1 +\n',
+    ],
+    'cpp': [
+        'auto s = R"x(abc)y";\nint f( {\n',
+    ],
+    'rust': [
+        'fn f() { let a = r#"x"; }\n',
+        'macro_rules! m { ($x:expr) => { \n',
+    ],
+    'javascript': [
+        'const a = `x ${y;\n',
+        'const a = { b: ;\n',
+    ],
+    'typescript': [
+        'type M<T> = { [K in keyof T: T };\n',
+    ],
+    'swift': [
+        'let a = "x \\(f("b") y"\nfunc (\n',
+    ],
+    'php': [
+        '<?php\nif ($a): echo 1; else: echo 2;\n',
+    ],
+    'ruby': [
+        'def f =\nend end\n',
+        'puts "a #{f("b" c\n',
+    ],
+    'c': [
+        'struct { unsigned a : ; } 3 x;\n',
+    ],
+    'kotlin': [
+        'fun f( where {\n',
+    ],
+    'scala': [
+        'enum { case }\n',
+    ],
+    'csharp': [
+        'class A { string s = $"a {g("b" c"; \n',
+    ],
+    'dart': [
+        "var a = '${f(;\n",
+    ],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(CORNERS))
+def test_corners_of_the_languages(lang):
+    parser = parsing.language(lang)
+    assert [(x, e) for x in CORNERS[lang] if (e := parser.first_error(x)) is not None] == []
+    assert [x for x in BROKEN_CORNERS.get(lang, []) if parser.first_error(x) is None] == []
+
+
+def test_a_parse_that_grows_too_wide_is_no_error():
+    p = Parser(Tables("E: E + E | E E | a"))
+    p.WIDEST = 3
+    p.reset()
+    p.feed(tuple("a a a + a a + a a a".split()))
+    assert p.overflow
+
+
 def test_empty_and_comment_only_files_are_valid():
     for lang, mark in (("python", "# a"), ("go", "// a"), ("ruby", "# a"), ("java", "/* a */"), ("cpp", "// a\n")):
         for text in ("", "﻿", "\n\n", mark):
