@@ -48,9 +48,10 @@ def release(*tables: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-    if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+    gc.collect()
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark._jvm.System.gc()
 
 
 def slices(spark: SparkSession, rows: int, rows_per_slice: int) -> int:
