@@ -10,8 +10,8 @@
 4. *NN-descent.* Every list entry carries the leaves of the neighbour, that is where the neighbour's own
    neighbours stand. In a round, a node goes with its code to the leaves that hold at least ``EVIDENCE`` of its
    neighbours and that it has not been to, and meets the neighbours of its neighbours there, again by a
-   matrix product; its list is merged with what it found. Rounds go on until fewer than ``CHANGED`` of the
-   entries change.
+   matrix product; its list is merged with what it found. Rounds go on until few nodes have a leaf to go to
+   (``PENDING``) or few entries change (``CHANGED``).
 5. *Search.* A query starts at its own node, or at nodes of the leaf its vector falls in, and expands the
    best nodes it knows that are not expanded yet, until none of its k best is left to expand.
 
@@ -47,8 +47,9 @@ SAMPLE = 12_000
 SAMPLED = 400
 #: Neighbours that must stand in a leaf for a node to go there, and leaves that it goes to in a round.
 EVIDENCE, VISITS = 2, 2
-#: Rounds end once fewer than this share of the entries change, or after so many.
-CHANGED, ROUNDS = 0.03, 7
+#: Rounds end once fewer than PENDING of the nodes have a leaf to go to, once fewer than CHANGED of the entries
+#: change, or after ROUNDS.
+PENDING, CHANGED, ROUNDS = 0.15, 0.03, 7
 #: Nodes of a leaf at which a query from outside the graph begins.
 ENTRIES = 12
 #: Node ids (or pairs of them) and query codes up to these numbers go to every task; beyond, joins are shuffles.
@@ -435,6 +436,13 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rec["id"], K)[ok]), pa.array(rec["nbr"].ravel()[ok]), pa.array(rec["sim"].ravel()[ok])], ["u", "v", "s"])
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rec = np.frombuffer(b"".join(b.column("node").to_pylist()), NODE)
+        ok = rec["sim"].ravel() > -5
+        yield pa.RecordBatch.from_arrays([b.column("u").take(pa.array(np.repeat(np.arange(len(rec)), K)[ok])), pa.array(rec["nbr"].ravel()[ok]), pa.array(rec["sim"].ravel()[ok])], ["u", "v", "s"])
+
+
 @dataclass
 class Graph:
     """``nodes``: one row per distinct code that takes part, with its packed list; ``packed(keys, ids, codes)``: all
@@ -485,10 +493,15 @@ def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf:
     leaves = len(model["fine"])
     lists = coded.mapInArrow(lambda it: _place(it, model, dim), "leaf long, blob binary").groupBy("leaf").applyInArrow(lambda t: _in_leaf(t, dim, cut), "slice int, blob binary")
     nodes = materialize(lists.withColumn("old", F.lit(False)).groupBy("slice").applyInArrow(_merge, NODE_DDL), "knn_graph")
+    del lists
     log: list[float] = []
     for _ in range(min(rounds, ROUNDS)):
+        release()
+        entries, all_nodes, visits, goers = nodes.agg(F.sum("entries"), F.count("*"), F.sum(F.size("go")), F.sum((F.size("go") > 0).cast("int"))).first()
+        if goers < PENDING * all_nodes:
+            break
         going = nodes.select("id", F.explode("go").alias("cell"))
-        if nodes.agg(F.sum(F.size("go"))).first()[0] <= small:
+        if visits <= small:
             sent = going.toArrow()
             order = np.argsort(sent.column("id").to_numpy(), kind="stable")
             told = sent.column("id").to_numpy()[order], sent.column("cell").to_numpy()[order]
@@ -498,14 +511,15 @@ def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf:
             come = once.mapInArrow(lambda it: _guests(it, model, dim, None), "leaf long, blob binary")
         home = coded.mapInArrow(lambda it: _place(it, model, dim, True), "leaf long, blob binary")
         found = come.withColumn("guest", F.lit(True)).unionByName(home.withColumn("guest", F.lit(False))).groupBy("leaf").applyInArrow(lambda t: _visited(t, dim, cut, leaves), "slice int, blob binary")
-        both = found.withColumn("old", F.lit(False)).unionByName(nodes.select("slice", F.col("node").alias("blob"), F.lit(True).alias("old")))
-        before, nodes = nodes, materialize(both.groupBy("slice").applyInArrow(_merge, NODE_DDL), "knn_graph")
-        del going, come, home, found, both
-        release(before)
-        moved = nodes.agg(F.sum("changed"), F.sum("entries")).first()
-        log.append(float((moved[0] or 0) / max(moved[1] or 1, 1)))
+        # nodes that go nowhere keep their record as it is stored
+        away = nodes.where(F.size("go") > 0).select("slice", F.col("node").alias("blob"), F.lit(True).alias("old"))
+        merged = materialize(found.withColumn("old", F.lit(False)).unionByName(away).groupBy("slice").applyInArrow(_merge, NODE_DDL), "knn_graph")
+        nodes = nodes.where(F.size("go") == 0).unionByName(merged)
+        log.append(float((merged.agg(F.sum("changed")).first()[0] or 0) / max(entries, 1)))
+        del going, come, home, found, away
         if log[-1] < CHANGED:
             break
+    release()
     return Graph(nodes, packed, model, dim, log)
 
 
@@ -555,13 +569,17 @@ def search(graph: Graph, queries: DataFrame, k: int = K, small: int = SMALL_IDS)
     form = F.col("code") if "code" in queries.columns else F.col("vector").cast("array<float>")
     q = queries.where("u is not null").select("u", form.alias("x")).dropDuplicates(["u"])
     q = materialize(q.mapInArrow(lambda it: _routed(it, model, dim), f"u {kind}, id long, leaf long, code binary"), "knn_queries")
-    few_queries = q.count() <= min(small, SMALL_CODES)
+    few_queries = q.count() <= min(small // (2 * k), SMALL_CODES)
     if few_queries:
         held = q.select("u", "code").toArrow()
         own_keys = held.column("u").combine_chunks()
         own_row = {u: i for i, u in enumerate(own_keys.to_pylist())}
         own_code = np.frombuffer(b"".join(held.column("code").to_pylist()), np.int8).reshape(-1, dim)
-    edges = graph.edges()
+
+    def hop(front: DataFrame) -> DataFrame:
+        """``(u, v, s)``: the lists of the nodes of ``front(u, id)``, with their own similarities."""
+        near = graph.nodes.select("id", "node").join(F.broadcast(front) if few_queries else front, "id").select("u", "node")
+        return near.mapInArrow(_listed, ddl)
 
     def scored(pairs: DataFrame) -> DataFrame:
         """``pairs(u, v)`` with similarities. Few pairs go to the codes, in the tasks that hold those."""
@@ -576,7 +594,7 @@ def search(graph: Graph, queries: DataFrame, k: int = K, small: int = SMALL_IDS)
         return code.join(pairs, "v").join(mine, "u").select("u", "v", "cu", "cv").mapInArrow(lambda it: _score(it, dim), ddl).dropDuplicates(["u", "v"])
 
     inside = q.join(graph.nodes.select("id"), "id", "left_semi").select("u", "id")
-    start = inside.join(edges.withColumnRenamed("u", "id"), "id").select("u", "v", "s")
+    start = hop(inside)
     gate = graph.nodes.select("id", F.col("l0").cast("long").alias("leaf")).withColumn("r", F.row_number().over(W.partitionBy("leaf").orderBy("id"))).where(F.col("r") <= ENTRIES)
     outside = q.join(graph.nodes.select("id"), "id", "left_anti").join(gate.select("leaf", F.col("id").alias("v")), "leaf").select("u", "v")
     start = start if outside.isEmpty() else start.unionByName(scored(outside))
@@ -584,9 +602,7 @@ def search(graph: Graph, queries: DataFrame, k: int = K, small: int = SMALL_IDS)
     best = materialize(top(start.withColumn("done", F.lit(False))), "knn_best")
     seen = best.select("u", "v").unionByName(inside.select("u", F.col("id").alias("v")))
     while True:
-        front = best.where("not done").select("u", F.col("v").alias("at"))
-        hop = front.join(edges.select(F.col("u").alias("at"), "v"), "at").select("u", "v").distinct()
-        new = scored(hop.join(seen, ["u", "v"], "left_anti"))
+        new = scored(hop(best.where("not done").select("u", F.col("v").alias("id"))).select("u", "v").distinct().join(seen, ["u", "v"], "left_anti"))
         every = best.withColumn("done", F.lit(True)).unionByName(new.withColumn("done", F.lit(False)))
         seen = seen.unionByName(new.select("u", "v"))
         best = materialize(top(every), "knn_best")
