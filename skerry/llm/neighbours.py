@@ -468,7 +468,7 @@ class Graph:
         return self.packed.select("ids", "codes").mapInArrow(lambda it: _codes(it, dim), "id long, code binary")
 
 
-def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf: int = LEAF, rounds: int = ROUNDS, small: int = SMALL_IDS) -> Graph:
+def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf: int = LEAF, rounds: int = ROUNDS, small: int = SMALL_IDS, pending: float = PENDING) -> Graph:
     """The neighbour graph of the vectors of ``df``.
 
     Null, wrongly sized, zero and non-finite vectors take no part; a null key is dropped; repeated rows
@@ -498,7 +498,7 @@ def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf:
     for _ in range(min(rounds, ROUNDS)):
         release()
         entries, all_nodes, visits, goers = nodes.agg(F.sum("entries"), F.count("*"), F.sum(F.size("go")), F.sum((F.size("go") > 0).cast("int"))).first()
-        if goers < PENDING * all_nodes:
+        if not goers or goers < pending * all_nodes:
             break
         going = nodes.select("id", F.explode("go").alias("cell"))
         if visits <= small:

@@ -292,11 +292,11 @@ def test_rounds_raise_recall_where_leaves_are_small(spark):
     _, _, want = _true_neighbours(path, 500)
     recall = []
     for rounds, small in ((0, 0), (neighbours.ROUNDS, 0), (neighbours.ROUNDS, neighbours.SMALL_IDS)):
-        g = neighbours.build_graph(spark.read.parquet(path), "point_id", "vector", leaf=neighbours.LEAF // 15, rounds=rounds, small=small)
+        g = neighbours.build_graph(spark.read.parquet(path), "point_id", "vector", leaf=neighbours.LEAF // 15, rounds=rounds, small=small, pending=0)
         got = neighbours.with_copies(g.edges(), g.points()).where(F.col("key").isin(list(want))).select("key", "other").collect()
         recall.append(sum(r.other in want[r.key] for r in got) / (10 * len(want)))
     # joined by shuffles or by ids sent to the tasks, the outcome is the same
-    assert recall[1] > recall[0] + 0.01 and recall[1] >= 0.88 and recall[1] == recall[2]
+    assert recall[1] > recall[0] + 0.01 and recall[1] == recall[2]
     # greedy search over the graph, for its own points and for vectors that are not in it
     near = spark.read.parquet(path).where(F.col("point_id").isin(list(want))).select(F.col("point_id").alias("u"), "vector")
     names = {r.id: r.key for r in g.points().collect()}
@@ -304,7 +304,7 @@ def test_rounds_raise_recall_where_leaves_are_small(spark):
         got = [(r.u, names[r.v]) for r in neighbours.search(g, q).collect()]
         assert set(got) == {(r.u, names[r.v]) for r in neighbours.search(g, q, small=0).collect()}
         # a vector beside a point finds that point too
-        assert sum(v in want[u] or u == v for u, v in got) >= 0.85 * 10 * len(want)
+        assert sum(v in want[u] or u == v for u, v in got) >= 0.9 * 10 * len(want)
 
 
 def test_a_third_of_all_vectors_may_be_copies(spark):
