@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -33,25 +32,27 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skerry/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    # the table stands for the plan from here on: shuffle files of the plan go as soon as it is written
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._skerry_path = path
     return out
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and no later step reads, and let the shuffle files of dropped
-    plans go. Frames of another origin are left alone."""
+    """Delete tables that ``materialize`` wrote and no later step reads. Frames of another origin are left alone."""
     for df in tables:
         path = getattr(df, "_skerry_path", None)
         if path:
             jvm = df.sparkSession._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        spark._jvm.System.gc()
 
 
 def slices(spark: SparkSession, rows: int, rows_per_slice: int) -> int:
