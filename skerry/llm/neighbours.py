@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skerry.session import materialize, release, slices, spread, table
+from skerry.session import materialize, slices, spread, table
 
 DIM = 384
 K = 10
@@ -459,9 +459,9 @@ class Graph:
         return self.nodes.select("node").mapInArrow(_edges, "u long, v long, s float")
 
     def points(self) -> DataFrame:
-        """``(key, id)``: the node of every point, one per key."""
+        """``(key, id)``: the node of every point; a repeated point comes again."""
         kind = self.packed.schema["keys"].dataType.elementType.simpleString()
-        return self.packed.select("keys", "ids").mapInArrow(_points, f"key {kind}, id long").groupBy("key").agg(F.min("id").alias("id"))
+        return self.packed.select("keys", "ids").mapInArrow(_points, f"key {kind}, id long")
 
     def codes(self) -> DataFrame:
         dim = self.dim
@@ -496,7 +496,6 @@ def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf:
     del lists
     log: list[float] = []
     for _ in range(min(rounds, ROUNDS)):
-        release()
         entries, all_nodes, visits, goers = nodes.agg(F.sum("entries"), F.count("*"), F.sum(F.size("go")), F.sum((F.size("go") > 0).cast("int"))).first()
         if not goers or goers < pending * all_nodes:
             break
@@ -519,7 +518,6 @@ def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf:
         del going, come, home, found, away
         if log[-1] < CHANGED:
             break
-    release()
     return Graph(nodes, packed, model, dim, log)
 
 
@@ -553,12 +551,12 @@ def _routed(batches: Iterator[pa.RecordBatch], model: dict, dim: int) -> Iterato
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(ids), pa.array(leaf), pa.array([r.tobytes() for r in c], pa.binary())], ["u", "id", "leaf", "code"])
 
 
-def search(graph: Graph, queries: DataFrame, k: int = K, small: int = SMALL_IDS) -> DataFrame:
+def search(graph: Graph, queries: DataFrame, k: int = K, small: int = SMALL_IDS, beam: int = K) -> DataFrame:
     """``(u, v, s)``: the k best nodes for each of ``queries(u, vector)``, or ``(u, code)``, by greedy search.
 
     A query whose code is a node of the graph starts with that node's list and never finds that node itself;
     another starts at ENTRIES nodes of the leaf it falls in. In each step every query expands those of
-    its k best nodes that it has not expanded; the search ends when no query has any. Vectors that
+    its ``beam`` (at least k) best nodes that it has not expanded; the search ends when no query has any. Vectors that
     can't take part in the graph find nothing; of a repeated u the first vector counts.
     """
     spark, dim, model = graph.packed.sparkSession, graph.dim, graph.model
@@ -588,37 +586,47 @@ def search(graph: Graph, queries: DataFrame, k: int = K, small: int = SMALL_IDS)
             p = pairs.toArrow()
             order = np.argsort(p.column("v").to_numpy(), kind="stable")
             at = p.column("v").to_numpy()[order], np.array([own_row[u] for u in p.column("u").to_pylist()], np.int64)[order]
-            return graph.packed.select("ids", "codes").mapInArrow(lambda it: _meet(it, *at, own_code, own_keys, dim), ddl).dropDuplicates(["u", "v"])
+            return graph.packed.select("ids", "codes").mapInArrow(lambda it: _meet(it, *at, own_code, own_keys, dim), ddl)
         code = graph.codes().select(F.col("id").alias("v"), F.col("code").alias("cv"))
         mine = q.select("u", F.col("code").alias("cu"))
-        return code.join(pairs, "v").join(mine, "u").select("u", "v", "cu", "cv").mapInArrow(lambda it: _score(it, dim), ddl).dropDuplicates(["u", "v"])
+        return code.join(pairs, "v").join(mine, "u").select("u", "v", "cu", "cv").mapInArrow(lambda it: _score(it, dim), ddl)
 
     inside = q.join(graph.nodes.select("id"), "id", "left_semi").select("u", "id")
     start = hop(inside)
     gate = graph.nodes.select("id", F.col("l0").cast("long").alias("leaf")).withColumn("r", F.row_number().over(W.partitionBy("leaf").orderBy("id"))).where(F.col("r") <= ENTRIES)
     outside = q.join(graph.nodes.select("id"), "id", "left_anti").join(gate.select("leaf", F.col("id").alias("v")), "leaf").select("u", "v")
     start = start if outside.isEmpty() else start.unionByName(scored(outside))
-    top = lambda d: d.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "v"))).where(F.col("r") <= k).drop("r")
-    best = materialize(top(start.withColumn("done", F.lit(False))), "knn_best")
+    rank = F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "v"))
+
+    def top(found: DataFrame) -> DataFrame:
+        """The best of each query; one shuffle by query serves the distinct pairs and their ranks."""
+        return materialize(found.repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"), F.max("done").alias("done")).withColumn("r", rank).where(F.col("r") <= max(beam, k)), "knn_best")
+
+    best = top(start.withColumn("done", F.lit(False)))
     seen = best.select("u", "v").unionByName(inside.select("u", F.col("id").alias("v")))
     while True:
-        new = scored(hop(best.where("not done").select("u", F.col("v").alias("id"))).select("u", "v").distinct().join(seen, ["u", "v"], "left_anti"))
-        every = best.withColumn("done", F.lit(True)).unionByName(new.withColumn("done", F.lit(False)))
+        near = hop(best.where("not done").select("u", F.col("v").alias("id"))).select("u", "v", F.lit(False).alias("old")).unionByName(seen.withColumn("old", F.lit(True)))
+        new = materialize(scored(near.repartition("u").groupBy("u", "v").agg(F.max("old").alias("old")).where("not old").select("u", "v")), "knn_scored")
         seen = seen.unionByName(new.select("u", "v"))
-        best = materialize(top(every), "knn_best")
+        best = top(best.drop("r").withColumn("done", F.lit(True)).unionByName(new.withColumn("done", F.lit(False))))
         if best.where("not done").isEmpty():
-            return best.drop("done")
+            return best.where(F.col("r") <= k).drop("done", "r")
 
 
 def with_copies(found: DataFrame, points: DataFrame, k: int = K, wanted: DataFrame | None = None) -> DataFrame:
     """``(key, other, s)``: the k best points of every key of ``wanted(key)`` (all points if None), from the best
     nodes ``found(u, v, s)``. Points of the same code come first; of a node with very many points the
     first ones by key are taken. Equal similarities go by key."""
-    points = materialize(points, "knn_points")
-    first = points.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("key"))).where(F.col("r") <= k + 1).select("id", F.col("key").alias("other"))
     own = points if wanted is None else points.join(wanted.select("key").distinct(), "key", "left_semi")
+    own = materialize(own.distinct(), "knn_own")
     lists = found.select(F.col("u").alias("id"), F.col("v").alias("node"), "s").unionByName(own.select("id").distinct().select("id", F.col("id").alias("node"), F.lit(1.0).cast("float").alias("s")))
-    lists = lists.join(first.withColumnRenamed("id", "node"), "node").select("id", "other", "s")
+    if wanted is not None:
+        # few lists: only the points of their nodes take part in what follows
+        lists = materialize(lists, "knn_lists")
+        named = lists.select(F.col("node").alias("id")).distinct()
+        points = points.join(F.broadcast(named) if named.count() <= SMALL_IDS else named, "id", "left_semi")
+    first = points.distinct().withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("key"))).where(F.col("r") <= k + 1).select(F.col("id").alias("node"), F.col("key").alias("other"))
+    lists = lists.join(first, "node").select("id", "other", "s")
     # a node that very many points share is split over salts
     hot = own.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CLASS).select("id", F.expr("16L").alias("salts"))
     salted = own.join(F.broadcast(hot), "id", "left").select("id", "key", F.pmod(F.xxhash64("key"), F.expr("coalesce(salts, 1L)")).alias("salt"))

@@ -300,11 +300,11 @@ def test_rounds_raise_recall_where_leaves_are_small(spark):
     # greedy search over the graph, for its own points and for vectors that are not in it
     near = spark.read.parquet(path).where(F.col("point_id").isin(list(want))).select(F.col("point_id").alias("u"), "vector")
     names = {r.id: r.key for r in g.points().collect()}
-    for q in (near, near.withColumn("vector", F.transform("vector", lambda v, i: v + F.lit(0.002) * F.sin(i + F.lit(1))))):
-        got = [(r.u, names[r.v]) for r in neighbours.search(g, q).collect()]
-        assert set(got) == {(r.u, names[r.v]) for r in neighbours.search(g, q, small=0).collect()}
+    for q, least in ((near, 0.9), (near.withColumn("vector", F.transform("vector", lambda v, i: v + F.lit(0.002) * F.sin(i + F.lit(1)))), 0.85)):
+        got = [(r.u, names[r.v]) for r in neighbours.search(g, q, beam=24).collect()]
+        assert set(got) == {(r.u, names[r.v]) for r in neighbours.search(g, q, small=0, beam=24).collect()}
         # a vector beside a point finds that point too
-        assert sum(v in want[u] or u == v for u, v in got) >= 0.9 * 10 * len(want)
+        assert sum(v in want[u] or u == v for u, v in got) >= least * 10 * len(want)
 
 
 def test_a_third_of_all_vectors_may_be_copies(spark):
