@@ -333,7 +333,7 @@ def _visited(tbl: pa.Table, dim: int, n_slices: int, leaves: int) -> pa.Table:
 NODE_DDL = "slice int, id long, l0 int, l1 int, go array<int>, entries int, changed int, node binary"
 
 
-def _merge(tbl: pa.Table) -> pa.Table:
+def _merge(tbl: pa.Table, evidence: int) -> pa.Table:
     """One row per node: its lists merged, where it goes next, and how many entries are new.
 
     A node's record so far (one per slice row, marked ``old``) and what it found come as blobs.
@@ -374,7 +374,7 @@ def _merge(tbl: pa.Table) -> pa.Table:
     # where neighbours stand, most of them first
     pair = np.concatenate([np.stack([u, a0], 1), np.stack([u, a1], 1)[a0 != a1]])
     place, count = np.unique(pair, axis=0, return_counts=True)
-    unseen = ~(out["been"][place[:, 0]] == place[:, 1:2]).any(1) & (count >= EVIDENCE)
+    unseen = ~(out["been"][place[:, 0]] == place[:, 1:2]).any(1) & (count >= evidence)
     place, count = place[unseen], count[unseen]
     order = np.lexsort((place[:, 1], -count, place[:, 0]))
     place = place[order]
@@ -468,7 +468,7 @@ class Graph:
         return self.packed.select("ids", "codes").mapInArrow(lambda it: _codes(it, dim), "id long, code binary")
 
 
-def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf: int = LEAF, rounds: int = ROUNDS, small: int = SMALL_IDS, pending: float = PENDING) -> Graph:
+def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf: int = LEAF, rounds: int = ROUNDS, small: int = SMALL_IDS, pending: float = PENDING, evidence: int = EVIDENCE) -> Graph:
     """The neighbour graph of the vectors of ``df``.
 
     Null, wrongly sized, zero and non-finite vectors take no part; a null key is dropped; repeated rows
@@ -492,7 +492,7 @@ def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf:
     model = fit(decode(x), n, leaf)
     leaves = len(model["fine"])
     lists = coded.mapInArrow(lambda it: _place(it, model, dim), "leaf long, blob binary").groupBy("leaf").applyInArrow(lambda t: _in_leaf(t, dim, cut), "slice int, blob binary")
-    nodes = materialize(lists.withColumn("old", F.lit(False)).groupBy("slice").applyInArrow(_merge, NODE_DDL), "knn_graph")
+    nodes = materialize(lists.withColumn("old", F.lit(False)).groupBy("slice").applyInArrow(lambda t: _merge(t, evidence), NODE_DDL), "knn_graph")
     del lists
     log: list[float] = []
     for _ in range(min(rounds, ROUNDS)):
@@ -512,7 +512,7 @@ def build_graph(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, leaf:
         found = come.withColumn("guest", F.lit(True)).unionByName(home.withColumn("guest", F.lit(False))).groupBy("leaf").applyInArrow(lambda t: _visited(t, dim, cut, leaves), "slice int, blob binary")
         # nodes that go nowhere keep their record as it is stored
         away = nodes.where(F.size("go") > 0).select("slice", F.col("node").alias("blob"), F.lit(True).alias("old"))
-        merged = materialize(found.withColumn("old", F.lit(False)).unionByName(away).groupBy("slice").applyInArrow(_merge, NODE_DDL), "knn_graph")
+        merged = materialize(found.withColumn("old", F.lit(False)).unionByName(away).groupBy("slice").applyInArrow(lambda t: _merge(t, evidence), NODE_DDL), "knn_graph")
         nodes = nodes.where(F.size("go") == 0).unionByName(merged)
         log.append(float((merged.agg(F.sum("changed")).first()[0] or 0) / max(entries, 1)))
         del going, come, home, found, away
