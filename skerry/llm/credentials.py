@@ -3,9 +3,11 @@
 Every literal and settings value of a text is a node. A node is scanned for token formats, addresses
 and headers with a password, and private keys; its name (the key or callee beside it) decides about
 values without a format of their own. Then its layers are taken off - escapes, percent, hex, base64,
-at most ``DEPTH`` deep - and each result is scanned again; binary results are parsed as key
-containers by their grammar (DER sequences of PKCS#1, SEC1 and PKCS#8 keys, the OpenSSH container).
-A finding inside a layer is charged to the enclosing encoded literal, which is what gets masked.
+base32, deflate, at most ``DEPTH`` deep - and each result is scanned again; binary results are parsed as key
+containers by their grammar (DER sequences of PKCS#1, SEC1, PKCS#8, encrypted PKCS#8 and PKCS#12, read to
+their end; the OpenSSH and JKS containers). Encoded runs inside a longer literal or a comment, and arrays of
+byte values, are nodes as well. A finding inside a layer is charged to the enclosing encoded run or literal,
+which is what gets masked.
 
 Masks keep the length and the delimiters of what they replace, so the code around stays valid.
 """
@@ -16,6 +18,7 @@ import base64
 import binascii
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -72,6 +75,14 @@ _COMMA = re.compile(r"[\"'][ \t]*,\s*[\"']")
 _INNER = re.compile(r"[\"']?([\w.-]+)[\"']?\s*[:=]\s*[\"']?([^\"'\s,;&}]{6,})")
 _HEX = re.compile(r"^(?:[0-9a-fA-F]{2}){8,}$")
 _B64 = re.compile(r"^[A-Za-z0-9+/_-]{12,}={0,2}$")
+_BASE32 = re.compile(r"^[A-Z2-7]{16,}={0,6}$")
+#: Runs that may be encoded, wherever they stand, and arrays of byte values.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_%\\-])(?:[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])|(?:%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}){8,})")
+_BYTES = re.compile(r"(?<![\w.])(?:(?:0[xX][0-9a-fA-F]{1,2}|\d{1,3})\s*,\s*){15,}(?:0[xX][0-9a-fA-F]{1,2}|\d{1,3})(?![\w.])")
+#: A PuTTY key: its private lines.
+_PUTTY = re.compile(r"PuTTY-User-Key-File-\d.*?Private-Lines:\s*\d+\s*?(?:\\r)?(?:\\n|\n)(.*?)(?=(?:\\r)?(?:\\n|\n)\s*(?:[\"']\s*\n?\s*[\"'])?Private-(?:MAC|Hash))", re.S)
+#: Bytes that a compressed layer is opened to.
+INFLATED = 1 << 26
 _JOIN = re.compile(r"\"[ \t]*(?:\+|\.\.?|<>|\\)?[ \t]*\r?\n?[ \t]*(?:\+|\.)?[ \t]*\"|'[ \t]*(?:\+|\.\.?)?[ \t]*\r?\n?[ \t]*(?:\+|\.)?[ \t]*'")
 
 
@@ -86,7 +97,7 @@ def entropy(s: str) -> float:
 
 def randomish(v: str, password: bool) -> bool:
     """Whether a value without a format of its own reads like a secret rather than a word."""
-    if len(v) < 8 or len(v) > 512 or PLACEHOLDER.search(v) or REFERENCE.search(v) or v.isdigit():
+    if len(v) < 8 or PLACEHOLDER.search(v) or REFERENCE.search(v) or v.isdigit():
         return False
     kinds = sum((any(c.islower() for c in v), any(c.isupper() for c in v), any(c.isdigit() for c in v), any(not c.isalnum() and c not in "_-. " for c in v)))
     if " " in v.strip() or "(" in v or re.fullmatch(r"[\d.,:\-/TZ+ ]+", v) or re.match(r"[a-z][a-z0-9+.-]*://|data:", v):
@@ -109,19 +120,52 @@ def _der(b: bytes, at: int = 0) -> tuple[int, int, int] | None:
     return tag, at, at + n
 
 
+def _elements(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The DER elements from ``at`` to ``end``; None if they don't fill it. The last may miss up to three bytes."""
+    found = []
+    while at < end:
+        e = _der(b, at)
+        if not e or e[2] > end + 3:
+            return None
+        found.append(e)
+        at = e[2]
+    return found
+
+
+#: Object ids of password-based encryption (PKCS#5) and of the data of PKCS#7, without their last bytes.
+_PBE, _PKCS7 = bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d0107")
+_PKCS12_PBE = bytes.fromhex("2a864886f70d010c01")
+
+
 def key_container(b: bytes) -> bool:
-    """Whether bytes are a private key: PKCS#1, SEC1 or PKCS#8 in DER, or the OpenSSH container."""
-    if b.startswith(b"openssh-key-v1\0"):
+    """Whether bytes are a private key: PKCS#1, SEC1, PKCS#8 (plain or encrypted) or PKCS#12 in DER, the
+    OpenSSH container or a Java key store."""
+    if b.startswith((b"openssh-key-v1\0", b"\xfe\xed\xfe\xed", b"\xce\xce\xce\xce\0\0\0\2")):
         return True
+    if b[:1] != b"\x30":
+        return False
     top = _der(b)
-    if not top or top[0] != 0x30 or top[2] < len(b) - 3 or top[2] > len(b) + 3:
+    if not top or top[2] < len(b) - 3 or top[2] > len(b) + 3:
         return False
-    version = _der(b, top[1])
-    if not version or version[0] != 0x02 or version[2] - version[1] != 1 or b[version[1] : version[2]] not in (b"\0", b"\1"):
+    parts = _elements(b, top[1], min(top[2], len(b)))
+    if not parts or len(parts) < 2:
         return False
-    second = _der(b, version[2])
-    # PKCS#1: modulus; SEC1: octet string; PKCS#8: algorithm sequence starting with an object id
-    return bool(second) and (second[0] in (0x02, 0x04) or (second[0] == 0x30 and b[second[1] : second[1] + 1] == b"\x06"))
+    first, second = parts[:2]
+
+    def oid(e: tuple[int, int, int]) -> bytes:
+        inner = _der(b, e[1]) if e[0] == 0x30 else None
+        return b[inner[1] : inner[2]] if inner and inner[0] == 0x06 else b""
+
+    if first[0] == 0x30:
+        # encrypted PKCS#8: algorithm of password-based encryption, octet string
+        return second[0] == 0x04 and oid(first).startswith((_PBE, _PKCS12_PBE))
+    if first[0] != 0x02 or first[2] - first[1] != 1:
+        return False
+    version = b[first[1]]
+    # PKCS#1: modulus; SEC1: octet string; PKCS#8: algorithm sequence; PKCS#12: version 3, authenticated safe
+    if version == 3:
+        return oid(second).startswith(_PKCS7)
+    return version in (0, 1) and (second[0] in (0x02, 0x04) or bool(oid(second)))
 
 
 def _printable(b: bytes) -> str | None:
@@ -158,6 +202,11 @@ def layers(v: str) -> Iterator[tuple[str, str | bytes]]:
     w = re.sub(r"\s+", "", v)
     if w.startswith("0x"):
         w = w[2:]
+    if _BASE32.match(w) and len(w) % 8 == 0:
+        try:
+            yield "base32", base64.b32decode(w)
+        except (binascii.Error, ValueError):
+            pass
     if _HEX.match(w):
         yield "hex", bytes.fromhex(w)
     elif _B64.match(w) and len(w) >= 16:
@@ -167,6 +216,16 @@ def layers(v: str) -> Iterator[tuple[str, str | bytes]]:
             pass
 
 
+def _inflated(b: bytes) -> bytes:
+    """The contents of a gzip or zlib stream, or the bytes themselves."""
+    if b[:2] == b"\x1f\x8b" or (b[:1] == b"\x78" and b[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda")):
+        try:
+            return zlib.decompressobj(47).decompress(b, INFLATED)
+        except zlib.error:
+            pass
+    return b
+
+
 def _bad(v: str) -> bool:
     return not v or bool(PLACEHOLDER.search(v))
 
@@ -182,12 +241,14 @@ def formats(v: str) -> list[tuple[int, int]]:
         end = PEM_END.search(v, m.end())
         body = v[m.end() : end.start() if end else len(v)]
         if end:
-            if len(body) < 20_000 and re.search(r"[A-Za-z0-9+/]{16}", body):
+            if re.search(r"[A-Za-z0-9+/]{16}", body):
                 found.append((m.start(), end.end()))
         else:
             cut = re.match(r"(?:\\[nr]|[\s\"'+,.;]|\\)*[A-Za-z0-9+/=]{32,}(?:\\[nr]|[\s\"'+,]|[A-Za-z0-9+/=]{16,})*", body)
             if cut:
                 found.append((m.start(), m.end() + cut.end()))
+    if "PuTTY-User-Key-File" in v:
+        found += [m.span(1) for m in _PUTTY.finditer(v) if re.search(r"[A-Za-z0-9+/]{16}", m[1])]
     for m in URL.finditer(v):
         if not _bad(m[2]) and not re.search(r"^[<{$%*\[]|^\w*(?:passw|pwd)\w*$", m[2], re.I):
             found.append(m.span(2))
@@ -213,6 +274,7 @@ def deep(v: str, named: bool, depth: int = DEPTH) -> bool:
         return False
     for kind, x in layers(v):
         if isinstance(x, bytes):
+            x = _inflated(x)
             if key_container(x):
                 return True
             s = _printable(x)
@@ -227,12 +289,15 @@ def deep(v: str, named: bool, depth: int = DEPTH) -> bool:
     return False
 
 
-def encoded(v: str, named: bool) -> bool:
-    """Whether ``v`` as a whole is hex, base64 or percent escapes around a credential."""
+def encoded(v: str, named: bool, taken: bool = False) -> bool:
+    """Whether ``v`` as a whole is an encoding around a credential; ``taken``: a layer is off already."""
+    if taken and deep(v, named):
+        return True
     for kind, x in layers(v):
         if kind == "escape":
             continue
         if isinstance(x, bytes):
+            x = _inflated(x)
             if key_container(x):
                 return True
             x = _printable(x) or ""
@@ -324,6 +389,17 @@ def scan(text: str, settings: bool) -> list[tuple[int, int, bool]]:
     if settings:
         for m in _SETTING.finditer(text):
             judge(m[1], m[2], *m.span(2), False)
+    for m in _RUN.finditer(text):
+        if free(*m.span()) and not m.group().isalpha() and encoded(m.group() if m.group()[0] != "\\" else unescape(m.group()), False, m.group()[0] == "\\"):
+            name, _ = _name_before(text, m.start())
+            if not _names_plain(name):
+                spans.append((*m.span(), True))
+    for m in _BYTES.finditer(text):
+        n = [int(x, 0) if x[:2] in ("0x", "0X") else int(x) for x in re.split(r"\s*,\s*", m.group())]
+        if max(n) < 256 and free(*m.span()):
+            raw = _inflated(bytes(n))
+            if key_container(raw) or ((v := _printable(raw)) and deep(v, False)):
+                spans.append((*m.span(), True))
     for m in _COMMENTED.finditer(text):
         a, b = m.span(2)
         if free(a, b) and not _names_plain(m[1]) and randomish(m[2].rstrip(".)"), True):
@@ -332,8 +408,8 @@ def scan(text: str, settings: bool) -> list[tuple[int, int, bool]]:
 
 
 def mask(text: str, spans: list[tuple[int, int, bool]]) -> str:
-    """The text with every span masked, character for character; line ends, backslashes of escapes
-    before a quote, and the armour of keys stay."""
+    """The text with every span masked, character for character; line ends and the armour of keys stay, and
+    arrays of byte values become zeros."""
     out, at = [], 0
     for a, b, _ in spans:
         a = max(a, at)
@@ -347,6 +423,8 @@ def _cover(v: str) -> str:
     if head:
         inner = v[head.end() : foot.start() if foot else len(v)]
         return head.group() + re.sub(r"\\[nr]|[\r\n\"'+\s]|(.)", lambda m: "*" if m[1] else m.group(), inner) + (foot.group() if foot else "")
+    if _BYTES.fullmatch(v):
+        return re.sub(r"(0[xX])?[0-9a-fA-F]+", lambda m: (m[1] or "") + "0" * (len(m.group()) - len(m[1] or "")), v)
     return re.sub(r"[^\r\n]", "*", v)
 
 
