@@ -34,14 +34,14 @@ from skerry.session import materialize, slices, spread, table
 
 DIM = 384
 K = 10
-LEAF = 800
+LEAF = 1100
 HOT_LEAF = 4000
 #: Nodes of a part of a split leaf.
 PART = 1000
 #: Half of the most nodes of a leaf that one task holds.
 TASK_LEAF = 20_000
 #: A second leaf is taken if it is at least this share as similar as the first.
-SECOND = 0.85
+SECOND = 0.9
 SAMPLE = 12_000
 #: Vectors for each one of the sample, where that gives more than SAMPLE.
 SAMPLED = 400
