@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skerry.functions import text as T
-from skerry.operators import fusion, graph, sparse
+from skerry.operators import fusion, graph, sparse, store
 from skerry.session import materialize
 
 MAX_CHUNKS = 15
@@ -22,24 +22,45 @@ def exact_hits(blocks: DataFrame, requests: DataFrame) -> DataFrame:
     return h.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy("word_no", "file_path", "start_line", "block_id")))
 
 
-def context(blocks: DataFrame, files: DataFrame, edges: DataFrame, requests: DataFrame, dense: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Answer ``requests(query_id, query, top_k, repo_id, max_chunk_chars)``.
+def context(blocks: DataFrame, files: DataFrame, edges: DataFrame, requests: DataFrame, dense: DataFrame | None = None, post: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Answer ``requests(query_id, query, top_k, repo_id, max_chunk_chars, expand_depth)``.
 
-    Exact symbols first, then words and vectors fused by rank, then a fallback on fuzzy words for
-    queries still short; repository filters apply before ranking. Selected rows get match type,
-    confidence, concern, callers, callees and a summary. Returns frames ``chunks`` (one row per chunk)
-    and ``bundle`` (one row per request). Null queries count as empty; requests that match nothing
-    come back with empty lists. ``dense(query_id, id, rank)`` joins the fusion where given.
+    Exact symbols first, then words and vectors fused by rank, then a fallback on names that hold the
+    query's words for queries whose fused list is short; repository filters apply before ranking. Selected
+    rows get match type, confidence, concern, callers, callees and a summary; their files are expanded along
+    dependencies, ``expand_depth`` (at least one) hops, beside the edges among them. ``files(repo_id, file_path,
+    bytes)``; without sizes or depths, sizes count as 0 and depths as one. Returns frames ``chunks`` (one row per chunk), ``dependencies`` (one row per request and edge; hop 0:
+    between selected files) and ``bundle`` (one row per request, with token metrics). Null queries count as empty;
+    requests that match nothing come back with empty lists. ``dense(query_id, id, rank)`` joins the fusion
+    where given; ``post`` is a stored index of the blocks.
     """
     req = requests.withColumn("query", F.coalesce("query", F.lit(""))).withColumn("top_k", F.coalesce("top_k", F.lit(5)))
+    if "expand_depth" not in req.columns:
+        req = req.withColumn("expand_depth", F.lit(None).cast("int"))
+    if "bytes" not in files.columns:
+        files = files.withColumn("bytes", F.lit(0))
     body = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("file_path", F.lit("")), F.coalesce("content", F.lit("")))
-    ranked = materialize(sparse.search(blocks, "block_id", body, req, top_k=F.col("top_k") * 6, scope="repo_id"), "ctx_ranked")
+    ranked = materialize(sparse.search(blocks, "block_id", body, req, top_k=F.col("top_k") * 6, scope="repo_id", post=post), "ctx_ranked")
     empty = ranked.where("false").select("query_id", "id", "rank")
+    if dense is not None:
+        # the request's own repository only, as for words
+        own = req.select("query_id", "repo_id").join(blocks.select(F.col("block_id").alias("id"), "repo_id"), "repo_id").select("query_id", "id")
+        kept = dense.select("query_id", "id", F.col("rank").alias("r")).join(own, ["query_id", "id"], "left_semi")
+        dense = kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("r"))).drop("r")
     fused = fusion.rrf(dense if dense is not None else empty, ranked).join(req.select("query_id", "top_k"), "query_id").where(F.col("rank") <= F.col("top_k") * 2)
     exact = exact_hits(blocks, req).select("query_id", "block_id", "pos", F.lit(EXACT_SCORE).alias("score"), F.lit(True).alias("exact"))
     fused = fused.select("query_id", F.col("id").alias("block_id"), F.col("rank").alias("pos"), "score", F.lit(False).alias("exact"))
+    fused = materialize(fused, "ctx_fused")
+    # fallback: only queries with less than top_k of fused hits look for names that hold their words
+    have = fused.groupBy("query_id").agg(F.count("*").alias("have"))
+    short = req.join(have, "query_id", "left").where(F.coalesce("have", F.lit(0)) < F.col("top_k")).select("query_id", "query", "repo_id", "top_k")
+    words = short.select("query_id", "repo_id", F.explode(T.query_symbols(F.col("query"))).alias("symbol"))
+    near = store.find_symbol(blocks, words, exact=False, limit=20, scope="repo_id")
+    near = near.groupBy("query_id", "block_id").agg(F.min(F.struct("rank", "name", "file_path", "start_line", "block_id")).alias("o")).join(short.select("query_id", F.col("top_k").alias("k")), "query_id")
+    near = near.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy("o"))).drop("o")
+    spare = fusion.complement(fused.select("query_id", "block_id"), near, ["block_id"], FALLBACK_SCORE).select("query_id", "block_id", "pos", "score", F.lit(False).alias("exact"))
     place = blocks.select("block_id", "repo_id", "file_path", "start_line", "end_line", "name", "kind", "content")
-    hits = fusion.first_by_key([exact, fused], ["block_id"]).join(place, "block_id").join(req.select("query_id", "query", F.col("top_k").alias("k"), "max_chunk_chars"), "query_id")
+    hits = fusion.first_by_key([exact, fused, spare], ["block_id"]).join(place, "block_id").join(req.select("query_id", "query", F.col("top_k").alias("k"), "max_chunk_chars"), "query_id")
     hits = hits.withColumn("concern", T.concern(F.col("file_path"), F.col("name"))).withColumn("requested", T.requested_concerns(F.col("query")))
     kind = T.match_type(F.col("query"), F.col("name"), F.col("file_path"), F.lit("hybrid_rrf"), F.col("exact"))
     hits = hits.withColumn("match_type", kind).withColumn("confidence", T.match_confidence(F.col("match_type"), F.col("score")))
@@ -68,14 +89,27 @@ def context(blocks: DataFrame, files: DataFrame, edges: DataFrame, requests: Dat
     flows = graph.flow_diagram(graph.trace(edges, blocks, chunks.where("pos <= 3").select("file_path", F.col("name").alias("symbol"))))
     first = chunks.where("pos = 1").select("query_id", "file_path", F.col("name").alias("symbol")).join(flows, ["file_path", "symbol"]).select("query_id", F.col("flow").alias("flow_diagram"), "fully_traced")
     tests = chunks.select("query_id", "file_path").distinct().join(graph.companion_tests(chunks, files), "file_path").groupBy("query_id").agg(F.array_sort(F.collect_set("test_path")).alias("related_tests"))
+    start = materialize(chunks.select("query_id", "repo_id", "file_path").distinct(), "ctx_files")
+    resolved = graph.resolve_targets(edges, files, blocks)
+    deepest = int(req.agg(F.max("expand_depth")).first()[0] or 1)
+    hops = graph.expand(resolved, start, deepest).join(req.select("query_id", F.greatest(F.coalesce("expand_depth", F.lit(1)), F.lit(1)).alias("depth")), "query_id").where("hop <= depth").drop("depth")
+    inner = graph.induced(resolved, start).select("repo_id", "source_file", "target_file", "label").distinct()
+    inner = start.withColumnRenamed("file_path", "source_file").join(inner, ["repo_id", "source_file"]).join(start.withColumnRenamed("file_path", "target_file"), ["query_id", "repo_id", "target_file"], "left_semi").withColumn("hop", F.lit(0))
+    deps = inner.unionByName(hops).groupBy("query_id", "repo_id", "source_file", "target_file", "label").agg(F.min("hop").alias("hop"))
+    deps = materialize(deps, "ctx_dependencies")
+    n_deps = deps.groupBy("query_id").agg(F.count("*").alias("n_dependencies"), F.count(F.when(F.col("hop") == 0, 1)).alias("n_inner"))
+    metrics = store.token_metrics(chunks.select("query_id", "repo_id", "file_path", "content"), files)
     wanted = req.select("query_id", "query", T.requested_concerns(F.col("query")).alias("wanted"))
-    out = wanted.join(g, "query_id", "left").join(first, "query_id", "left").join(tests, "query_id", "left")
+    out = wanted.join(g, "query_id", "left").join(first, "query_id", "left").join(tests, "query_id", "left").join(n_deps, "query_id", "left").join(metrics, "query_id", "left")
+    no_tests = F.when(F.array_contains("wanted", "tests") & F.col("related_tests").isNull(), F.array(F.lit("tests"))).otherwise(none)
     omitted = F.when(F.size("wanted") > 1, F.array_except(F.filter("wanted", lambda x: x != "tests"), F.coalesce("found", none))).otherwise(none)
+    omitted = F.concat(omitted, no_tests)
     rating = F.when(F.col("any_exact"), "VERY_HIGH").when(F.col("any_high"), "HIGH").otherwise("MEDIUM")
     points = F.when(F.col("any_exact"), 0.96).when(F.col("any_high"), 0.88).otherwise(0.75)
     bundle = out.select(
         "query_id", "query", F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.coalesce("estimated_tokens", F.lit(1)).alias("estimated_tokens"),
         points.alias("confidence_score"), rating.alias("confidence_rating"), F.coalesce("flow_diagram", F.lit("Direct / No AST symbol match")).alias("flow_diagram"), F.coalesce("fully_traced", F.lit(False)).alias("fully_traced"),
-        F.coalesce("related_tests", none).alias("related_tests"), omitted.alias("omissions"), "chunks",
+        F.coalesce("related_tests", none).alias("related_tests"), omitted.alias("omissions"),
+        F.coalesce("n_dependencies", F.lit(0)).alias("n_dependencies"), F.coalesce("n_inner", F.lit(0)).alias("n_inner_edges"), "retrieved_tokens", "whole_files_tokens", "tokens_saved", "savings_percent", "chunks",
     )
-    return {"chunks": chunks, "bundle": bundle}
+    return {"chunks": chunks, "dependencies": deps, "bundle": bundle}

@@ -207,8 +207,13 @@ def trace(edges: DataFrame, blocks: DataFrame, targets: DataFrame) -> DataFrame:
 
 def flow_diagram(traced: DataFrame) -> DataFrame:
     """One line per target: entries, the target, leaves."""
-    pick = lambda cond, n: F.slice(F.array_sort(F.collect_set(F.when(cond, F.col("step")))), 1, n)
-    g = traced.groupBy("file_path", "symbol").agg(pick(F.col("role") == "entry", 2).alias("a"), pick(F.col("role").isin("leaf", "unresolved"), 3).alias("z"), F.max(F.col("role") == "unresolved").alias("open"))
+    # steps are cut before they are gathered, so a symbol with very many callers never fills one task
+    t = traced.withColumn("end", F.when(F.col("role") == "entry", "a").when(F.col("role").isin("leaf", "unresolved"), "z"))
+    one = t.where("end is not null").select("file_path", "symbol", "end", "step").distinct()
+    r = F.row_number().over(W.partitionBy("file_path", "symbol", "end").orderBy("step"))
+    few = one.withColumn("r", r).where("r <= if(end = 'a', 2, 3)").groupBy("file_path", "symbol").agg(*(F.array_sort(F.collect_list(F.when(F.col("end") == x, F.col("step")))).alias(x) for x in "az"))
+    none = F.array().cast("array<string>")
+    g = traced.groupBy("file_path", "symbol").agg(F.max(F.col("role") == "unresolved").alias("open")).join(few, ["file_path", "symbol"], "left").withColumn("a", F.coalesce("a", none)).withColumn("z", F.coalesce("z", none))
     show = lambda label, xs, none: F.concat(F.lit(f"{label}: ["), F.when(F.size(xs) > 0, F.array_join(xs, ", ")).otherwise(none), F.lit("]"))
     return g.select("file_path", "symbol", F.concat_ws(" --> ", show("Entry", "a", "Direct / API / Test"), F.concat(F.lit("Target: ["), "symbol", F.lit("]")), show("Leaves", "z", "Local Return")).alias("flow"), (~F.col("open")).alias("fully_traced"))
 

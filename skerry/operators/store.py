@@ -23,28 +23,30 @@ def escape_like(text):
     return F.regexp_replace(text, r"([\\%_])", r"\\$1")
 
 
-def find_symbol(blocks: DataFrame, wanted: DataFrame, exact: bool = True, limit: int = 20) -> DataFrame:
+def find_symbol(blocks: DataFrame, wanted: DataFrame, exact: bool = True, limit: int = 20, scope: str | None = None) -> DataFrame:
     """``(query_id, symbol, block_id, name, file_path, start_line, rank)`` for ``wanted(query_id, symbol)``.
 
     Exact: equality of lower-cased names, an equi-join. Fuzzy: names that hold the symbol, ASCII case
     aside, exact ones first; wildcards in the symbol are literal. The fuzzy search joins on character
     trigrams of distinct names before checking, so it never pairs all names with all symbols.
+    ``scope`` names a column of both frames (repository) that must agree.
     """
-    b = blocks.where("name <> ''").select("block_id", "name", "file_path", "start_line", F.lower("name").alias("low"))
-    w = wanted.where("symbol <> ''").select("query_id", "symbol", F.lower("symbol").alias("want")).distinct()
+    also = [scope] if scope else []
+    b = blocks.where("name <> ''").select("block_id", "name", "file_path", "start_line", *also, F.lower("name").alias("low"))
+    w = wanted.where("symbol <> ''").select("query_id", "symbol", *also, F.lower("symbol").alias("want")).distinct()
     if exact:
-        hit = b.join(w, b.low == w.want).withColumn("same", F.lit(0))
+        hit = b.join(w.withColumn("low", F.col("want")), ["low", *also]).withColumn("same", F.lit(0))
     else:
         names = b.select("low").distinct()
         gram = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))
         long = w.where("length(want) >= 3").withColumn("g", F.substring("want", 1, 3)).join(
             names.where("length(low) >= 3").select("low", F.explode(F.array_distinct(gram(F.col("low")))).alias("g")), "g"
-        ).where("instr(low, want) > 0").select("query_id", "symbol", "want", "low")
+        ).where("instr(low, want) > 0").select("query_id", "symbol", "want", "low", *also)
         short_gram = lambda n: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.substring(F.col("low"), i, F.lit(n)))))
         for n in (1, 2):
-            s = w.where(f"length(want) = {n}").join(names.where(f"length(low) >= {n}").select("low", short_gram(n).alias("want")), "want").select("query_id", "symbol", "want", "low")
+            s = w.where(f"length(want) = {n}").join(names.where(f"length(low) >= {n}").select("low", short_gram(n).alias("want")), "want").select("query_id", "symbol", "want", "low", *also)
             long = long.unionByName(s)
-        hit = long.distinct().join(b, "low").withColumn("same", (F.col("low") != F.col("want")).cast("int"))
+        hit = long.distinct().join(b, ["low", *also]).withColumn("same", (F.col("low") != F.col("want")).cast("int"))
     r = F.row_number().over(W.partitionBy("query_id", "symbol").orderBy("same", "name", "file_path", "start_line", "block_id"))
     return hit.withColumn("rank", r).where(F.col("rank") <= limit).select("query_id", "symbol", "block_id", "name", "file_path", "start_line", "rank")
 
@@ -56,6 +58,26 @@ def cross_repo(blocks: DataFrame, needle: str, column: str = "name", per_repo: i
     return hit.withColumn("rank", r).where(F.col("rank") <= per_repo)
 
 
+def insert_batch(rows: DataFrame, batch: DataFrame, files: list[str], key: list[str]) -> DataFrame:
+    """Rows after a batch of symbols or edges: what the batch's files (columns ``files``) held before goes, and
+    of a repeated ``key`` one stays. Null keys are dropped."""
+    kept = clear(rows, batch, files)
+    return kept.unionByName(batch.select(*rows.columns)).dropna(subset=key).dropDuplicates(key)
+
+
+def confidence(hits: DataFrame, high: float = 0.8) -> DataFrame:
+    """``(query_id, confidence, rating)`` of ``hits(query_id, match_type, score)``."""
+    g = hits.groupBy("query_id").agg(F.max(F.col("match_type") == "exact_symbol").alias("e"), F.max(F.col("score") >= high).alias("h"))
+    return g.select("query_id", F.when(F.col("e"), 0.96).when(F.col("h"), 0.88).otherwise(0.75).alias("confidence"), F.when(F.col("e"), "VERY_HIGH").when(F.col("h"), "HIGH").otherwise("MEDIUM").alias("rating"))
+
+
+def usage(log: DataFrame, key: str = "repo_id") -> DataFrame:
+    """Tokens in and out and calls per ``key`` of ``log(key, query, out_chars)``; a token is four characters."""
+    tok = lambda c: F.greatest(F.lit(1), F.floor(F.coalesce(c, F.lit(0)) / 4))
+    u = log.select(key, tok(F.length("query")).alias("tin"), tok(F.col("out_chars")).alias("tout"))
+    return u.groupBy(key).agg(F.sum("tin").alias("input_tokens"), F.sum("tout").alias("output_tokens"), F.sum(F.col("tin") + F.col("tout")).alias("total_tokens"), F.count("*").alias("calls"))
+
+
 def stats(files: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
     one = lambda d, n: d.agg(F.count("*").alias(n))
     return one(files, "total_files").crossJoin(one(blocks, "total_symbols")).crossJoin(one(edges, "total_edges"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions import text as T
 from skerry.operators import context, dense, extract, fusion, graph, sparse, store
 from skerry.plans.sql import SQL
-from skerry.session import table
+from skerry.session import stored, table
 from skerry.sources import workspace
 from skerry.streaming import sync
 
@@ -61,6 +63,12 @@ def body():
     return F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("file_path", F.lit("")), F.coalesce("content", F.lit("")))
 
 
+def _index(s, d):
+    """The postings of the blocks: built once per application and state of the table, read by every search."""
+    b = table(s, d, "blocks")
+    return stored(b, "block_index", lambda _: sparse.index(blocks(s, d), "block_id", body()))
+
+
 # --- sources -----------------------------------------------------------------------------------------
 
 
@@ -92,7 +100,7 @@ def src6_tolerant_text(s, d):
 
 @query
 def src7_read_lines(s, d):
-    asked = hits(s, d).where("pos = 1").select("query_id", "file_path", F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+    asked = hits(s, d).select("query_id", "file_path", F.col("start_line").alias("first"), F.col("end_line").alias("last"))
     f = table(s, d, "source_files").groupBy("file_path").agg(F.max_by("text", "file_id").alias("text"))
     return workspace.read_lines(f, asked)
 
@@ -120,7 +128,7 @@ def src12_snapshot(s, d):
     """Postings written as an index version and read again."""
     from skerry.session import shared_dir
 
-    at = f"{shared_dir(s)}/skerry/index"
+    at = f"{shared_dir(s)}/skerry/index-{uuid.uuid4().hex[:12]}"
     workspace.save_snapshot({"postings": sparse.postings(blocks(s, d), "block_id", body())}, at)
     back = workspace.load_snapshot(s, at, ["postings"])["postings"]
     return back.groupBy(F.col("id").alias("block_id")).agg(F.sum("tf").alias("n_tokens"), F.count("*").alias("n_terms"))
@@ -229,7 +237,7 @@ def sco1_tokens(s, d):
 
 @query
 def sco2_bm25(s, d):
-    return sparse.search(blocks(s, d), "block_id", body(), requests(s, d).na.fill(5, ["top_k"])).select("query_id", F.col("id").alias("block_id"), "score", "rank")
+    return sparse.search(blocks(s, d), "block_id", body(), requests(s, d).na.fill(5, ["top_k"]), post=_index(s, d)).select("query_id", F.col("id").alias("block_id"), "score", "rank")
 
 
 @query
@@ -242,7 +250,7 @@ def sco2_bm25_documents(s, d):
 
 @query
 def flt5_bm25_own_repo(s, d):
-    return sparse.search(blocks(s, d), "block_id", body(), requests(s, d).na.fill(5, ["top_k"]), scope="repo_id").select("query_id", F.col("id").alias("block_id"), "score", "rank")
+    return sparse.search(blocks(s, d), "block_id", body(), requests(s, d).na.fill(5, ["top_k"]), scope="repo_id", post=_index(s, d)).select("query_id", F.col("id").alias("block_id"), "score", "rank")
 
 
 @query
@@ -304,7 +312,7 @@ def _request_dense(s, d, k: int):
 @query
 def sco6_rrf(s, d):
     r = requests(s, d).where("query_id % 100 = 0")
-    b = sparse.search(blocks(s, d), "block_id", body(), r, top_k=F.lit(15))
+    b = sparse.search(blocks(s, d), "block_id", body(), r, top_k=F.lit(15), post=_index(s, d))
     out = fusion.rrf(_request_dense(s, d, 15), b.select("query_id", "id", "rank"), top_k=10)
     return out.select("query_id", F.col("id").alias("block_id"), "rank", "score", "dense_rank", "bm25_rank")
 
@@ -334,8 +342,7 @@ def sco10_diversify(s, d):
 
 @query
 def sco11_confidence(s, d):
-    g = hits(s, d).groupBy("query_id").agg(F.max(F.col("match_type") == "exact_symbol").alias("e"), F.max(F.col("score") >= 0.8).alias("h"))
-    return g.select("query_id", F.when(F.col("e"), 0.96).when(F.col("h"), 0.88).otherwise(0.75).alias("confidence"), F.when(F.col("e"), "VERY_HIGH").when(F.col("h"), "HIGH").otherwise("MEDIUM").alias("rating"))
+    return store.confidence(hits(s, d))
 
 
 @query
@@ -569,9 +576,7 @@ def _requests_log(s, d):
 
 @query
 def agg11_usage(s, d):
-    tok = lambda c: F.greatest(F.lit(1), F.floor(F.coalesce(c, F.lit(0)) / 4))
-    u = _requests_log(s, d).select("repo_id", tok(F.length("query")).alias("tin"), tok(F.col("out_chars")).alias("tout"))
-    return u.groupBy("repo_id").agg(F.sum("tin").alias("input_tokens"), F.sum("tout").alias("output_tokens"), F.sum(F.col("tin") + F.col("tout")).alias("total_tokens"), F.count("*").alias("calls"))
+    return store.usage(_requests_log(s, d))
 
 
 # --- change feed -------------------------------------------------------------------------------------
@@ -651,14 +656,11 @@ def set2_changed_paths(s, d):
 @query
 def set6_federated_dense(s, d):
     """Five hits of every label (a collection each), merged and cut to ten."""
-    from functools import reduce
-
     v = _embeddings(s, d)
     q = _embedding_queries(s, d)
-    parts = [dense.top_k(v.where(F.col("label") == i), q, 5, dim=64).select("query_id", "id", "score") for i in range(3)]
     from pyspark.sql import Window as W
 
-    every = reduce(DataFrame.unionByName, parts)
+    every = dense.top_k(v, q, 5, dim=64, by="label").select("query_id", "id", "score")
     return every.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rank <= 10")
 
 
@@ -708,8 +710,8 @@ def str6_empty_index(s, d):
 
 
 def _context(s, d):
-    f = table(s, d, "source_files").select("repo_id", "file_path").distinct()
-    return context.context(blocks(s, d), f, edges(s, d), requests(s, d))
+    f = current_files(s, d).select("repo_id", "file_path", F.octet_length("text").alias("bytes"))
+    return context.context(blocks(s, d), f, edges(s, d), requests(s, d), _request_dense(s, d, 60), _index(s, d))
 
 
 @query
@@ -718,6 +720,11 @@ def ctx_chunks(s, d):
     return c.select("query_id", "pos", "block_id", "score", "match_type", "confidence", "concern")
 
 
+@query
+def ctx_dependencies(s, d):
+    return _context(s, d)["dependencies"]
+
+
 @query
 def ctx_bundle(s, d):
     return _context(s, d)["bundle"]

@@ -143,7 +143,7 @@ SQL: dict[str, str] = {
     "src6_tolerant_text": f"SELECT file_id, md5(text) AS hash FROM {FILES} WHERE text IS NOT NULL",
     "src7_read_lines": f"""
         WITH f AS (SELECT file_path, arg_max(text, file_id) AS text FROM source_files GROUP BY file_path),
-        a AS (SELECT query_id, h.file_path, greatest(1, start_line - 5) AS lo, end_line + 5 AS hi, text FROM {H} h LEFT JOIN f USING (file_path) WHERE pos = 1)
+        a AS (SELECT query_id, h.file_path, greatest(1, start_line - 5) AS lo, end_line + 5 AS hi, text FROM {H} h LEFT JOIN f USING (file_path))
         SELECT query_id, file_path, CASE WHEN text IS NULL THEN '[ERROR] File not found: ' || file_path ELSE '--- ' || file_path || ' (Lines ' || lo || '-' || hi || ') ---' || chr(10)
             || array_to_string(list_transform(list_slice({LINES}, lo, hi), lambda x, i: lpad((i + lo - 1)::VARCHAR, greatest(4, length((i + lo - 1)::VARCHAR))::INT, ' ') || ' | ' || x), chr(10)) END AS excerpt FROM a
     """,
@@ -270,6 +270,28 @@ SQL: dict[str, str] = {
     "agg9_blast_summary": f"""WITH {blast(SEEDS, 50)} SELECT symbol, count(DISTINCT source_symbol) AS callers, count(DISTINCT source_file) AS files, array_to_string(list_slice(list_sort(list_distinct(list(source_symbol))), 1, 20), ',') AS caller_list,
         array_to_string(list_slice(list_sort(list_distinct(list(source_file))), 1, 20), ',') AS file_list, count(DISTINCT CASE WHEN regexp_matches(lower(source_file), 'test|spec|mock') THEN source_file END) AS n_tests FROM radius GROUP BY symbol""",
     "gdb15_impact": f"WITH {blast(NAMES, 1000000)} SELECT symbol, count(DISTINCT source_symbol) AS affected_symbols, count(DISTINCT source_file) AS affected_files FROM radius GROUP BY symbol",
+    "prj14_flow": f"""
+        WITH t AS (SELECT DISTINCT file_path, name AS symbol FROM blocks WHERE name <> '' AND name <> 'anonymous'),
+        up AS (SELECT t.file_path, t.symbol, 'up' AS side, source_file || ':' || source_symbol AS step, CASE WHEN regexp_matches(lower(source_file || ' ' || source_symbol), {_q(T.ENTRY_POINT)}) OR source_symbol NOT IN (SELECT target_symbol FROM {CALLS} WHERE source_symbol <> '') THEN 'entry' ELSE 'caller' END AS role
+               FROM t JOIN (SELECT DISTINCT target_symbol, source_symbol, source_file FROM {CALLS} WHERE source_symbol <> '' QUALIFY dense_rank() OVER (PARTITION BY target_symbol ORDER BY source_symbol, source_file) <= 5) c ON c.target_symbol = t.symbol),
+        fd AS (SELECT name, arg_min(file_path, (file_path, start_line)) AS def_file FROM blocks WHERE name <> '' GROUP BY name),
+        dn AS (SELECT DISTINCT t.file_path, t.symbol, 'down' AS side, c.target_symbol AS step, CASE WHEN fd.def_file IS NULL THEN 'unresolved' WHEN NOT EXISTS (SELECT 1 FROM {CALLS} n WHERE n.source_file = fd.def_file AND n.source_symbol = c.target_symbol) THEN 'leaf' ELSE 'callee' END AS role
+               FROM t JOIN {CALLS} c ON c.source_file = t.file_path AND c.source_symbol = t.symbol LEFT JOIN fd ON fd.name = c.target_symbol),
+        tr AS (SELECT * FROM up UNION ALL SELECT * FROM dn),
+        g AS (SELECT file_path, symbol, list_slice(list_sort(list(DISTINCT step) FILTER (role = 'entry')), 1, 2) AS a, list_slice(list_sort(list(DISTINCT step) FILTER (role IN ('leaf', 'unresolved'))), 1, 3) AS z, bool_or(role = 'unresolved') AS open FROM tr GROUP BY ALL)
+        SELECT file_path, symbol, 'Entry: [' || coalesce(nullif(array_to_string(a, ', '), ''), 'Direct / API / Test') || '] --> Target: [' || symbol || '] --> Leaves: [' || coalesce(nullif(array_to_string(z, ', '), ''), 'Local Return') || ']' AS flow, NOT open AS fully_traced FROM g
+    """,
+    "gra4_affected_tests": f"""
+        WITH {RESOLVED}, dep AS (SELECT DISTINCT repo_id, target_file AS file_path, source_file AS dependent FROM res WHERE target_file IS NOT NULL AND target_file <> source_file),
+        f0 AS (SELECT DISTINCT repo_id, file_path AS origin, file_path FROM source_files),
+        f1 AS (SELECT DISTINCT f0.repo_id, origin, dependent AS file_path FROM f0 JOIN dep USING (repo_id, file_path)),
+        f2 AS (SELECT DISTINCT f1.repo_id, origin, dependent AS file_path FROM f1 JOIN dep USING (repo_id, file_path)),
+        b AS (SELECT DISTINCT file_path, {BASE.format('file_path')} AS base FROM source_files),
+        c AS (SELECT file_path, unnest(['test_' || st || e, st || '_test' || e, st || '.test' || e, st || '.spec' || e, st || 'Test' || e, 'Test' || st || e]) AS base
+              FROM (SELECT file_path, CASE WHEN contains(base, '.') AND base NOT LIKE '.%' THEN regexp_replace(base, '\\.[^.]*$', '') ELSE base END AS st, CASE WHEN contains(base, '.') AND base NOT LIKE '.%' THEN regexp_extract(base, '(\\.[^./]*)$', 1) ELSE '' END AS e FROM b))
+        SELECT origin AS file_path, file_path AS test_path FROM (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2) WHERE regexp_matches(file_path, '(?i)test|spec|mock')
+        UNION SELECT c.file_path, b.file_path FROM c JOIN b USING (base) WHERE contains(b.file_path, '/')
+    """,
     "gra2_trace": f"""
         WITH t AS (SELECT DISTINCT file_path, name AS symbol FROM blocks WHERE name <> '' AND name <> 'anonymous'),
         up AS (SELECT t.file_path, t.symbol, 'up' AS side, source_file || ':' || source_symbol AS step, CASE WHEN regexp_matches(lower(source_file || ' ' || source_symbol), {_q(T.ENTRY_POINT)}) OR source_symbol NOT IN (SELECT target_symbol FROM {CALLS} WHERE source_symbol <> '') THEN 'entry' ELSE 'caller' END AS role
@@ -338,7 +360,7 @@ SQL |= {
     "set2_changed_paths": f"SELECT path FROM {LAST} WHERE op = 'modified' UNION SELECT repo_id || '/' || file_path FROM source_files GROUP BY 1 HAVING count(DISTINCT file_id) = 1",
     "set6_federated_dense": """
         WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
-        s AS (SELECT query_id, vec_id AS id, label, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE label IN (0, 1, 2)),
+        s AS (SELECT query_id, vec_id AS id, label, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS score FROM q, embeddings),
         t AS (SELECT query_id, id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) <= 5)
         SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM t QUALIFY rank <= 10
     """,

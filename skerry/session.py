@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary folder is chosen, and kept for the life of the session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is chosen in local
+    mode (tests), and kept for the life of the session; on a cluster a folder of one machine would not do.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     made = spark.conf.get("skerry.shared.dir", None)
+    if not made and not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not made:
         made = "file://" + tempfile.mkdtemp(prefix="skerry_")
         spark.conf.set("skerry.shared.dir", made)
@@ -55,6 +57,31 @@ def release(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def stored(df: DataFrame, name: str, build) -> DataFrame:
+    """``build(df)`` as a table, written once per application and state of the input files of ``df``.
+
+    Paths, lengths and times of the files tell the state: when they change, the table is built anew, and the old
+    one is deleted.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    state = []
+    for f in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        at = path.getFileSystem(conf).getFileStatus(path)
+        state.append((f, at.getLen(), at.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, tuple(f for f, _, _ in state))
+    held = _STORED.get(key)
+    if held is None or held[0] != state:
+        if held is not None:
+            release(held[1])
+        held = _STORED[key] = state, materialize(build(df), name)
+    return held[1]
+
+
+_STORED: dict = {}
+
+
 def slices(spark: SparkSession, rows: int, rows_per_slice: int) -> int:
     """Number of hash slices for a blob shuffle: grows with the data, never below the session's
     shuffle parallelism."""

@@ -294,3 +294,90 @@ def test_package_without_training_operators():
             for n in names:
                 if n.endswith(".py"):
                     assert "skerry.llm" not in open(os.path.join(folder, n)).read(), n
+
+
+# --- round two: wiring of the bundled query, blocked search, stored tables ------------------------------
+
+
+def _tiny(spark):
+    rows = [(1, "ledgerFold", "function", "src/ledger.py", 1, 5, "def ledgerFold(x):\n    return x\n", "r"), (2, "other", "function", "src/other.py", 1, 3, "def other():\n    return ledgerFold(1)\n", "r"), (3, "ledgerFar", "function", "src/far.py", 1, 3, "def ledgerFar(): pass", "q")]
+    blocks = spark.createDataFrame(rows, "block_id long, name string, kind string, file_path string, start_line int, end_line int, content string, repo_id string")
+    files = spark.createDataFrame([("r", "src/ledger.py", 400), ("r", "src/other.py", 200), ("r", "src/test_other.py", 10), ("q", "src/far.py", 8)], "repo_id string, file_path string, bytes int")
+    edges = spark.createDataFrame([("src/other.py", "other", "", "ledgerFold", "calls", 1.0, "r"), ("src/other.py", "", "", "ledger", "imports", 1.0, "r")], "source_file string, source_symbol string, target_file string, target_symbol string, relation string, confidence double, repo_id string")
+    return blocks, files, edges
+
+
+def test_context_falls_back_expands_and_measures(spark):
+    from skerry.operators import context
+
+    blocks, files, edges = _tiny(spark)
+    asked = [(1, "edgerfol", 3, "r", 0, 1), (2, "other tests and api", 3, "r", 0, 2), (3, None, None, "r", None, None), (4, "ledgerFold", 2, "r", 0, 1)]
+    req = spark.createDataFrame(asked, "query_id long, query string, top_k int, repo_id string, max_chunk_chars int, expand_depth int")
+    got = context.context(blocks, files, edges, req)
+    chunks = {(r.query_id, r.block_id): r for r in got["chunks"].collect()}
+    # no word of the first query stands anywhere; a name of its repository holds it
+    assert chunks[1, 1].score == context.FALLBACK_SCORE and (1, 3) not in chunks
+    assert chunks[4, 1].match_type == "exact_symbol"
+    deps = {(r.query_id, r.source_file, r.target_file, r.hop) for r in got["dependencies"].collect()}
+    assert (2, "src/other.py", "src/ledger.py", 1) in deps or (2, "src/other.py", "src/ledger.py", 0) in deps
+    bundle = {r.query_id: r for r in got["bundle"].collect()}
+    assert bundle[1].confidence_rating == "HIGH" and bundle[1].whole_files_tokens == 100 and bundle[3].total_chunks == 0
+    assert bundle[2].related_tests == ["src/test_other.py"] and bundle[2].n_dependencies >= 1
+    # vectors of other repositories are not taken in
+    dense = spark.createDataFrame([(1, 3, 1), (1, 2, 2)], "query_id long, id long, rank int")
+    ids = {r.block_id for r in context.context(blocks, files, edges, req, dense)["chunks"].where("query_id = 1").collect()}
+    assert 2 in ids and 3 not in ids
+
+
+def test_blocked_search_equals_the_held_one(spark):
+    import numpy as np
+
+    from skerry.operators import dense
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(-2, 3, (300, 8)).astype(float)
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(900, None, 0), (901, [0.0] * 8, 1), (902, [1.0], None)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>, label int")
+    q = v.where("id % 7 = 0").select(F.col("id").alias("query_id"), "vector")
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    for by in (None, "label"):
+        a, b = (dense.top_k(v, q, 5, dim=8, drop_self=True, by=by, held=h) for h in (8192, 0))
+        assert key(a) == key(b.select(a.columns)) and a.count() == q.count() * 5 * (3 if by else 1)
+    assert dense.top_k(v.where("false"), q, 5, dim=8).count() == 0 and dense.top_k(v, q.where("false"), 5, dim=8).count() == 0
+
+
+def test_stored_tables_follow_their_files(spark, tmp_path):
+    from skerry.session import stored
+
+    path = f"file://{tmp_path}/t"
+    made = []
+
+    def build(d):
+        made.append(1)
+        return d.select((F.col("id") + 1).alias("x"))
+
+    spark.range(5).coalesce(1).write.parquet(path)
+    for _ in range(2):
+        assert stored(spark.read.parquet(path), "t", build).count() == 5
+    assert len(made) == 1
+    spark.range(9).coalesce(1).write.mode("overwrite").parquet(path)
+    assert stored(spark.read.parquet(path), "t", build).count() == 9 and len(made) == 2
+
+
+def test_batches_replace_what_their_files_held(spark):
+    from skerry.operators import store
+
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", 3)], "file_path string, name string, start_line int")
+    batch = spark.createDataFrame([(9, "a", "w"), (9, "a", "w"), (8, "a", None), (7, None, "v")], "start_line int, file_path string, name string")
+    got = {tuple(r) for r in store.insert_batch(rows, batch, ["file_path"], ["file_path", "name"]).collect()}
+    assert got == {("a", "w", 9), ("b", "z", 3)}
+    assert store.insert_batch(rows.where("false"), batch.where("false"), ["file_path"], ["file_path", "name"]).count() == 0
+
+
+def test_spread_runs_no_shuffle_to_count_partitions(spark):
+    from skerry.session import spread
+
+    d = spark.range(100).groupBy((F.col("id") % 3).alias("k")).count()
+    assert spread(d) is d
+    one = spark.range(0, 10, 1, 1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

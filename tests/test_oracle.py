@@ -3,13 +3,14 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from skerry.plans.registry import QUERIES, SQL
 
 SOME = [
     "src3_accepted", "src7_read_lines", "src10_repo_parse", "flt1_ignored", "prj2_scan_blocks", "prj3_import_edges", "prj4_call_edges", "prj6_summary", "prj8_concern", "prj10_explain", "prj11_point_id",
-    "sco1_tokens", "sco2_bm25", "sco4_dense", "sco10_diversify", "flt10_find_fuzzy", "gdb8_callers", "joi5_resolve", "joi1_exact", "set3_containment", "gra1_blast", "gra2_trace", "gra3_call_paths", "gra5_expand", "agg6_token_metrics", "str2_sync",
+    "sco1_tokens", "sco2_bm25", "sco4_dense", "sco10_diversify", "flt10_find_fuzzy", "gdb8_callers", "joi5_resolve", "joi1_exact", "set3_containment", "gra1_blast", "gra2_trace", "gra3_call_paths", "gra5_expand", "agg6_token_metrics", "str2_sync", "set6_federated_dense", "prj14_flow", "gra4_affected_tests", "sco9_fallback", "sco6_rrf",
 ]
 
 
@@ -22,7 +23,7 @@ def con(sf):
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "-"
     if isinstance(v, bool) or not isinstance(v, (int, float)) and not hasattr(v, "dtype"):
         return str(v)
