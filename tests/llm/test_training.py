@@ -377,6 +377,8 @@ def test_copies_and_dirty_rows(spark):
     got = {tuple(r) for r in nearcopies.near_copy_pairs(df, "block_id", "content").collect()}
     # 100 copies form a star around the smallest id; the different text is linked to the class
     assert {(0, i) for i in range(1, 100)} <= got and (0, 200) in got and len(got) == 100
+    # every pair, where it is asked for
+    assert nearcopies.near_copy_pairs(df, "block_id", "content", full_class=None).distinct().count() == 101 * 100 // 2
     assert nearcopies.near_copy_pairs(df.where("false"), "block_id", "content").count() == 0
 
 
