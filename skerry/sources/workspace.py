@@ -162,19 +162,43 @@ def guide_docs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def save_snapshot(frames: dict[str, DataFrame], path: str, partition: dict[str, list[str]] | None = None) -> None:
-    """Write an index version: one table per name; readers see it once the marker file of the last
-    table is there."""
+    """Write an index version: one table per name, then a marker that names them with their row counts. A
+    version without its marker is unfinished, and ``load_snapshot`` refuses it."""
+    spark, rows = None, []
     for name, df in frames.items():
+        spark = df.sparkSession
         w = df.write.mode("overwrite")
         if partition and name in partition:
             w = w.partitionBy(*partition[name])
         w.parquet(f"{path}/{name}")
+        rows.append((name, spark.read.parquet(f"{path}/{name}").count()))
+    if spark is not None:
+        spark.createDataFrame(rows, "name string, n_rows long").coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest")
 
 
 def load_snapshot(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise FileNotFoundError(f"no finished index version at {path}")
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+def export_bundle(spark: SparkSession, path: str, target: str) -> None:
+    """Copy a finished index version to another place, its marker last; an older bundle there is replaced."""
+    names = [r.name for r in spark.read.parquet(f"{path}/_manifest").collect()]
+    save_snapshot(load_snapshot(spark, path, names), target)
+
+
+def import_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a bundle, checked against the row counts in its marker."""
+    told = {r.name: r.n_rows for r in spark.read.parquet(f"{path}/_manifest").collect()}
+    frames = load_snapshot(spark, path, list(told))
+    for name, df in frames.items():
+        if df.count() != told[name]:
+            raise ValueError(f"table {name} of the bundle at {path} is damaged")
+    return frames
+
+
 def new_points(points: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Points whose id is not stored yet: what an upsert has to embed."""
     return points.join(stored.select(key).distinct(), key, "left_anti")
@@ -183,7 +207,3 @@ def new_points(points: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 def accepted(files: DataFrame) -> DataFrame:
     """Files with a registered suffix."""
     return files.where(language(F.col("file_path")).isNotNull()).withColumn("ext", extension(F.col("file_path")))
-
-
-def suffix_rank(files: DataFrame) -> Column:
-    return F.row_number().over(W.partitionBy("file_path").orderBy(F.desc("synced_at")))

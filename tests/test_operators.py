@@ -381,3 +381,47 @@ def test_spread_runs_no_shuffle_to_count_partitions(spark):
     assert spread(d) is d
     one = spark.range(0, 10, 1, 1)
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_index_follows_changes(spark):
+    files = spark.createDataFrame([("a.py", "import os\n\ndef one(x):\n    return two(x)\n"), ("b.py", "def two(x):\n    return 1\n"), ("c.txt", "only words here"), ("d.py", "")], "path string, text string")
+    e = events(spark, ("a.py", "removed", 3, None), ("b.py", "modified", 3, "def three(y):\n    return two(y)\n"), ("e.py", "added", 3, "class Four:\n    pass\n"))
+    got = sync.refresh(sync.index_of(files), e)
+    want = sync.index_of(sync.apply_changes(files, e))
+    for name in ("blocks", "edges", "postings", "vectors"):
+        rows = lambda d: sorted(map(str, d.select(*sorted(d.columns)).collect()))
+        assert rows(got[name]) == rows(want[name]) and got[name].count() > 0, name
+    # embedding in the background adds what is missing, and nothing twice
+    have = want["vectors"].limit(1)
+    more = sync.embed(want["blocks"], have)
+    assert more.count() == want["vectors"].count() - 1 and more.join(have, "id").count() == 0
+
+
+def test_deltas_are_merged_on_reading_and_compacted(spark, tmp_path):
+    drop, out, mark = tmp_path / "drop", f"file://{tmp_path}/table", str(tmp_path / "mark")
+    steps = [[("a", "added", 1, "x"), ("b", "added", 1, "y")], [("a", "removed", 2, None), ("c", "added", 2, "z")], [("b", "modified", 3, "w")], [("a", "added", 4, "v")]]
+    want = [{"a": "x", "b": "y"}, {"b": "y", "c": "z"}, {"b": "w", "c": "z"}, {"a": "v", "b": "w", "c": "z"}]
+    for rows, now in zip(steps, want):
+        e = events(spark, *rows)
+        e.coalesce(1).write.mode("append").parquet(str(drop))
+        sync.stream_deltas(spark.readStream.schema(e.schema).parquet(str(drop)), out, mark, compact_every=3).awaitTermination()
+        assert {r.path: r.text for r in sync.read_deltas(spark, out).collect()} == now
+    # three deltas became a base, and went; one came after it
+    assert sorted(n for n in os.listdir(tmp_path / "table")) == ["base-000000000002", "delta-000000000003"]
+    assert sync.read_deltas(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_bundles_are_whole_or_refused(spark, tmp_path):
+    import shutil
+
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    with pytest.raises(FileNotFoundError):
+        workspace.load_snapshot(spark, a, ["t"])
+    workspace.save_snapshot({"t": spark.range(7), "u": spark.range(0)}, a)
+    workspace.export_bundle(spark, a, b)
+    got = workspace.import_bundle(spark, b)
+    assert {k: d.count() for k, d in got.items()} == {"t": 7, "u": 0}
+    shutil.rmtree(tmp_path / "b" / "t")
+    spark.range(6).write.parquet(f"{b}/t")
+    with pytest.raises(ValueError):
+        workspace.import_bundle(spark, b)
