@@ -17,6 +17,8 @@ histogram, refined twice, so that the tokens drawn hit the target as nearly as w
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -27,6 +29,8 @@ from skerry.session import materialize, table
 STEPS = 30
 TOLERANCE = 1e-7
 BINS = 4096
+#: Targets up to this many rows are broadcast.
+SMALL_TARGETS = 100_000
 #: Bounded exponential tilt of the base rate least(1, cap / 2).
 RATE = "cap / (1 + (cap / least(1D, cap / 2) - 1) * exp(-greatest(least(a + b * z, 50D), -50D)))"
 
@@ -42,7 +46,8 @@ def solve_rates(hist: DataFrame, targets: DataFrame, steps: int = STEPS) -> tupl
 
     duals: (mix, source) -> (a, b, mean, spread, cap); goals: (mix, source) -> tokens wanted.
     """
-    joined = hist.where("tokens > 0").join(F.broadcast(targets), "source")
+    small = F.broadcast if targets.count() <= SMALL_TARGETS else (lambda d: d)
+    joined = hist.where("tokens > 0").join(small(targets), "source")
     base = joined.groupBy("mix_id", "source").agg(
         F.sum(F.expr("n * tokens")).alias("total"), F.sum("n").alias("n"), F.sum(F.expr("1.0D * n * tokens * tokens")).alias("sq"),
         F.first("target_share").alias("share"), F.first("max_repeats").alias("cap"),
@@ -88,6 +93,8 @@ def solve_rates(hist: DataFrame, targets: DataFrame, steps: int = STEPS) -> tupl
             damp = min(1.0, 2.0 / big) if big else 1.0
             duals[key][0] += damp * da
             duals[key][1] += damp * db
+    if open_:
+        warnings.warn(f"{len(open_)} of {len(duals)} targets not within {TOLERANCE} after {steps} steps", stacklevel=2)
     return duals, goals
 
 
@@ -122,11 +129,12 @@ def mix(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
         run = h.select("mix_id", "source", "bin", "t", F.sum("t").over(W.partitionBy("mix_id", "source").orderBy("bin")).alias("upto"))
         wish = spark.createDataFrame([(m, s, float(v)) for (m, s), v in lack.items()], "mix_id int, source string, lack double")
         over = run.join(F.broadcast(wish), ["mix_id", "source"]).where("upto >= lack").groupBy("mix_id", "source").agg(F.min_by(F.struct("bin", "t", "upto"), "bin").alias("x"))
-        for r in over.collect():
+        crossed = over.collect()
+        for r in crossed:
             key = r.mix_id, r.source
             lack[key] -= r.x.upto - r.x.t
             low[key] += r.x.bin * step
-        missing = {k for k in goals} - {(r.mix_id, r.source) for r in over.collect()}
+        missing = {k for k in goals} - {(r.mix_id, r.source) for r in crossed}
         for key in missing:
             low[key] += width if lack[key] > 0 else 0.0
             lack[key] = 0.0
