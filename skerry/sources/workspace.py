@@ -37,32 +37,22 @@ def scan_workspace(spark: SparkSession, root: str, keep_all: bool = False) -> Da
     return raw.select(path.alias("file_path"), text.alias("text"), F.md5(text).alias("hash"), F.col("modificationTime").alias("mtime"), language(F.col("path")).alias("lang"))
 
 
+#: What each piece of an ignore pattern stands for; a set closes at the first ``]`` that is not its first member.
+_PIECE = re.compile(r"(?P<folders>\*\*/)|(?P<any>\*\*)|(?P<name>\*)|(?P<one>\?)|\[(?P<no>!?)(?P<set>\]?[^\]]*)\]|(?P<plain>.)", re.S)
+_MEANS = {"folders": "(?:.+/)?", "any": ".*", "name": "[^/]*", "one": "[^/]"}
+
+
 def glob_regex(glob: str) -> str:
     """Regular expression of an ignore pattern: ``**/`` any folders, ``**`` anything, ``*`` and ``?``
-    within a name, ``[…]`` and ``[!…]`` sets."""
-    out, i = [], 0
-    while i < len(glob):
-        if glob.startswith("**/", i):
-            out.append("(?:.+/)?")
-            i += 3
-        elif glob.startswith("**", i):
-            out.append(".*")
-            i += 2
-        elif glob[i] == "*":
-            out.append("[^/]*")
-            i += 1
-        elif glob[i] == "?":
-            out.append("[^/]")
-            i += 1
-        elif glob[i] == "[" and "]" in glob[i + 2 :]:
-            end = glob.index("]", i + 2)
-            body = glob[i + 1 : end]
-            out.append("[" + ("^" + body[1:] if body[0] in "!^" else body).replace("\\", "\\\\") + "]")
-            i = end + 1
-        else:
-            out.append(re.escape(glob[i]))
-            i += 1
-    return "^" + "".join(out) + "$"
+    within a name, ``[…]`` and ``[!…]`` sets. In a set ``^`` and a first ``]`` are members like any other; a bracket
+    that never closes stands for itself."""
+
+    def regex(m: re.Match) -> str:
+        if m["set"]:
+            return "[" + "^" * len(m["no"]) + re.sub(r"([\\\[\]^&])", r"\\\1", m["set"]) + "]"
+        return _MEANS.get(m.lastgroup) or re.escape(m.group())
+
+    return "^" + _PIECE.sub(regex, glob) + "$"
 
 
 def compile_rules(lines: list[tuple[str, str]], builtin: bool = True) -> list[tuple]:
@@ -81,22 +71,54 @@ def compile_rules(lines: list[tuple[str, str]], builtin: bool = True) -> list[tu
     return rules
 
 
-def ignored(paths: DataFrame, rules: list[tuple]) -> DataFrame:
+#: Runs of rules of one kind that one expression may hold; beyond, rules are joined.
+RUNS = 100
+
+
+def _runs(rules: list[tuple]) -> list[tuple[bool, bool, str, str]]:
+    """(negation, folders only, base folder, regular expression) of neighbouring rules of one kind, in order."""
+    runs: list[list] = []
+    for _, base, negation, dir_only, anchored, regex in sorted(rules):
+        # a rule without a slash holds for the path and for each part of it
+        one = regex if anchored else f"(?:{regex}|^(?:.*/)?{regex[1:-1].replace('.*', '[^/]*')}(?:/.*)?$)"
+        if runs and runs[-1][:3] == [negation, dir_only, base]:
+            runs[-1][3].append(one)
+        else:
+            runs.append([negation, dir_only, base, [one]])
+    return [(n, d, b, "|".join(r)) for n, d, b, r in runs]
+
+
+def _below(base: Column, p: Column) -> Column:
+    """``p`` relative to a base folder, null outside of it."""
+    return F.when(base == "", p).when(p == base, "").when(F.startswith(p, F.concat(base, F.lit("/"))), F.substring(p, F.length(base) + 2, F.length(p)))
+
+
+def ignored(paths: DataFrame, rules: list[tuple], runs: int = RUNS) -> DataFrame:
     """``paths(file_path)`` with ``ignored``: the last matching rule decides for the file and for every
     folder above it; a file under an ignored folder can't be brought back.
 
-    Rules are few (one per line of the ignore files) and broadcast; each distinct folder is tested once.
+    Neighbouring rules of one kind are one literal expression, which is compiled once; each distinct folder is
+    tested once. Where rules change their kind more than ``runs`` times, they are joined, as a broadcast (one
+    row per line of the ignore files). Null paths are not ignored.
     """
     spark = paths.sparkSession
-    r = F.broadcast(spark.createDataFrame(rules, "rule_idx int, base_dir string, negation boolean, dir_only boolean, anchored boolean, regex string"))
-    every = paths.select("file_path").distinct()
+    every = paths.select("file_path").where("file_path is not null").distinct()
     parts = F.split("file_path", "/")
     step = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("p"), (n < F.size(parts)).alias("d"))))
     tested = every.select(step.alias("s")).select("s.p", "s.d").distinct()
-    below = F.when(F.col("base_dir") == "", F.col("p")).when(F.col("p") == F.col("base_dir"), "").when(F.expr("startswith(p, concat(base_dir, '/'))"), F.expr("substring(p, length(base_dir) + 2)"))
-    hit = tested.crossJoin(r).withColumn("x", below).where("x is not null and (d or not dir_only)")
-    hit = hit.where(F.expr("x rlike regex or (not anchored and exists(split(x, '/'), s -> s rlike regex))"))
-    verdict = hit.groupBy("p", "d").agg(F.max_by("negation", "rule_idx").alias("neg")).where("not neg").select("p", "d")
+    grouped = _runs(rules)
+    if len(grouped) <= runs:
+        out = F.lit(False)
+        for negation, dir_only, base, regex in grouped:
+            x = _below(F.lit(base), F.col("p")) if base else F.col("p")
+            hit = F.coalesce(x.rlike(regex), F.lit(False))
+            out = F.when(hit & F.col("d") if dir_only else hit, F.lit(not negation)).otherwise(out)
+        verdict = tested.where(out)
+    else:
+        r = F.broadcast(spark.createDataFrame(rules, "rule_idx int, base_dir string, negation boolean, dir_only boolean, anchored boolean, regex string"))
+        hit = tested.crossJoin(r).withColumn("x", _below(F.col("base_dir"), F.col("p"))).where("x is not null and (d or not dir_only)")
+        hit = hit.where(F.expr("x rlike regex or (not anchored and exists(split(x, '/'), s -> s rlike regex))"))
+        verdict = hit.groupBy("p", "d").agg(F.max_by("negation", "rule_idx").alias("neg")).where("not neg").select("p", "d")
     bad = every.select("file_path", step.alias("s")).select("file_path", "s.p", "s.d").join(verdict, ["p", "d"], "left_semi").select("file_path").distinct().withColumn("ignored", F.lit(True))
     return paths.join(bad, "file_path", "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
 

@@ -425,3 +425,24 @@ def test_bundles_are_whole_or_refused(spark, tmp_path):
     spark.range(6).write.parquet(f"{b}/t")
     with pytest.raises(ValueError):
         workspace.import_bundle(spark, b)
+
+
+@pytest.mark.parametrize(
+    "glob, yes, no",
+    [("[^a].py", ["^.py", "a.py"], ["b.py"]), ("[!^a].py", ["b.py"], ["^.py", "a.py"]), ("[]x].py", ["].py", "x.py"], ["y.py"]), ("[!]x].py", ["y.py"], ["].py", "x.py"]), ("a[b", ["a[b"], ["ab"]), ("[a-c&].py", ["b.py", "&.py"], ["d.py"]),
+     ("**/x", ["x", "a/b/x"], ["ax"]), ("a/**", ["a/b/c"], ["a"]), ("?*.md", ["ab.md", "a.md"], [".md", "a/b.md"]), ("a.b", ["a.b"], ["axb"])],
+)
+def test_glob_pieces(glob, yes, no):
+    pattern = re.compile(workspace.glob_regex(glob))
+    assert all(pattern.match(x) for x in yes) and not any(pattern.match(x) for x in no)
+
+
+def test_combined_rules_equal_joined_ones(spark):
+    import random
+
+    rng = random.Random(4)
+    part = lambda: rng.choice(["a", "b", "lib", "x.py", "y.log", "keep.log", "build", "[b]", "a.b"])
+    paths = spark.createDataFrame([("/".join(part() for _ in range(rng.randrange(1, 5))),) for _ in range(300)] + [(None,), ("",)], "file_path string")
+    rules = workspace.compile_rules([("", "*.log"), ("", "!keep.log"), ("lib", "a/"), ("", "b/**"), ("a", "/x.py"), ("", "!a/**/x.py"), ("", "[!a-k]*b"), ("", "l**b"), ("", "build/")])
+    key = lambda d: sorted((str(r.file_path), r.ignored) for r in d.collect())
+    assert key(workspace.ignored(paths, rules)) == key(workspace.ignored(paths, rules, runs=0))
