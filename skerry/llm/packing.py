@@ -10,7 +10,7 @@ best-priced configurations by a knapsack dynamic programme over all lengths, and
 prices the inner game - weights on lengths against weights on the configurations found so far, both
 multiplicative, with optimistic steps - settles how often each configuration is used. The best price
 found by the dynamic programme bounds the LP from below, and rounds go on until the value is within
-``GAP`` of that bound (or ``ROUNDS`` are over; the plan reports both). Histograms of more than ``CLASSES`` lengths
+``GAP`` of that bound (or nothing is gained any more, or ``ROUNDS`` are over; the plan reports both). Histograms of more than ``CLASSES`` lengths
 are grouped: neighbouring lengths form a class that counts as its longest member.
 
 The solution is rounded to whole containers, fractions being carried on from one configuration to the next.
@@ -42,8 +42,10 @@ from skerry.session import materialize, table
 CLASSES, CELLS = 256, 1024
 #: The LP is solved once its value is within this share of the lower bound.
 GAP = 0.005
+#: Within four times that, rounds without a gain of a tenth of it after which the LP counts as solved as well as its grid allows.
+STALL = 6
 #: Outer rounds (prices) at most, configurations added in each, inner steps of each.
-ROUNDS, COLUMNS, STEPS = 30, 48, 1500
+ROUNDS, COLUMNS, STEPS = 60, 48, 1500
 SALTS = 64
 
 
@@ -128,6 +130,7 @@ def configuration_lp(length: np.ndarray, n: np.ndarray, capacity: int, gap: floa
     while covered.min() == 0:
         spread_out(len(length) // 4 + 1)
     bound, value, x = base, np.inf, np.zeros(0)
+    best, idle = np.inf, 0
     start = np.log(mass / mass.sum())
     for _ in range(rounds):
         size = np.array([len(u) for u in own])
@@ -160,7 +163,9 @@ def configuration_lp(length: np.ndarray, n: np.ndarray, capacity: int, gap: floa
             k = Knapsack(cells, q / n, most, room)
             prices.append(k)
             bound = max(bound, 1 / max(k.best[-1], 1e-12))
-        if value <= (1 + gap) * bound:
+        gained = value < best * (1 - gap / 10)
+        best, idle = (value, 0) if gained else (best, idle + 1)
+        if value <= (1 + gap) * bound or (idle >= STALL and value <= (1 + 4 * gap) * bound):
             break
         # the best filling of all, and the best beside one of each of the lengths that weigh most
         k = prices[0]
