@@ -67,3 +67,30 @@ def complement(hits: DataFrame, spare: DataFrame, key: list[str], score: float =
     open_ = spare.join(hits.select("query_id", *key), ["query_id", *key], "left_anti").join(need, "query_id", "left")
     r = F.row_number().over(W.partitionBy("query_id").orderBy("pos"))
     return open_.withColumn("r", r).where(F.col("r") + F.coalesce("have", F.lit(0)) <= F.col("k")).drop("r", "have").withColumn("score", F.lit(score))
+
+
+#: The text forms of hits of both searches, with the header and the notice for no hits.
+TEXT_FORMS = {
+    "hybrid": ("Hybrid Search", "[Match (RRF Score: %.4f)]"),
+    "vector": ("Vector Search", "[Candidate Match (Score: %.2f) | Repo: %s]"),
+}
+
+
+def render(hits: DataFrame, requests: DataFrame, form: str = "hybrid", most: int = 3) -> DataFrame:
+    """``(query_id, shown)``: the ``most`` best of ``hits(query_id, rank, score, repo_id, file_path, start_line,
+    end_line, name, kind, content)`` as text, for every one of ``requests(query_id, query, dept_id, repo_id)``.
+
+    Rows are cut before they are gathered; null fields are shown as unknown, null queries as empty.
+    """
+    title, match = TEXT_FORMS[form]
+    cell = lambda c, none="unknown": F.coalesce(F.col(c).cast("string"), F.lit(none))
+    head = F.format_string("\n" + match + "\n", F.col("score"), *([cell("repo_id")] if form == "vector" else []))
+    place = F.concat(F.lit("File: "), cell("file_path"), F.lit(" (Lines "), cell("start_line", "0"), F.lit("-"), cell("end_line", "0"), F.lit(")\n"))
+    block = F.concat(F.lit("Block Name: '"), cell("name", "anonymous"), F.lit("' ("), cell("kind"), F.lit(")\nContent:\n"), cell("content", ""), F.lit("\n"))
+    r = F.row_number().over(W.partitionBy("query_id").orderBy("rank", "file_path", "start_line"))
+    few = hits.withColumn("r", r).where(F.col("r") <= most).select("query_id", "r", F.concat(head, place, block).alias("x"))
+    body = few.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("r", "x")))["x"], "").alias("body"))
+    scope = F.concat(cell("dept_id"), F.lit("/"), cell("repo_id"))
+    shown = F.concat(F.lit(f"--- {title} Results for '"), cell("query", ""), F.lit("' ["), scope, F.lit("] ---\n"), F.col("body"))
+    none = F.concat(F.lit("[INFO] No relevant code found for query: '"), cell("query", ""), F.lit("' in "), scope)
+    return requests.select("query_id", "query", "dept_id", "repo_id").join(body, "query_id", "left").select("query_id", F.when(F.col("body").isNull(), none).otherwise(shown).alias("shown"))

@@ -317,6 +317,21 @@ def sco6_rrf(s, d):
     return out.select("query_id", F.col("id").alias("block_id"), "rank", "score", "dense_rank", "bm25_rank")
 
 
+def _shown(s, d, form):
+    h = hits(s, d).select("query_id", F.col("pos").alias("rank"), "score", "block_id").join(blocks(s, d), "block_id").where("content is not null")
+    return fusion.render(h, requests(s, d), form)
+
+
+@query
+def sco7_hybrid_text(s, d):
+    return _shown(s, d, "hybrid")
+
+
+@query
+def sco5_vector_text(s, d):
+    return _shown(s, d, "vector")
+
+
 @query
 def sco9_fallback(s, d):
     h = hits(s, d).select("query_id", "block_id")

@@ -228,6 +228,19 @@ SQL: dict[str, str] = {
         WITH w AS (SELECT DISTINCT query_id, unnest({words('query')}) AS symbol FROM {R} WHERE query IS NOT NULL)
         SELECT query_id, symbol, block_id, rank FROM (SELECT query_id, symbol, block_id, row_number() OVER (PARTITION BY query_id, symbol ORDER BY lower(name) <> lower(symbol), name, file_path, start_line, block_id) AS rank FROM w JOIN {B} b ON contains(lower(b.name), lower(w.symbol)) WHERE b.name <> '') WHERE rank <= 20
     """,
+    **{
+        name: f"""
+        WITH q AS (SELECT DISTINCT request_id AS query_id, coalesce(query, '') AS query, coalesce(dept_id, 'unknown') || '/' || coalesce(repo_id, 'unknown') AS scope FROM context_requests),
+        h AS (SELECT h.query_id, h.pos, h.score, b.* FROM {H} h JOIN {B} b USING (block_id) WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos, b.file_path, b.start_line) <= 3),
+        t AS (SELECT query_id, string_agg(chr(10) || {head} || chr(10) || 'File: ' || coalesce(file_path, 'unknown') || ' (Lines ' || coalesce(start_line::VARCHAR, '0') || '-' || coalesce(end_line::VARCHAR, '0') || ')' || chr(10)
+                 || 'Block Name: ''' || coalesce(name, 'anonymous') || ''' (' || coalesce(kind, 'unknown') || ')' || chr(10) || 'Content:' || chr(10) || content || chr(10), '' ORDER BY pos, file_path, start_line) AS body FROM h GROUP BY query_id)
+        SELECT query_id, CASE WHEN body IS NULL THEN '[INFO] No relevant code found for query: ''' || query || ''' in ' || scope ELSE '--- {title} Results for ''' || query || ''' [' || scope || '] ---' || chr(10) || body END AS shown FROM q LEFT JOIN t USING (query_id)
+        """
+        for name, title, head in (
+            ("sco7_hybrid_text", "Hybrid Search", "printf('[Match (RRF Score: %.4f)]', score)"),
+            ("sco5_vector_text", "Vector Search", "printf('[Candidate Match (Score: %.2f) | Repo: %s]', score, coalesce(repo_id, 'unknown'))"),
+        )
+    },
     "sco9_fallback": f"""
         WITH w AS (SELECT DISTINCT query_id, unnest({words('query')}) AS symbol FROM {R} WHERE query IS NOT NULL),
         f AS (SELECT * FROM (SELECT query_id, symbol, block_id, file_path, start_line, row_number() OVER (PARTITION BY query_id, symbol ORDER BY name, file_path, start_line, block_id) AS rank FROM w JOIN {B} b ON lower(b.name) = lower(w.symbol) WHERE b.name <> '') WHERE rank <= 20),

@@ -10,7 +10,7 @@ from skerry.plans.registry import QUERIES, SQL
 
 SOME = [
     "src3_accepted", "src7_read_lines", "src10_repo_parse", "flt1_ignored", "prj2_scan_blocks", "prj3_import_edges", "prj4_call_edges", "prj6_summary", "prj8_concern", "prj10_explain", "prj11_point_id",
-    "sco1_tokens", "sco2_bm25", "sco4_dense", "sco10_diversify", "flt10_find_fuzzy", "gdb8_callers", "joi5_resolve", "joi1_exact", "set3_containment", "gra1_blast", "gra2_trace", "gra3_call_paths", "gra5_expand", "agg6_token_metrics", "str2_sync", "set6_federated_dense", "prj14_flow", "gra4_affected_tests", "sco9_fallback", "sco6_rrf",
+    "sco1_tokens", "sco2_bm25", "sco4_dense", "sco10_diversify", "flt10_find_fuzzy", "gdb8_callers", "joi5_resolve", "joi1_exact", "set3_containment", "gra1_blast", "gra2_trace", "gra3_call_paths", "gra5_expand", "agg6_token_metrics", "str2_sync", "set6_federated_dense", "prj14_flow", "gra4_affected_tests", "sco9_fallback", "sco6_rrf", "sco7_hybrid_text", "sco5_vector_text",
 ]
 
 
