@@ -211,25 +211,30 @@ class Parser:
     """Feeds lines of terminals to one grammar's tables, following every possible action.
 
     The state is a set of stacks (tuples of table states); equal stacks fall together, which keeps
-    the set small although the grammars are ambiguous.
+    the set small although the grammars are ambiguous. Where a line makes the set wide, the stacks are
+    joined into a graph from there to the end of the file: it stands for any number of stacks with a
+    node per state and token, so no stack is ever left out.
     """
 
     MOST = 30_000
-    #: Stacks followed at once; beyond, ``overflow`` is set and the caller must not take a refusal for an error.
+    #: Stacks followed one by one; beyond, ``overflow`` is set and the rest of the file is followed as a graph.
     WIDEST = 4_000
 
     def __init__(self, tables: Tables):
         self.t = tables
         self.memo: dict[tuple, list] = {}
-        self.stacks: set[tuple[int, ...]] = {(0,)}
-        self.overflow = False
+        self.reset()
 
     def reset(self) -> None:
-        self.stacks = {(0,)}
+        self.stacks: set[tuple[int, ...]] = {(0,)}
+        #: state -> node of the graph, once there is one; a node is (state, list of the nodes below it)
+        self.tops: dict[int, tuple[int, list]] | None = None
         self.overflow = False
 
     def feed(self, line: tuple[str, ...]) -> int:
         """-1 if some stack took the line, else the index of the token that none could take."""
+        if self.tops is not None:
+            return self._graph(line)
         new: set[tuple[int, ...]] = set()
         furthest = 0
         for stack in self.stacks:
@@ -238,13 +243,18 @@ class Parser:
                 if k == 1 or stack[-k:] == suffix:
                     break
             else:
-                k, results, fail = self._run(stack, line)
+                got = self._run(stack, line)
+                if got is None:
+                    return self._join(line)
+                k, results, fail = got
                 if len(self.memo) > self.MOST:
                     self.memo.clear()
                 self.memo.setdefault(key, []).append((k, stack[-k:], results, fail))
             base = stack[:-k]
             for r in results:
                 new.add(base + r)
+            if len(new) > self.WIDEST:
+                return self._join(line)
             if fail > furthest:
                 furthest = fail
         if not new:
@@ -252,8 +262,67 @@ class Parser:
         self.stacks = new
         return -1
 
-    def _run(self, stack: tuple[int, ...], line: tuple[str, ...]) -> tuple[int, list, int]:
-        """(states of the stack that mattered, what replaces them, index of the token refused)."""
+    def _join(self, line: tuple[str, ...]) -> int:
+        """Go on from the stacks before ``line`` as a graph: equal lower parts of stacks are one node."""
+        self.overflow = True
+        made: dict[tuple[int, ...], tuple[int, list]] = {}
+        self.tops = {}
+        for stack in self.stacks:
+            below = None
+            for i in range(1, len(stack)):
+                node = made.get(stack[:i])
+                if node is None:
+                    node = made[stack[:i]] = (stack[i - 1], [] if below is None else [below])
+                below = node
+            top = self.tops.setdefault(stack[-1], (stack[-1], []))
+            if below is not None and not any(x is below for x in top[1]):
+                top[1].append(below)
+        self.stacks = set()
+        return self._graph(line)
+
+    def _graph(self, line: tuple[str, ...]) -> int:
+        """``feed`` on the graph. A new edge may open new paths for any node of its level, so reductions run until
+        they add none; nodes and edges of a level are finite, cycles of empty rules included."""
+        action, goto, size, head = self.t.action, self.t.goto, self.t.size, self.t.head
+        tops = self.tops
+        for i, tok in enumerate(line):
+            took = tok == END and any(-1 in action[s].get(tok, ()) for s in tops)
+            edges = {(s, id(x)) for s, node in tops.items() for x in node[1]}
+            grown = True
+            while grown:
+                grown = False
+                for state, node in list(tops.items()):
+                    for a in action[state].get(tok, ()):
+                        if a > 0:
+                            continue
+                        if a == -1:
+                            took |= tok == END
+                            continue
+                        r = -a - 1
+                        at = {id(node): node}
+                        for _ in range(size[r]):
+                            at = {id(x): x for n in at.values() for x in n[1]}
+                        for n in at.values():
+                            to = goto[n[0]][head[r]]
+                            if (to, id(n)) not in edges:
+                                edges.add((to, id(n)))
+                                tops.setdefault(to, (to, []))[1].append(n)
+                                grown = True
+            new: dict[int, tuple[int, list]] = {}
+            for state, node in tops.items():
+                for a in action[state].get(tok, ()):
+                    if a > 0:
+                        new.setdefault(a - 1, (a - 1, []))[1].append(node)
+            if took:
+                new = tops
+            elif not new:
+                return i
+            tops = self.tops = new
+        return -1
+
+    def _run(self, stack: tuple[int, ...], line: tuple[str, ...]) -> tuple[int, list, int] | None:
+        """(states of the stack that mattered, what replaces them, index of the token refused); None where it
+        would take more than WIDEST stacks."""
         action, goto, size, head = self.t.action, self.t.goto, self.t.size, self.t.head
         low = len(stack) - 1
         now = {stack}
@@ -279,8 +348,7 @@ class Parser:
                     st2 = (*st[:cut], goto[st[cut - 1]][head[r]])
                     if st2 not in seen:
                         if len(seen) >= self.WIDEST:
-                            self.overflow = True
-                            continue
+                            return None
                         seen.add(st2)
                         todo.append(st2)
             if not out:

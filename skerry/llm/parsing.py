@@ -388,8 +388,7 @@ class Language:
         if got and self.name in ("c", "cpp", "csharp", "swift") and "#" in text and _BRANCH.search(text):
             # branches that exclude one another need not fit together
             got = self._parse(self.reduce(first_branches(text)))
-        # a parse that grew too wide to follow is no proof of an error
-        return None if self.parser.overflow else got
+        return got
 
     def _php(self, text: str) -> tuple[int, str] | None:
         if "<?" not in text:

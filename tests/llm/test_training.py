@@ -2,7 +2,9 @@
 
 import ast
 import base64
+import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -207,6 +209,38 @@ def test_a_parse_that_grows_too_wide_is_no_error():
     assert p.overflow
 
 
+@pytest.mark.parametrize("rules, words", [("E: E + E | E E | a", r"a(\+?a)*"), ("S: A S b | x\nA: | a A", "x|a*xb+"), ("S: S A b | x\nA: | a A", "x(a*b)*"), ("S: A B C\nA: | a\nB: | b B\nC: | C c", "a?b*c*")])
+def test_a_wide_parse_is_followed_to_its_end(rules, words):
+    p = Parser(Tables(rules))
+    p.WIDEST = 0
+    for n in range(1, 6):
+        for text in map("".join, itertools.product(sorted(set(words) & set("abcx+")), repeat=n)):
+            p.reset()
+            got = p.feed((*text, "$")) == -1
+            assert got == bool(re.fullmatch(words, text)), text
+
+
+def test_a_wide_parse_is_refused_at_the_token_that_no_stack_takes():
+    p = Parser(Tables("E: E + E | E E | a"))
+    p.WIDEST = 3
+    for _ in range(2):
+        p.reset()
+        assert p.feed((*"aaaaaaaa", "?")) == 8 and p.overflow
+        p.reset()
+        assert p.feed(tuple("aaa+aa+aaa")) == -1 and p.overflow and p.feed(("$",)) == -1
+
+
+def test_a_wide_parse_shows_its_errors(monkeypatch):
+    for lang in ("python", "ruby", "cpp"):
+        parser = parsing.language(lang)
+        text = VALID[lang] + "\n("
+        want = parser.first_error(text)
+        parser.parser.memo.clear()
+        monkeypatch.setattr(Parser, "WIDEST", 1)
+        assert want is not None and parser.first_error(VALID[lang]) is None and parser.first_error(text) == want
+        monkeypatch.undo()
+
+
 def test_empty_and_comment_only_files_are_valid():
     for lang, mark in (("python", "# a"), ("go", "// a"), ("ruby", "# a"), ("java", "/* a */"), ("cpp", "// a\n")):
         for text in ("", "﻿", "\n\n", mark):
