@@ -239,6 +239,27 @@ def test_fuzzy_wildcards_are_literal(spark):
     assert got == [("a_b", 1), ("a_b", 3), ("b", 3), ("b", 1), ("b", 2)]
 
 
+@pytest.mark.parametrize("scope", [None, "repo"])
+@pytest.mark.parametrize("most", [0, 400_000])
+def test_fuzzy_search_answers_each_symbol_once(spark, monkeypatch, most, scope):
+    monkeypatch.setattr(store, "BROADCAST_ROWS", most)
+    rows = [(i, ["getA", "GETa", "forget", "a_b", "x", "get", "ge", None, ""][i % 9], f"f{i % 4}", i % 5, f"r{i % 2}") for i in range(90)]
+    wanted = [(q, x, f"r{q % 2}") for q in range(6) for x in ("get", "GET", "e", "ge", "a_", "", "zzz")]
+    b = spark.createDataFrame(rows, "block_id int, name string, file_path string, start_line int, repo string")
+    w = spark.createDataFrame(wanted, "query_id int, symbol string, repo string")
+    for exact in (False, True):
+        want = set()
+        for q, x, repo in wanted:
+            ok = [r for r in rows if x and r[1] and (x.lower() == r[1].lower() if exact else x.lower() in r[1].lower()) and (scope is None or r[4] == repo)]
+            ok.sort(key=lambda r: (r[1].lower() != x.lower(), r[1], r[2], r[3], r[0]))
+            want |= {(q, x, r[0], n) for n, r in enumerate(ok[:7], 1)}
+        got = store.find_symbol(b, w, exact, 7, scope)
+        assert {(r.query_id, r.symbol, r.block_id, r["rank"]) for r in got.collect()} == want
+        # matches are cut before queries multiply them
+        assert all("query_id" not in x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in x)
+
+
+
 def events(spark, *rows):
     return spark.createDataFrame([(p, o, t, x) for p, o, t, x in rows], "path string, op string, ts long, text string").withColumn("ts", F.timestamp_seconds("ts"))
 
@@ -446,3 +467,32 @@ def test_combined_rules_equal_joined_ones(spark):
     rules = workspace.compile_rules([("", "*.log"), ("", "!keep.log"), ("lib", "a/"), ("", "b/**"), ("a", "/x.py"), ("", "!a/**/x.py"), ("", "[!a-k]*b"), ("", "l**b"), ("", "build/")])
     key = lambda d: sorted((str(r.file_path), r.ignored) for r in d.collect())
     assert key(workspace.ignored(paths, rules)) == key(workspace.ignored(paths, rules, runs=0))
+
+
+@pytest.mark.parametrize("scope", [None, "repo"])
+@pytest.mark.parametrize("chunk, cells, most", [(4, 16, 5), (4096, 1 << 20, 400_000)])
+def test_search_by_bounds_equals_all_scores(spark, monkeypatch, chunk, cells, most, scope):
+    import random
+
+    rng = random.Random(5)
+    vocab = ["who", "calls"] * 8 + [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choices(vocab, k=rng.randint(0, 12))), f"r{i % 3}") for i in range(150)]
+    asked = [(q, " ".join(rng.choices(vocab, k=rng.randint(0, 4))), rng.randint(1, 9), f"r{q % 4}") for q in range(60)]
+    df = spark.createDataFrame(docs, "id int, text string, repo string").repartition(3)
+    q = spark.createDataFrame(asked, "query_id int, query string, top_k int, repo string")
+    monkeypatch.setattr(sparse, "BROADCAST_ROWS", most)
+    post = sparse.index(df, "id", F.col("text"))
+    tasks = [r.asDict() for r in post.collect()]
+    toks = {i: spec_tokens(t) for i, t, _ in docs}
+    assert {(r["id"], r["term"], r["tf"], r["dl"]) for r in tasks} == {(i, t, x.count(t), len(x)) for i, x in toks.items() for t in x}
+    avg = sum(map(len, toks.values())) / len(docs)
+    weight = {(r["id"], r["term"]): math.log1p((len(docs) - df_ + 0.5) / (df_ + 0.5)) * r["tf"] * 2.5 / (r["tf"] + 1.5 * (0.25 + 0.75 * r["dl"] / avg)) for r in tasks for df_ in [sum(x["term"] == r["term"] for x in tasks)]}
+    want = set()
+    for qid, text, k, repo in asked:
+        s = [(-round(sum(weight.get((i, t), 0) for t in spec_tokens(text)), 6), i) for i, _, r in docs if scope is None or r == repo]
+        want |= {(qid, i, x, n) for n, (x, i) in enumerate(sorted(x for x in s if x[0] < 0)[:k], 1)}
+    # chunks and cells as small as this let bounds decide from the first documents on
+    monkeypatch.setattr(sparse, "CHUNK", chunk)
+    monkeypatch.setattr(sparse, "CELLS", cells)
+    got = sparse.search(df, "id", F.col("text"), q, scope=scope)
+    assert {(r.query_id, r.id, -r.score, r["rank"]) for r in got.collect()} == want
