@@ -496,3 +496,23 @@ def test_search_by_bounds_equals_all_scores(spark, monkeypatch, chunk, cells, mo
     monkeypatch.setattr(sparse, "CELLS", cells)
     got = sparse.search(df, "id", F.col("text"), q, scope=scope)
     assert {(r.query_id, r.id, -r.score, r["rank"]) for r in got.collect()} == want
+
+
+def test_dense_hits_never_meet_all_blocks_of_a_repository(spark, monkeypatch):
+    plans = {}
+    kept = context.materialize
+
+    def watched(df, name="step"):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return kept(df, name)
+
+    monkeypatch.setattr(context, "materialize", watched)
+    blocks, files, edges = _tiny(spark)
+    req = spark.createDataFrame([(i, "other", 3, "r" if i < 9 else None, 0, 1) for i in range(1, 10)], "query_id long, query string, top_k int, repo_id string, max_chunk_chars int, expand_depth int")
+    dense_hits = spark.createDataFrame([(1, 3, 1), (1, 2, 2), (2, 1, 1), (9, 1, 1)], "query_id long, id long, rank int")
+    got = context.context(blocks, files, edges, req, dense_hits)
+    assert not re.search(r"Join \w+, \(repo_id#\d+L? = repo_id#\d+L?\)\n", plans["ctx_fused"])
+    ids = {(r.query_id, r.block_id) for r in got["chunks"].collect()}
+    assert {(1, 2), (2, 1)} <= ids and not {(1, 3), (9, 1)} & ids
+    # an edge between two chosen files is the nearest there is, one hop or not
+    assert {(r.query_id, r.hop) for r in got["dependencies"].where("query_id = 2").collect()} == {(2, 0)}
