@@ -516,3 +516,26 @@ def test_dense_hits_never_meet_all_blocks_of_a_repository(spark, monkeypatch):
     assert {(1, 2), (2, 1)} <= ids and not {(1, 3), (9, 1)} & ids
     # an edge between two chosen files is the nearest there is, one hop or not
     assert {(r.query_id, r.hop) for r in got["dependencies"].where("query_id = 2").collect()} == {(2, 0)}
+
+
+def test_search_writes_only_what_queries_ask_for(spark, monkeypatch):
+    written = {}
+    kept = sparse.materialize
+
+    def watched(df, name="step"):
+        written[name] = kept(df, name)
+        return written[name]
+
+    own = [chr(97 + i % 20) * (1 + i // 20) for i in range(40)]
+    docs = [(i, f"alpha word{x} other{x} " + "beta " * (i % 3)) for i, x in enumerate(own)] + [(7, "alpha wordh otherh beta "), (50, None), (51, "")]
+    df = spark.createDataFrame(docs, "id int, text string")
+    q = spark.createDataFrame([(1, "beta alpha", 4), (2, "nowhere", 3), (3, "", 3), (4, "wordh nowhere", 9)], "query_id int, query string, top_k int")
+    post = sparse.index(df, "id", F.col("text"))
+    want = {tuple(r) for r in sparse.search(df, "id", F.col("text"), q, post=post).collect()}
+    monkeypatch.setattr(sparse, "materialize", watched)
+    assert {tuple(r) for r in sparse.search(df, "id", F.col("text"), q).collect()} == want and len(want) == 5
+    # the texts hold 82 terms; alpha, beta and wordh are asked for
+    assert "postings" not in written
+    assert written["asked_terms"].select(F.explode("t.tid")).distinct().count() == 3
+    assert sparse.search(df.where("false"), "id", F.col("text"), q).count() == 0
+    assert sparse.search(df, "id", F.col("text"), q.where("false")).count() == 0
