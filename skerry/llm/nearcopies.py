@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +39,11 @@ MIN_WORDS = 30
 THRESHOLD = 0.6
 #: Copies of one text beyond this many are paired with the class's first member only, unless every pair is asked for.
 FULL_CLASS = 64
-#: Signatures that more sets than this would share give way to prefixes; texts sampled to find them.
+#: Signatures that more sets than this would share give way to prefixes. A list of frequent triples holds those of at least
+#: one set in so many bytes of text, so it does not grow with the input; bytes of text whose triples are counted at once.
 BUCKET = 400
-SAMPLE = 20_000
+SHARE = 5_000_000
+PIECE = 24_000_000
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD = np.zeros(256, bool)
@@ -187,12 +190,33 @@ def prefixes(offsets: np.ndarray, t: np.ndarray, rows: np.ndarray, frequent: np.
     return rows[np.concatenate([own[~hot], own[hot], own[hot]])], np.concatenate(key)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Triples with their number of sets, of the sampled texts of a task."""
+def _often(batches: Iterator[pa.RecordBatch], min_words: int, least: float, whole: int, piece: int) -> Iterator[pa.RecordBatch]:
+    """Triples that may stand in ``least`` sets of the ``whole`` bytes of text: those with their share of it in a piece of
+    the texts. What stays below its share in every piece stays below ``least`` in all."""
+    held, size = [], 0
+
+    def found() -> pa.RecordBatch:
+        u, c = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(u[c >= least * size / whole - 1e-6].view(np.int64))], ["t"])
+
+    for batch in batches:
+        held.append(triple_sets(batch.column(0), min_words)[2])
+        size += pc.sum(pc.binary_length(batch.column(0))).as_py() or 0
+        if size >= piece:
+            yield found()
+            held, size = [], 0
+    if held:
+        yield found()
+
+
+def _counted(batches: Iterator[pa.RecordBatch], min_words: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The number of sets of a task that hold each of the sorted triples ``often``."""
+    n = np.zeros(len(often), np.int64)
     for batch in batches:
-        _, _, t = triple_sets(batch.column(0), min_words)
-        u, c = np.unique(t, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(u[c > 1].view(np.int64)), pa.array(c[c > 1])], ["t", "c"])
+        t = triple_sets(batch.column(0), min_words)[2]
+        at = np.minimum(np.searchsorted(often, t), len(often) - 1)
+        n += np.bincount(at[often[at] == t], minlength=len(often))
+    yield pa.RecordBatch.from_arrays([pa.array(often[n > 0].view(np.int64)), pa.array(n[n > 0])], ["t", "c"])
 
 
 def _sign(batches: Iterator[pa.RecordBatch], n_slices: int, min_words: int, groups: int, frequent: np.ndarray, count: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -273,18 +297,21 @@ def _judge(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([c["a"].filter(ok), c["b"].filter(ok)], ["a", "b"])
 
 
-def frequent_triples(src: DataFrame, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(triples, counts in the sample) of those that about BUCKET or more of the ``n`` sets hold, as a sample of SAMPLE texts tells.
+def frequent_triples(src: DataFrame, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(triples, counts) of those that BUCKET or more of all sets hold, or one set in SHARE bytes of text if that is more.
 
-    They decide which signatures give way to prefixes, never which pairs count: both sets of a pair
-    that shares such a signature emit their prefixes, in one order. The list is bounded by SAMPLE times the mean
-    set size over the least count.
+    Every set is counted: one pass finds what may be frequent, a second counts it. They decide which signatures give
+    way to prefixes, never which pairs count: both sets of a pair
+    that shares such a signature emit their prefixes, in one order.
     """
-    share = min(1.0, SAMPLE / max(n, 1))
-    least = max(4, int(BUCKET / max(n, 1) * min(n, SAMPLE)))
-    some = src.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)).select("text")
-    t = some.mapInArrow(lambda it: _frequent(it, min_words), "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    got = t.select("t", "c").toArrow()
+    whole = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    least, none = max(BUCKET, whole / SHARE), np.zeros(0, np.uint64)
+    texts, piece = src.select("text"), PIECE
+    may = texts.mapInArrow(lambda it: _often(it, min_words, least, whole, piece), "t long").distinct().toArrow()
+    often = np.sort(may.column("t").to_numpy().astype(np.int64).view(np.uint64))
+    if not len(often):
+        return none, none.astype(np.int64)
+    got = texts.mapInArrow(lambda it: _counted(it, min_words, often), "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
     f, c = (got.column(k).to_numpy().astype(np.int64) for k in ("t", "c"))
     order = np.argsort(f.view(np.uint64))
     return f.view(np.uint64)[order], c[order]
@@ -304,7 +331,7 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_
     src = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"))
     n = src.count()
     cut = slices(spark, n, 20_000)
-    frequent, count = frequent_triples(src, n, min_words)
+    frequent, count = frequent_triples(src, min_words)
     blobs = src.select("text").mapInArrow(lambda it: _sign(it, cut, min_words, groups, frequent, count, threshold), "slice int, blob binary")
     found = blobs.groupBy("slice").applyInArrow(_meet, "a long, b long")
     cand = materialize(found.distinct(), "near_candidates")

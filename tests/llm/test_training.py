@@ -788,3 +788,24 @@ def test_phrases_are_counted_right():
     assert all(name.setdefault(int(x), p) == p for x, (_, p) in zip(h, want)) and len(name) == len({p for _, p in want})
     entry, h = stuffing.entries_of(["a b", "", "a b c d e f", "A  B", "b c d e f", "!"])
     assert entry.tolist() == [0, 2, 2, 3, 4] and h[0] == h[3] and h[2] == h[4]
+
+
+@pytest.mark.parametrize("piece", [1, 24_000_000])
+def test_frequent_triples_are_counted_over_all_texts(spark, monkeypatch, piece):
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    # a triple of every text, some of every second one, others of one text each; more texts than the 20,000 once sampled
+    texts = [f"a b c x{i % 2} y{i % 2} z{i % 2} own{i} more{i} last{i} p{i % 97} q{i % 97} r{i % 97}" for i in range(24_000)]
+    want = Counter()
+    for t in nearcopies.triple_sets(pa.array(texts), 3)[2].tolist():
+        want[t] += 1
+    want = {t: n for t, n in want.items() if n >= nearcopies.BUCKET}
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5)
+    monkeypatch.setattr(nearcopies, "PIECE", piece)
+    triples, counts = nearcopies.frequent_triples(df, 3)
+    assert dict(zip(triples.tolist(), counts.tolist())) == want and len(want) > 5
+    assert (np.diff(triples.astype(object)) > 0).all()
+    assert not len(nearcopies.frequent_triples(df.where("false"), 3)[0])
